@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logwarden.config import DEFAULTS, NARRATED_SEVERITIES, Settings
 from logwarden.functions import text
-from logwarden.operators.joins import attach
+from logwarden.operators.joins import attach, join_totals
 from logwarden.operators.ordering import number_rows
 from logwarden.operators.severity import highest_severity
 from logwarden.operators.techniques import incident_techniques
@@ -150,4 +150,4 @@ def run_counters(scored: DataFrame, incidents: DataFrame, run: Sequence[str] = (
     )
     if run:
         return rows.join(grouped, [*run], "left").fillna(0, ["incidents", "multi_event"])
-    return rows.join(F.broadcast(grouped), F.lit(True))  # one row beside one row
+    return join_totals(rows, grouped, [])

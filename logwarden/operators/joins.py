@@ -53,3 +53,11 @@ def attach(
     copies = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(slices, F.lit(1)) - 1)))
     joined = spread.drop("_slices").join(copies.drop(rows), [*on, _SALT], how)
     return joined.drop(_SALT)
+
+
+def join_totals(left: DataFrame, totals: DataFrame, run: Sequence[str]) -> DataFrame:
+    """Give every row the totals of its run; ``totals`` has a few rows per run."""
+    if run:
+        return left.join(F.broadcast(totals), list(run))
+    one = F.lit(1)
+    return left.withColumn("_one", one).join(F.broadcast(totals.withColumn("_one", one)), "_one").drop("_one")

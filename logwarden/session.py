@@ -48,3 +48,14 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the checkpoint folder and forget its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` for CPU-heavy group functions.
+
+    Their input is small in bytes, so adaptive execution would merge it into a
+    few tasks; a fixed number of partitions keeps every core at work.
+    """
+    session = df.sparkSession
+    shuffles = int(session.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(shuffles, session.sparkContext.defaultParallelism), *keys)
