@@ -8,10 +8,12 @@ which is trained on all lines and scores users with too few lines of their own.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from logwarden.operators.joins import attach, join_totals
 from logwarden.operators.quantiles import weighted_quantiles
 from logwarden.session import settle, spread
 
+# the group functions travel to the executors themselves; no package is needed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GLOBAL = "global"
 TREE_COLUMNS = ["tree", "size", "feature", "threshold", "left", "right", "path"]
 TREE_SCHEMA = (

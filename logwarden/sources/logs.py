@@ -22,13 +22,14 @@ PARSED_COLUMNS = (
 )
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, across_files: bool = False) -> DataFrame:
     """Lines of one or many files as ``(path, line_number, value)``.
 
     Within a file split the reader keeps the order of lines, so a line is placed
     by (file, start of split, order inside the split). Rows are settled before
     they are numbered: split borders depend on the cores present at planning
-    time and must be the same for counting and for numbering.
+    time and must be the same for counting and for numbering. Numbers restart
+    with every file unless ``across_files`` joins the files in name order.
     """
     scan = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"),
@@ -38,10 +39,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     rows = settle(scan)
     splits = rows.groupBy("path", "_split").agg(F.count("*").alias("_size"), F.min("_at").alias("_head"))
-    before = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    heads = splits.select(
-        "path", "_split", "_head", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
-    )
+    inside = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_size").over(inside), F.lit(0))
+    if across_files:
+        files = rows.groupBy("path").agg(F.count("*").alias("_lines"))
+        earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+        bases = files.select("path", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_base"))
+        splits, offset = splits.join(bases, "path"), offset + F.col("_base")
+    heads = splits.select("path", "_split", "_head", offset.alias("_offset"))
     # one row per file split; the optimizer sees its size and picks the strategy
     return rows.join(heads, ["path", "_split"]).select(
         "path", (F.col("_offset") + F.col("_at") - F.col("_head") + 1).alias("line_number"), "value"
