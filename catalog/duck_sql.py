@@ -588,7 +588,7 @@ def statements() -> dict[str, str]:
         body, last = camouflage_ctes(chosen, "k_")
         s[f"camouflage_{name}"] = over(f"{made},\n{body}", f"select {ROW} from {last}")
     merged = f"""{RENDERED},{made},
-      every as (select ts, process, pid, message, null as scenario, null as instance, null as "user", null as description, event_id as step from m
+      every as (select ts, process, pid, message, null::varchar as scenario, null::integer as instance, null::varchar as "user", null::varchar as description, event_id as step from m
         union all select ts, process, pid, message, scenario, instance, "user", description, step from attack),
       corpus as (select *, row_number() over (order by ts, coalesce(scenario, ''), coalesce(instance, 0), step, message, pid) as line_number
         from every)"""

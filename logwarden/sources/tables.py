@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from logwarden import schema
 
+_LABEL_FORMAT = {"header": True, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}
+
 
 def write_parsed(parsed: DataFrame, path: str, file_format: str = "parquet") -> None:
     options = {"header": True} if file_format == "csv" else {}
@@ -31,15 +33,12 @@ def labels_of(numbered_events: DataFrame) -> DataFrame:
 
 def write_labels(labels: DataFrame, path: str) -> None:
     ordered = labels.select("line_number", "timestamp", "user", "scenario", "instance", "description")
-    ordered.orderBy("line_number").write.mode("overwrite").csv(
-        path, header=True, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss"
-    )
+    writer = ordered.orderBy("line_number").write.mode("overwrite").options(**_LABEL_FORMAT)
+    writer.csv(path)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.labels_schema()).csv(
-        path, header=True, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss"
-    )
+    return spark.read.schema(schema.labels_schema()).options(**_LABEL_FORMAT).csv(path)
 
 
 def write_incidents(records: DataFrame, path: str) -> None:
