@@ -9,17 +9,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.config import Settings
+from logwarden.config import CONTAMINATION_SWEEP, Settings
 from logwarden.functions.numbers import draw
 from logwarden.operators.assembly import incident_table
 from logwarden.operators.camouflage import ROBUSTNESS_CONDITIONS
 from logwarden.operators.incidents import assign_incidents
 from logwarden.operators.injection import KEY, SCENARIO_CODES, plan_targets
 from logwarden.operators.metrics import predictions
-from logwarden.operators.rules import detect_by_rules, fired_rules
 from logwarden.operators.severity import severity_of
-from logwarden.operators.travel import flag_travel
-from logwarden.plans.detection import score_log
+from logwarden.plans.detection import flag_lines, score_log
 from logwarden.plans.evaluation import RUN, build_corpora, detect_all
 from logwarden.session import ensure_checkpoint_dir, settle
 from logwarden.sources.logs import parse_lines
@@ -71,9 +69,10 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and travel together, with a score any engine can compute in place of
     the forest's, so that everything behind detection can be compared in SQL."""
-    ruled = detect_by_rules(flag_travel(parsed(spark, sf_dir)))
+    rows = parsed(spark, sf_dir)
+    ruled = flag_lines(rows, rows)
     score = -(F.col("line_number") % 40) / F.lit(200.0)
-    anomaly = F.col("is_anomaly") | F.col("impossible_travel")
+    anomaly = (F.col("rules_fired") != "") | F.col("impossible_travel")
     return (
         ruled.withColumn("anomaly_score", score)
         .withColumn("is_anomaly", anomaly)
@@ -143,17 +142,11 @@ def corpora_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpora_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and travel verdicts of every run."""
     rows = corpora_parsed(spark, sf_dir).drop("template")
-    fired = fired_rules(rows, run=RUN)
-    from logwarden.operators.joins import attach
-
-    marked = attach(flag_travel(rows, run=RUN), fired, [*RUN, "line_number"])
-    return predictions(marked.withColumn("rules_fired", F.coalesce("rules_fired", F.lit(""))))
+    return predictions(flag_lines(rows, rows, run=RUN))
 
 
 @shared
 def corpora_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detectors of every run, with the contamination sweep."""
-    from logwarden.config import CONTAMINATION_SWEEP
-
     found = detect_all(corpora_parsed(spark, sf_dir), shares=CONTAMINATION_SWEEP)
     return predictions(found.drop("template"))

@@ -26,7 +26,10 @@ def embed_templates(templates: DataFrame, settings: Settings = DEFAULTS, encode:
     """
     texts = templates.select(F.coalesce("template", F.lit("")).alias("template")).distinct()
     if encode is not None:
-        encoder = F.pandas_udf(encode, "array<float>")
+        @F.pandas_udf("array<float>")
+        def encoder(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            yield from encode(batches)
+
         return texts.withColumn("embedding", encoder("template"))
     words = RegexTokenizer(inputCol="template", outputCol="_words", pattern=r"[^\p{L}\p{N}_<>]+", minTokenLength=1)
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=settings.vector_size)

@@ -13,8 +13,7 @@ from logwarden.operators.forest import score_templates
 from logwarden.operators.incidents import assign_incidents
 from logwarden.operators.injection import inject, merge_corpus
 from logwarden.operators.joins import attach
-from logwarden.operators.rules import fired_rules
-from logwarden.operators.travel import flag_travel
+from logwarden.plans.detection import flag_lines
 from logwarden.session import settle
 
 RUN = ("seed", "condition")
@@ -63,9 +62,7 @@ def detect_all(
         *[F.bool_or((F.col("share") == s) & F.col("ml_anomaly")).alias(c) for s, c in columns.items()],
     )
     scored = attach(parsed, wide, [*run, "user", "template"], how="inner", rows="n", settings=settings)
-    ruled = attach(flag_travel(scored, settings, run), fired_rules(parsed, settings, run), [*run, "line_number"],
-                   settings=settings)
-    marked = ruled.withColumn("rules_fired", F.coalesce("rules_fired", F.lit(""))).withColumn(
+    marked = flag_lines(scored, parsed, settings, run).withColumn(
         "ml_anomaly", F.col(columns[settings.contamination])
     )
     sweep = {sweep_column(s): F.col(columns[s]) | F.col("impossible_travel") for s in (shares or ())}
