@@ -56,13 +56,15 @@ def _small_star(stars: DataFrame, by: list[str], size: int, settings: Settings)
     )
 
 
-def _signature(stars: DataFrame, by: list[str]) -> tuple:
-    row = stars.agg(
-        F.count("*"),
-        F.sum(F.xxhash64(*by, "high", "low").cast("decimal(38,0)")),
-        F.bit_xor(F.xxhash64("low", "high", *by)),
-    ).first()
-    return tuple(row)
+def _look(stars: DataFrame, by: list[str]) -> tuple[int, bool]:
+    """Number of links, and whether they are final: every node hangs on one
+    smaller node that hangs on none."""
+    high = stars.select(*by, F.col("high").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    low = stars.select(*by, F.col("low").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    nodes = high.unionByName(low).groupBy(*by, "node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    loose = (F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))
+    row = nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if(loose)).first()
+    return row[0], row[1] == 0
 
 
 def components(edges: DataFrame, by: Sequence[str] = (), settings: Settings = DEFAULTS) -> DataFrame:
@@ -77,14 +79,11 @@ def components(edges: DataFrame, by: Sequence[str] = (), settings: Settings = DE
         .select(*by, F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low"))
         .distinct()
     )
-    before = _signature(stars, by)
-    while before[0]:
-        size = 2 * before[0]  # an edge adds at most two nodes, and no step adds nodes
+    links, final = _look(stars, by)
+    while not final:
+        size = 2 * links  # a link has two nodes, and no step adds nodes
         stars = settle(_small_star(_large_star(stars, by, size, settings), by, size, settings))
-        after = _signature(stars, by)
-        if after == before:
-            break
-        before = after
+        links, final = _look(stars, by)
     members = stars.select(*by, F.col("high").alias("node"), F.col("low").alias("root"))
     roots = stars.select(*by, F.col("low").alias("node"), F.col("low").alias("root")).distinct()
     return members.unionByName(roots)
