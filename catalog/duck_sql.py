@@ -11,6 +11,7 @@ from logwarden.config import CONTAMINATION_SWEEP, NON_IDENTITIES, PRIVILEGE_KEYW
 from logwarden.operators.camouflage import FILLER, REALISTIC_COMBO, REPHRASINGS, ROBUSTNESS_CONDITIONS, STRATEGIES
 from logwarden.operators.injection import DESCRIPTIONS, FOREIGN_NETWORKS, INSIDER_NETWORK, PROBED_NAMES
 from logwarden.operators.prompts import NO_TECHNIQUE, PROMPT, TRAVEL_NOTE
+from logwarden.operators.rules import RULES
 from logwarden.operators.techniques import SIGNALS, TECHNIQUES
 from logwarden.operators.triage import SCENARIOS
 
@@ -516,6 +517,9 @@ blocks as (
   join evb using (incident_id))"""
 
 
+_RULES = ", ".join(f"({q(name)})" for name in RULES)
+
+
 def statements() -> dict[str, str]:
     s: dict[str, str] = {}
     s["flagship"] = over(DETECTED, f"""select "user", count(*) as events, count(*) filter (where impossible_travel) as travel,
@@ -538,7 +542,8 @@ def statements() -> dict[str, str]:
     for rule, cte in (("brute_force", "brute"), ("enumeration", "enum"), ("privileged_command", "priv")):
         s[f"rule_{rule}"] = over(DETECTED, f"select line_number from d_{cte}")
     s["rules_fired"] = over(DETECTED, "select line_number, rules_fired, rules_fired <> '' as is_anomaly from d_found")
-    s["rule_counts"] = over(DETECTED, "select rule, count(*) as lines_claimed from d_claims group by all")
+    s["rule_counts"] = over(DETECTED, f"""select r.rule, count(c.rule) as lines_claimed
+      from (values {_RULES}) r(rule) left join d_claims c on r.rule = c.rule group by all""")
     s["severity_tiers"] = over(DETECTED, "select line_number, is_anomaly, impossible_travel, severity from judged")
     shares = ", ".join(f"({c})" for c in CONTAMINATION_SWEEP)
     s["quantile_threshold"] = " union all ".join(
@@ -605,7 +610,9 @@ def statements() -> dict[str, str]:
       {r3(div('tp', 'attack_lines'))} as line_detection_rate, {r3(div('instances_detected', 'instances'))} as instance_detection_rate
       from (select condition, detector, scenario, {", ".join(f"cast(sum({c}) as bigint) as {c}" for c in
         ("tp", "attack_lines", "instances", "instances_detected"))} from sc group by all)""")
-    s["corpora_rule_counts"] = over(MEASURED, """select condition, rule, count(*) as lines_claimed from e_claims group by all""")
+    s["corpora_rule_counts"] = over(MEASURED, f"""select k.condition, r.rule, count(c.rule) as lines_claimed
+      from (select distinct condition from pred) k cross join (values {_RULES}) r(rule)
+      left join e_claims c on r.rule = c.rule and k.condition = c.condition group by all""")
     s["robustness_runs"] = over(ROBUST, f"select *, {ROBUST_RATES} from rob")
     s["robustness_overall"] = over(ROBUST_OVERALL, "select * from ro")
     s["robustness_pooled"] = over(ROBUST_OVERALL, f"""select *, {ROBUST_RATES} from (select condition, count(*) as seeds, {_SUMS},

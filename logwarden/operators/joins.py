@@ -56,8 +56,16 @@ def attach(
 
 
 def join_totals(left: DataFrame, totals: DataFrame, run: Sequence[str]) -> DataFrame:
-    """Give every row the totals of its run; ``totals`` has a few rows per run."""
+    """Give every row the totals of its run; ``totals`` has a few rows per run.
+
+    Without runs the few rows become constants of the plan.
+    """
     if run:
         return left.join(F.broadcast(totals), list(run))
-    one = F.lit(1)
-    return left.withColumn("_one", one).join(F.broadcast(totals.withColumn("_one", one)), "_one").drop("_one")
+    fields = totals.schema.fields
+    rows = [
+        F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for row in totals.collect()
+    ]
+    kind = totals.schema.simpleString()
+    each = F.explode(F.array(*rows) if rows else F.array().cast(f"array<{kind}>"))
+    return left.withColumn("_totals", each).select(*left.columns, "_totals.*")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from logwarden.config import DEFAULTS, Settings
 from logwarden.functions.numbers import rate, round3
-from logwarden.operators.joins import attach
+from logwarden.operators.joins import attach, join_totals
 
 DETECTORS = ("rules", "rules_travel", "embeddings", "travel_rule", "full")
 LINE_COUNTS = ("tp", "fp", "fn", "flagged", "attack_lines", "instances", "instances_detected")
@@ -186,11 +186,11 @@ def pool_robustness_overall(overall: DataFrame, by: Sequence[str] = ("condition"
 def rank_strategies(pooled: DataFrame, order: Sequence[str], clean: str = "baseline") -> DataFrame:
     """Conditions by loss of instances, then of lines, against the clean one."""
     base = pooled.filter(F.col("condition") == clean).select(
-        F.col("instance_detection_rate").alias("_i"), F.col("line_detection_rate").alias("_l"), F.lit(1).alias("_one")
+        F.col("instance_detection_rate").alias("_i"), F.col("line_detection_rate").alias("_l")
     )
     at = F.array_position(F.array(*map(F.lit, order)), F.col("condition"))
     compared = (
-        pooled.filter(F.col("condition") != clean).withColumn("_one", F.lit(1)).join(F.broadcast(base), "_one")
+        join_totals(pooled.filter(F.col("condition") != clean), base, [])
         .select(
             "condition",
             "instance_detection_rate",

@@ -94,11 +94,20 @@ def format_line(host: str | Column = "server1") -> Column:
     pid = F.col("pid").cast("string")
     bracket = F.when(pid.isNull() | pid.isin("", "0"), "").otherwise(F.concat(F.lit("["), pid, F.lit("]")))
     return F.concat(
-        F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" "), host, F.lit(" "),
+        syslog_stamp(F.col("ts")), F.lit(" "), host, F.lit(" "),
         F.col("process"), bracket, F.lit(": "), F.col("message"),
     )
 
 
+def syslog_stamp(ts: Column) -> Column:
+    """``Mon DD HH:MM:SS`` of a wall-clock time, whatever the session time zone."""
+    months = F.split(F.lit(text.MONTHS.title().strip()), " ")
+    two = [F.lpad(part(ts).cast("string"), 2, "0") for part in (F.day, F.hour, F.minute, F.second)]
+    return F.concat(
+        F.element_at(months, F.month(ts)), F.lit(" "), two[0], F.lit(" "), F.concat_ws(":", *two[1:])
+    )
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """Text files that give back the lines in order when read file by file."""
     lines.orderBy("line_number").select("value").write.mode("overwrite").text(path)

@@ -73,8 +73,7 @@ def test_severity(spark, events_of):
     assert [r["severity"] for r in combine_flags(tiers).collect()] == ["high", "medium", "medium", "low"]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("settings", [DEFAULTS, TINY], ids=["default", "tiny limits"])
+@pytest.mark.parametrize("seed, settings", [(1, DEFAULTS), (2, TINY)], ids=["default", "tiny limits"])
 def test_against_pairwise_definitions(events_of, seed, settings):
     rows = random_log(220, seed)
     events = events_of(rows)
