@@ -37,7 +37,7 @@ def travel_lines(events: DataFrame, settings: Settings = DEFAULTS, run: Sequence
     piece = [*run, "user", AT, "_piece"]
     within = Window.partitionBy(*piece).orderBy("line_number")
     rows = logins.withColumn("_prev", F.lag("_net").over(within)).withColumn(
-        "_last", F.last("_net").over(within.rowsBetween(0, Window.unboundedFollowing))
+        "_last", F.last("_net").over(within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     )
     same_second = rows.filter(F.col("_prev") != F.col("_net")).select(*run, "line_number")
 

@@ -93,3 +93,22 @@ def test_runs_do_not_mix(spark, events_of):
         both = rule(half, DEFAULTS, ["seed"])
         assert lines_of(both.filter("seed = 1")) == lines_of(rule(events))
         assert lines_of(both.filter("seed = 2")) == lines_of(rule(events.filter("line_number % 2 = 0")))
+
+
+def test_a_third_of_the_log_in_one_second(spark):
+    """Copies of one user and second are counted, never walked pairwise."""
+    from pyspark.sql import functions as F
+
+    hot = F.col("id") % 3 == 0
+    events = spark.range(1, 300_001).select(
+        F.col("id").alias("line_number"),
+        F.when(hot, F.lit("2026-07-15 03:00:00").cast("timestamp_ntz")).otherwise(
+            F.timestamp_add("SECOND", F.col("id"), F.lit("2026-07-14").cast("timestamp_ntz"))).alias("timestamp"),
+        F.when(hot, F.lit("hot")).otherwise(F.concat(F.lit("u"), (F.col("id") % 5000).cast("string"))).alias("user"),
+        F.lit("10.0.0.1").alias("source_ip"),
+        F.when(F.col("id") % 2 == 0, "Failed password").otherwise("Accepted password").alias("message"))
+    last = events.filter("line_number = 299997").withColumn("source_ip", F.lit("10.9.0.1"))
+    every = events.filter("line_number <> 299997").unionByName(last)
+    assert travel_lines(every).filter("line_number = 299997").count() == 1
+    found = brute_force_lines(every).join(events.filter("user = 'hot'"), "line_number")
+    assert found.count() == 100_000
