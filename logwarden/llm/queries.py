@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from logwarden.llm.bpe import encode_documents
 from logwarden.llm.line_quality import measure_lines
+from logwarden.llm.secret_scan import scan_secrets
 from logwarden.llm.simhash import near_duplicates
+from logwarden.llm.token_files import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,12 +25,41 @@ def op1_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure_lines(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = encode_documents(_table(spark, sf_dir, "documents"), path, decode=True)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_simhash_near_duplicates, op7_line_quality)
+    f.__name__: f
+    for f in (
+        op1_simhash_near_duplicates,
+        op2_token_files,
+        op3_secret_scan,
+        op7_line_quality,
+        op9_bpe_round_trip,
+    )
 }
