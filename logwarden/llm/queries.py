@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.llm.bpe import encode_documents
+from logwarden.llm.license_scan import scan_licenses
 from logwarden.llm.line_quality import measure_lines
 from logwarden.llm.secret_scan import scan_secrets
 from logwarden.llm.simhash import near_duplicates
@@ -42,6 +43,10 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     coded = encode_documents(_table(spark, sf_dir, "documents"), path, decode=True)
@@ -60,6 +65,7 @@ QUERIES: dict[str, Query] = {
         op2_token_files,
         op3_secret_scan,
         op7_line_quality,
+        op8_license_scan,
         op9_bpe_round_trip,
     )
 }
