@@ -13,6 +13,7 @@ from logwarden.llm.license_scan import scan_licenses
 from logwarden.llm.line_quality import measure_lines
 from logwarden.llm.secret_scan import scan_secrets
 from logwarden.llm.simhash import near_duplicates
+from logwarden.llm.substring_dedup import remove_repeats
 from logwarden.llm.token_files import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure_lines(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -64,6 +71,7 @@ QUERIES: dict[str, Query] = {
         op1_simhash_near_duplicates,
         op2_token_files,
         op3_secret_scan,
+        op6_substring_dedup,
         op7_line_quality,
         op8_license_scan,
         op9_bpe_round_trip,
