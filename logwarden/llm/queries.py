@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.llm.bpe import encode_documents
+from logwarden.llm.decontaminate import find_leaks
 from logwarden.llm.license_scan import scan_licenses
 from logwarden.llm.line_quality import measure_lines
 from logwarden.llm.secret_scan import scan_secrets
@@ -38,6 +39,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("_key")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
@@ -71,6 +76,7 @@ QUERIES: dict[str, Query] = {
         op1_simhash_near_duplicates,
         op2_token_files,
         op3_secret_scan,
+        op4_benchmark_leaks,
         op6_substring_dedup,
         op7_line_quality,
         op8_license_scan,
