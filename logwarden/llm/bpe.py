@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logwarden.llm.common import text_groups
+
 CACHE = 300_000  # pieces a worker remembers
 LAYOUT = 4_000_000  # bytes of new pieces indexed together
 _SPACES = r"\t-\r \x85\xa0  -     　"
@@ -221,22 +223,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-ROWS = 1_000  # texts encoded together at most
-CHARS = 16_000_000
-
-
-def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that are encoded together, bounded in rows and characters."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and (i - start >= ROWS * 10 or size > CHARS):
-            yield start, i
-            start, size = i, 0
-        size += len(text or "")
-    if texts:
-        yield start, len(texts)
-
-
 def encode_documents(
     docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", decode: bool = False
 ) -> DataFrame:
@@ -246,7 +232,7 @@ def encode_documents(
         tool = encoder(vocabulary)
         for batch in rows:
             texts = batch.column(1).to_pylist()
-            for a, b in _groups(texts):
+            for a, b in text_groups(texts):
                 ids = tool.encode(texts[a:b])
                 columns = [batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())]
                 names = ["doc_id", "ids"]

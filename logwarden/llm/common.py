@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,13 +49,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
 
 
-def batches(rows: Iterable, size: int) -> Iterator[list]:
-    """Consecutive lists of at most ``size`` rows."""
-    held: list = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield held
-            held = []
-    if held:
-        yield held
+def text_groups(texts: list[str | None], rows: int = 10_000, chars: int = 16_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that a task handles together, bounded in rows and characters."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if i > start and (i - start >= rows or size > chars):
+            yield start, i
+            start, size = i, 0
+        size += len(text or "")
+    if texts:
+        yield start, len(texts)

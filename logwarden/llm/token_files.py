@@ -18,6 +18,7 @@ documents; other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -31,23 +32,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logwarden.llm.common import scratch, settle
+from logwarden.llm.common import scratch, settle, text_groups
 from logwarden.llm.shared_files import attempt_name, create, open_file
 
 FRAME_BYTES = 1 << 20  # token bytes per frame; a longer document has a frame of its own
-CACHE = 300_000  # words a worker remembers
+CACHE = 400_000  # words, and pieces of words, a worker remembers
 # fixed values: magic numbers of the public frame formats
 SEEK_SKIPPABLE, SEEK_FOOTER, OWN_SKIPPABLE = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 _CHECKSUMS = 0x80
 _ODD = "\x1c\x1d\x1e\x1f"  # str.split() takes these for white space, the tokenizer does not
 
 
+# letters and numbers of the first 256 characters after lower-casing, in the splitting pattern of the vocabulary
+_LETTER, _NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
+_PLAIN = re.compile(r"[\x00-\xff]*\Z")
+
+
 class WordEncoder:
-    """Encodes with the tokenizers library, each distinct word once.
+    """Encodes with the tokenizers library, each distinct piece once.
 
     The tokenizer drops white space and never looks across it, so the ids of a text
-    are those of its words in a row. Many new words go to the library in one call,
-    held apart by a special token.
+    are those of its words in a row, and those of a word the ids of the pieces it is
+    split into. Words of the first 256 characters are split here, where neither
+    normal forms nor lower-casing depend on neighbours; any other word goes to the
+    library whole. New pieces go to the library many at a time; the token that ends a word tells them apart.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,36 +64,49 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.apart = "<|startoftext|>"
-        self.apart_id = self.library.token_to_id(self.apart)
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
+        """Make sure that all of ``words`` are in the table."""
         if len(self.words) > CACHE:
             self.words.clear()
-        plain = [w for w in words if "<|" not in w]
-        for at in range(0, len(plain), 4_000):
-            some = plain[at : at + 4_000]
-            ids = np.array(self.library.encode(self.apart.join(some), add_special_tokens=False).ids, "<u4")
-            parts = np.split(ids, np.flatnonzero(ids == self.apart_id))
-            self.words.update((w, (p[1:] if k else p).tobytes()) for k, (w, p) in enumerate(zip(some, parts)))
-        self.words.update((w, self._whole(w)) for w in words if "<|" in w)
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(c in text for c in _ODD) or self.apart_id is None:
-            return self._whole(text)
-        words = text.split()
-        ids = list(map(self.words.get, words))
-        if None in ids:
-            known = self.words
-            self._learn({w for w, i in zip(words, ids) if i is None} if len(known) <= CACHE else set(words))
-            ids = list(map(self.words.__getitem__, words))
-        return b"".join(ids)
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        known = self.pieces
+        split = {w: _PIECES.findall(w.lower()) for w in words if "<|" not in w and _PLAIN.match(w)}
+        fresh = list({p for parts in split.values() for p in parts if p not in known})
+        for at in range(0, len(fresh), 10_000):
+            some = fresh[at : at + 10_000]
+            lines = [" ".join(some[k : k + 500]) for k in range(0, len(some), 500)]
+            coded = self.library.encode_batch_fast(lines, add_special_tokens=False)
+            ids = np.array([i for x in coded for i in x.ids], "<u4")
+            ends = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
+            if len(ends) != len(some) + 1:
+                raise ValueError("the vocabulary does not mark the ends of words")
+            data = ids.tobytes()
+            known.update((p, data[4 * a : 4 * b]) for p, a, b in zip(some, ends, ends[1:]))
+        self.words.update((w, b"".join([known[p] for p in parts])) for w, parts in split.items())
+        self.words.update((w, self._whole(w)) for w in words if w not in split)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        whole = [not t or any(c in t for c in _ODD) for t in texts]
+        split = [[] if odd else t.split() for t, odd in zip(texts, whole)]
+        known = self.words
+        missing = {w for words in split for w in words if w not in known}
+        if missing:
+            full = len(known) > CACHE or len(self.pieces) > CACHE
+            self._learn({w for words in split for w in words} if full else missing)
+        return [
+            self._whole(t or "") if odd else b"".join(map(known.__getitem__, words))
+            for t, odd, words in zip(texts, whole, split)
+        ]
 
 
 @lru_cache(maxsize=2)
@@ -184,8 +206,10 @@ def write_documents(
 
         def encoded() -> Iterator[tuple[int | None, bytes]]:
             for batch in rows:
-                for i in range(batch.num_rows):
-                    yield batch.column(0)[i].as_py(), tool.encode(batch.column(1)[i].as_py()) + end
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for a, b in text_groups(texts):
+                    for doc, tokens in zip(ids[a:b], tool.encode(texts[a:b])):
+                        yield doc, tokens + end
 
         with create(folder, name) as stream:
             totals = write_file(stream, encoded())
