@@ -262,16 +262,21 @@ def replace_entities(docs: DataFrame, text: str = "text", key: bytes = KEY) -> D
     return _replace(docs, joined, text, key)
 
 
-def find_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_entities, spans`` (kind:start:end, comma-joined) of every row."""
+def entities_and_surrogates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_entities, spans`` of the original and the new ``text`` of every row.
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+    Surrogates are as long as their originals, so the spans hold for both texts.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    new = replace_entities(rows)
+    names = ["doc_id", "n_entities", "spans", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             found = [entities(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) for x in found], pa.int64()),
-                 pa.array([",".join(f"{k}:{a}:{b}" for k, a, b in x) for x in found], pa.string())],
-                ["doc_id", "n_entities", "spans"])
+                 pa.array([",".join(f"{k}:{a}:{b}" for k, a, b in x) for x in found], pa.string()), batch.column(1)],
+                names)
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_entities bigint, spans string")
+    return new.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_entities bigint, spans string, text string")

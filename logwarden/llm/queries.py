@@ -12,6 +12,7 @@ from logwarden.llm.bpe import encode_documents
 from logwarden.llm.decontaminate import find_leaks
 from logwarden.llm.license_scan import scan_licenses
 from logwarden.llm.line_quality import measure_lines
+from logwarden.llm.pii import entities_and_surrogates
 from logwarden.llm.secret_scan import scan_secrets
 from logwarden.llm.simhash import near_duplicates
 from logwarden.llm.substring_dedup import remove_repeats
@@ -70,6 +71,10 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities_and_surrogates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -81,5 +86,6 @@ QUERIES: dict[str, Query] = {
         op7_line_quality,
         op8_license_scan,
         op9_bpe_round_trip,
+        op10_pii_surrogates,
     )
 }

@@ -2,7 +2,7 @@ import re
 
 from logwarden.llm import pii
 from logwarden.llm.pii import (
-    distinct_entities, entities, find_entities, normal, render, replace_entities, replace_text, resolve, surrogate,
+    distinct_entities, entities, entities_and_surrogates, normal, render, replace_entities, replace_text, resolve, surrogate,
 )
 
 TEXT = ("Write to Anna.Bo-7@Mail3.example.com or call +1 (386) 555-3733, host 44.161.181.40, card 4944339490429605 "
@@ -73,8 +73,8 @@ def test_documents(spark):
             assert mapping.setdefault((k, form), normal(k, new[i][a:b])) == normal(k, new[i][a:b])
             assert form not in new[i]
     assert changed and len(set(mapping.values())) == len(mapping)
-    spans = {r.doc_id: r.n_entities for r in find_entities(docs).collect()}
-    assert spans == {i: len(entities(t)) for i, t in old.items()}
+    both = {r.doc_id: (r.n_entities, r.text) for r in entities_and_surrogates(docs).collect()}
+    assert both == {i: (len(entities(t)), new[i]) for i, t in old.items()}
 
 
 def test_nulls_repeats_and_empty_tables(spark):
