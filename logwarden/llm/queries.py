@@ -17,6 +17,7 @@ from logwarden.llm.secret_scan import scan_secrets
 from logwarden.llm.simhash import near_duplicates
 from logwarden.llm.substring_dedup import remove_repeats
 from logwarden.llm.token_files import round_trip
+from logwarden.llm.warc import archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +45,10 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("_key")
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
@@ -82,6 +87,7 @@ QUERIES: dict[str, Query] = {
         op2_token_files,
         op3_secret_scan,
         op4_benchmark_leaks,
+        op5_warc_round_trip,
         op6_substring_dedup,
         op7_line_quality,
         op8_license_scan,

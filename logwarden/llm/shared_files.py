@@ -29,7 +29,7 @@ def create(folder: str, name: str):
     """An output stream for a new file."""
     store, path = open_store(folder)
     store.create_dir(path, recursive=True)
-    return store.open_output_stream(f"{path}/{name}")
+    return store.open_output_stream(f"{path}/{name}", compression=None)
 
 
 def open_file(folder: str, name: str):
