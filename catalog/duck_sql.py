@@ -308,7 +308,7 @@ atk_a as (
     case kind when 'failed' then {login('Failed', '"user"', 'ip', 'port')}
       when 'accepted' then {login('Accepted', '"user"', 'ip', 'port')}
       when 'su' then 'user=' || "user" || ' : COMMAND=/bin/su root'
-      else 'user=' || "user" || ' added new user ''backdoor' || lpad(substr(cast(instance as varchar), 1, 2), 2, '0') || ''' to group sudo' end as message,
+      else 'user=' || "user" || ' added new user ''backdoor' || printf('%02d', instance) || ''' to group sudo' end as message,
     scenario, instance, "user", {_kinds(['failed', 'accepted', 'su', 'group'])} as description, step from a3),
 b0 as (select *, unnest([0, 1]) as step from target where scenario = 'B'),
 b1 as (select *, case step when 0 then 'home' else 'foreign' end as kind,
@@ -473,7 +473,9 @@ ROBUST_OVERALL = f"""{ROBUST},{incident_ctes('pred', 'rules_travel', 'g_', RUN)}
 ginc as (select seed, condition, max(incident_id) + 1 as incidents from g_id group by all),
 gfl as (select seed, condition, count(*) filter (where rules_travel) as total_flagged_lines from pred group by all),
 ro0 as (select seed, condition, {_SUMS} from rob group by all),
-ro as materialized (select *, {ROBUST_RATES} from ro0 join gfl using (seed, condition) join ginc using (seed, condition))"""
+ro1 as (select ro0.*, coalesce(total_flagged_lines, 0) as total_flagged_lines, coalesce(incidents, 0) as incidents
+  from ro0 left join gfl using (seed, condition) left join ginc using (seed, condition)),
+ro as materialized (select *, {ROBUST_RATES} from ro1)"""
 CLEAN = f"""{MEASURED},
 clean as materialized (select * from pred where seed = {t.SEEDS[0]} and condition = 'baseline'),
 {incident_ctes('clean', 'rules_travel', 'n_').lstrip()},
@@ -629,8 +631,13 @@ def statements() -> dict[str, str]:
     s["lossy_scenarios"] = over(ROBUST_POOLED, """select p.scenario, p.condition, p.instance_detection_rate,
       b.instance_detection_rate as clean_rate from rp p join rp b on p.scenario = b.scenario and b.condition = 'baseline'
       where p.instance_detection_rate < b.instance_detection_rate""")
+    # only asked where every loss lies in one scenario
     s["compensating_conditions"] = over(ROBUST_POOLED, """select scenario, condition, instances_detected, impossible_travel_hits
-      from rp where instances_detected > impossible_travel_hits""")
+      from rp where instances_detected > impossible_travel_hits and scenario in (
+        select p.scenario from rp p join rp b on p.scenario = b.scenario and b.condition = 'baseline'
+        where p.instance_detection_rate < b.instance_detection_rate)
+      and (select count(distinct p.scenario) from rp p join rp b on p.scenario = b.scenario and b.condition = 'baseline'
+        where p.instance_detection_rate < b.instance_detection_rate) = 1""")
     s["scenario_matrix"] = over(ROBUST_POOLED, """select condition, max(line_detection_rate) filter (where scenario = 'A') as A,
       max(line_detection_rate) filter (where scenario = 'B') as B, max(line_detection_rate) filter (where scenario = 'C') as C
       from rp group by all""")
