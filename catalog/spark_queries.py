@@ -14,6 +14,7 @@ from logwarden.functions.numbers import draw
 from logwarden.operators import assembly, camouflage, forest, injection, metrics, prompts, rules, techniques, triage
 from logwarden.operators.embed import embed_templates
 from logwarden.operators.incidents import assign_incidents
+from logwarden.operators.joins import attach
 from logwarden.operators.quantiles import weighted_quantiles
 from logwarden.operators.severity import highest_severity
 from logwarden.operators.travel import travel_lines
@@ -76,9 +77,9 @@ def parsed_roundtrip(spark, sf_dir):
 def rejected_lines(spark, sf_dir):
     """Prose is no log: every line of the documents goes through the parser's filter."""
     raw = t.table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("value"))
-    bad = logs.rejected_lines(raw).groupBy("lang").agg(F.count("*").alias("rejected"))
-    every = raw.groupBy("lang").agg(F.count("*").alias("lines"))
-    return every.join(bad, "lang", "left").fillna(0, ["rejected"])
+    return raw.groupBy("lang").agg(
+        F.count("*").alias("lines"), F.count_if(~logs.is_log_line(F.col("value"))).alias("rejected")
+    )
 
 
 @query
@@ -113,7 +114,8 @@ def identities(spark, sf_dir):
 @query
 def impossible_travel(spark, sf_dir):
     hits = travel_lines(t.parsed(spark, sf_dir))
-    return t.parsed(spark, sf_dir).join(hits, "line_number").select("line_number", "timestamp", "user", "source_ip")
+    found = attach(t.parsed(spark, sf_dir), hits, ["line_number"], how="inner")
+    return found.select("line_number", "timestamp", "user", "source_ip")
 
 
 @query
@@ -448,7 +450,7 @@ def _robust_overall(spark, sf_dir) -> DataFrame:
     groups = assign_incidents(found, run=RUN, flag="rules_travel").groupBy(*RUN).agg(
         (F.max("incident_id") + 1).alias("incidents")
     )
-    return metrics.robustness_overall(_robust(spark, sf_dir), totals.join(groups, list(RUN)))
+    return metrics.robustness_overall(_robust(spark, sf_dir), totals.join(groups, list(RUN), "left"))
 
 
 @query

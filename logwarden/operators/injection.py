@@ -121,7 +121,8 @@ def inject_brute_force(targets: DataFrame) -> DataFrame:
         )
 
     ip, port = _host(INSIDER_NETWORK, "ip"), _port()
-    created = F.concat(F.lit("backdoor"), F.lpad(F.col("instance").cast("string"), 2, "0"))
+    # padded to two digits, never cut
+    created = F.concat(F.lit("backdoor"), F.format_string("%02d", F.col("instance")))
     rows = (
         targets.filter(F.col("scenario") == BRUTE_FORCE)
         .withColumn("_tries", tries)

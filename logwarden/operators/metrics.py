@@ -110,7 +110,8 @@ def pool_scenarios(counts: DataFrame, by: Sequence[str]) -> DataFrame:
 def sweep_choice(pooled: DataFrame) -> DataFrame:
     """Best F1 (lowest share on a tie) and the cheapest share that misses no instance.
 
-    ``noise_ratio`` compares lines flagged at 0.20 with those at the cheapest share.
+    ``noise_ratio`` compares lines flagged at 0.20 with those at the cheapest share;
+    it is null unless that share is below 0.20.
     """
     complete = F.col("instance_detection_rate") >= 1.0
     share, flagged = F.col("share"), F.col("flagged")
@@ -120,7 +121,9 @@ def sweep_choice(pooled: DataFrame) -> DataFrame:
     return pooled.agg(best.alias("b"), cheapest.alias("c"), current.alias("now")).select(
         (-F.col("b.share")).alias("best_f1_share"),
         F.col("c.share").alias("cheapest_complete_share"),
-        F.bround(F.col("now") / F.greatest(F.col("c.flagged"), F.lit(1)), 1).alias("noise_ratio"),
+        F.when(
+            F.col("c.share") < 0.20, F.bround(F.col("now") / F.greatest(F.col("c.flagged"), F.lit(1)), 1)
+        ).alias("noise_ratio"),
     )
 
 
@@ -160,9 +163,12 @@ ROBUST = ("attack_lines", "lines_detected", "instances", "instances_detected")
 
 
 def robustness_overall(counts: DataFrame, totals: DataFrame, run: Sequence[str] = ("seed", "condition")) -> DataFrame:
-    """All scenarios of a run; ``totals`` brings ``total_flagged_lines`` and ``incidents``."""
+    """All scenarios of a run; ``totals`` brings ``total_flagged_lines`` and ``incidents``.
+
+    A run without flagged lines or incidents counts none of them.
+    """
     sums = counts.groupBy(*run).agg(*[F.sum(c).alias(c) for c in ROBUST])
-    return _robust_rates(sums.join(totals, list(run)))
+    return _robust_rates(sums.join(totals, list(run), "left").fillna(0, ["total_flagged_lines", "incidents"]))
 
 
 def pool_robustness(counts: DataFrame, by: Sequence[str] = ("condition", "scenario")) -> DataFrame:
@@ -215,11 +221,16 @@ def lossy_scenarios(per_scenario: DataFrame, clean: str = "baseline") -> DataFra
     ).select("scenario", "condition", "instance_detection_rate", "clean_rate")
 
 
-def compensating_conditions(per_scenario: DataFrame) -> DataFrame:
-    """Where more instances of a scenario are caught than the travel rule explains."""
-    return per_scenario.filter(F.col("instances_detected") > F.col("impossible_travel_hits")).select(
-        "scenario", "condition", "instances_detected", "impossible_travel_hits"
-    )
+def compensating_conditions(per_scenario: DataFrame, clean: str = "baseline") -> DataFrame:
+    """Where more instances of the lossy scenario are caught than the travel rule explains.
+
+    Empty unless all losses lie in one scenario.
+    """
+    lossy = lossy_scenarios(per_scenario, clean).agg(F.collect_set("scenario").alias("_lossy"))  # a few codes
+    only = lossy.filter(F.size("_lossy") == 1).select(F.element_at("_lossy", 1).alias("scenario"))
+    return per_scenario.join(only, "scenario").filter(
+        F.col("instances_detected") > F.col("impossible_travel_hits")
+    ).select("scenario", "condition", "instances_detected", "impossible_travel_hits")
 
 
 def scenario_matrix(per_scenario: DataFrame, value: str, scenarios: Sequence[str] = ("A", "B", "C")) -> DataFrame:

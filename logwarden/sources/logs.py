@@ -82,10 +82,14 @@ def parse_lines(lines: DataFrame, year: int | None = None) -> DataFrame:
     )
 
 
+def is_log_line(value: Column) -> Column:
+    """Whether the parser accepts a line."""
+    return F.coalesce(text.strip(value).rlike(text.LINE_HEAD), F.lit(False))
+
+
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """Lines the parser does not accept, for a look at what was dropped."""
-    raw = text.strip(F.col("value"))
-    return lines.filter(~F.coalesce(raw.rlike(text.LINE_HEAD), F.lit(False)))
+    return lines.filter(~is_log_line(F.col("value")))
 
 
 def format_line(host: str | Column = "server1") -> Column:

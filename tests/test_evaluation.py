@@ -151,7 +151,9 @@ def test_ranking_and_losses(spark):
     pooled = metrics.pool_robustness(counts)
     assert [(r["scenario"], r["condition"]) for r in metrics.lossy_scenarios(pooled).collect()] == [("B", "slow")]
     over = {(r["scenario"], r["condition"]) for r in metrics.compensating_conditions(pooled).collect()}
-    assert over == {("A", "baseline"), ("A", "slow"), ("A", "noise"), ("B", "noise")}
+    assert over == {("B", "noise")}
+    two = pooled.withColumn("instance_detection_rate", F.when(F.col("condition") == "slow", 0.1).otherwise(F.col("instance_detection_rate")))
+    assert metrics.compensating_conditions(two).count() == 0
     ranked = metrics.rank_strategies(metrics.pool_robustness(counts, ["condition"]), ["baseline", "slow", "noise"])
     assert [r["condition"] for r in ranked.orderBy("rank").collect()] == ["slow", "noise"]
     wide = {r["condition"]: r for r in metrics.scenario_matrix(pooled, "line_detection_rate").collect()}
@@ -164,6 +166,23 @@ def test_sweep_choice(spark):
     row = metrics.sweep_choice(table).first()
     assert (row["best_f1_share"], row["cheapest_complete_share"], row["noise_ratio"]) == (0.10, 0.10, 2.3)
     assert metrics.sweep_choice(table.filter("share < 0.1")).first()["cheapest_complete_share"] is None
+    none = metrics.sweep_choice(table.filter("share in (0.05, 0.2)").withColumn("instance_detection_rate", F.lit(0.9))).first()
+    late = metrics.sweep_choice(table.filter("share in (0.05, 0.2)")).first()
+    assert (none["noise_ratio"], late["noise_ratio"], late["cheapest_complete_share"]) == (None, None, 0.2)
+
+
+@pytest.mark.parametrize(("instance", "name"), [(7, "backdoor07"), (99, "backdoor99"), (100, "backdoor100"), (1000, "backdoor1000")])
+def test_numbers_are_padded_and_never_cut(spark, instance, name):
+    target = spark.sql(f"select 1L seed, 'A' scenario, {instance} instance, 'bob' user, '10.0.1.' home, date'2026-07-14' day")
+    assert inject(target).filter(F.col("message").contains(f"'{name}'")).count() == 1
+
+
+def test_runs_without_incidents_stay(spark):
+    counts = spark.createDataFrame([(1, "c", "A", 4, 0, 2, 0), (2, "c", "A", 4, 3, 2, 2)],
+        "seed BIGINT, condition STRING, scenario STRING, attack_lines BIGINT, lines_detected BIGINT, instances BIGINT, instances_detected BIGINT")
+    totals = spark.createDataFrame([(2, "c", 3, 1)], "seed BIGINT, condition STRING, total_flagged_lines BIGINT, incidents BIGINT")
+    found = {r["seed"]: (r["total_flagged_lines"], r["incidents"]) for r in metrics.robustness_overall(counts, totals).collect()}
+    assert found == {1: (0, 0), 2: (3, 1)}
 
 
 def test_run_matrix(spark, background):
