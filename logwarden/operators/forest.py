@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logwarden.config import DEFAULTS, Settings
 from logwarden.operators.embed import Encoder, settled_embeddings
@@ -27,6 +28,8 @@ from logwarden.session import settle, spread
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GLOBAL = "global"
+ORDER_SLICES = 64  # parts in which the templates of a model are ordered
+BLOCKS = 4096  # parts of a model's ordinals in which draws look for their template
 TREE_COLUMNS = ["tree", "size", "feature", "threshold", "left", "right", "path"]
 TREE_SCHEMA = (
     "tree INT, size INT, feature ARRAY<INT>, threshold ARRAY<DOUBLE>, "
@@ -93,23 +96,6 @@ def _seeded(*parts: object) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(digest, "little"))
 
 
-def _thin(settings: Settings):
-    """How many of a template's lines enter the bounded sample of its model.
-
-    Each line is kept with the same chance; the draw is seeded by model and
-    template, so it does not depend on partitions.
-    """
-    seed = settings.seed
-
-    @F.pandas_udf("bigint")
-    def thin(key: pd.Series, n: pd.Series, chance: pd.Series) -> pd.Series:
-        return pd.Series([
-            int(_seeded(seed, k).binomial(int(c), p)) for k, c, p in zip(key, n, chance)
-        ], dtype="int64")
-
-    return thin
-
-
 def model_of(user: Column) -> Column:
     return F.concat(F.lit("user:"), user)
 
@@ -132,32 +118,83 @@ def population(pairs: DataFrame, settings: Settings = DEFAULTS, run: Sequence[st
     )
 
 
+def _ordinals(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_start``, the lines of the model before this template's, in a fixed order of templates.
+
+    Templates are ordered by (slice, name), so no window holds all templates of a
+    model; the slices of a model are a few rows.
+    """
+    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64("template"), F.lit(ORDER_SLICES)).cast("int"))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.sum("n").over(earlier.partitionBy(*keys, "_slice").orderBy("template"))
+    sums = sliced.groupBy(*keys, "_slice").agg(F.sum("n").alias("_sum"))
+    before = F.sum("_sum").over(earlier.partitionBy(*keys).orderBy("_slice"))
+    offsets_of = sums.select(*keys, "_slice", F.coalesce(before, F.lit(0)).alias("_offset"))
+    return (
+        sliced.withColumn("_inside", F.coalesce(inside, F.lit(0)))
+        .join(offsets_of, [*keys, "_slice"])
+        .withColumn("_start", F.col("_offset") + F.col("_inside"))
+        .drop("_slice", "_inside", "_offset")
+    )
+
+
+def draw_lines(rows: DataFrame, settings: Settings = DEFAULTS, run: Sequence[str] = ()) -> DataFrame:
+    """Every tree's own lines as ``(run..., model, template, drawn ARRAY<(tree, m)>)``.
+
+    Each tree draws min(subsample, n) different ones of all n lines of its model, whatever
+    n is. A drawn line is found by its ordinal: templates carry ranges of ordinals, cut
+    at multiples of a block so that ranges and draws meet by equality.
+    """
+    keys = [*run, "model"]
+    trees, subsample, seed = settings.trees, settings.subsample, settings.seed
+    types = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "_block BIGINT, tree INT, ordinal BIGINT"])
+
+    def draw(models: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in models:
+            for row in batch.itertuples(index=False):
+                key, total = row[:-1], int(row[-1])
+                size, width = min(subsample, total), -(-total // BLOCKS)
+                for tree in range(trees):
+                    picked = _seeded(seed, *key, tree, "lines").choice(total, size, replace=False, shuffle=False)
+                    yield pd.DataFrame(
+                        {**dict(zip(keys, key)), "_block": picked // width, "tree": tree, "ordinal": picked})
+
+    models = rows.groupBy(*keys).agg(F.max("total").alias("total"))
+    drawn = spread(models, *keys).mapInPandas(draw, schema)
+    width = F.ceil(F.col("total") / BLOCKS).cast("bigint")
+    first, last = F.floor(F.col("_start") / width), F.floor((F.col("_start") + F.col("n") - 1) / width)
+    ranges = _ordinals(rows, keys).select(
+        *keys, "template", "_start", (F.col("_start") + F.col("n")).alias("_end"),
+        F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))).alias("_block"),
+    )
+    hit = drawn.join(ranges, [*keys, "_block"]).filter("ordinal >= _start and ordinal < _end")
+    per_tree = hit.groupBy(*keys, "template", "tree").agg(F.count("*").alias("m"))
+    # at most one entry for each tree
+    return per_tree.groupBy(*keys, "template").agg(
+        F.array_sort(F.collect_list(F.struct("tree", "m"))).alias("drawn"))
+
+
 def fit_forests(
     rows: DataFrame, vectors: DataFrame, settings: Settings = DEFAULTS, run: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per tree. A model sees about trees * subsample lines at most, drawn evenly."""
-    run = list(run)
-    bound = settings.trees * settings.subsample
-    chance = F.lit(float(bound)) / F.col("total")
-    thinned = _thin(settings)(F.concat_ws("|", *run, "model", "template"), F.col("n"), chance)
-    small = rows.filter(F.col("total") <= bound).withColumn("m", F.col("n"))
-    large = rows.filter(F.col("total") > bound).withColumn("m", thinned)
-    sampled = small.unionByName(large).filter(F.col("m") > 0)
-    training = sampled.select(*run, "model", "template", "m").join(vectors, "template")
-    trees, subsample, seed = settings.trees, settings.subsample, settings.seed
+    """One row per tree. Only drawn lines meet their vectors: trees * subsample of them per model at most."""
     keys = [*run, "model"]
+    training = draw_lines(rows, settings, run).join(vectors, "template")
+    trees, seed = settings.trees, settings.seed
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("template")
         x = np.array(group["embedding"].tolist(), dtype=np.float64)
-        counts = group["m"].to_numpy()
-        size = int(min(subsample, counts.sum()))
+        counts = np.zeros((trees, len(group)), dtype=np.int64)
+        for at, drawn in enumerate(group["drawn"]):
+            for entry in drawn:
+                counts[entry["tree"], at] = entry["m"]
         out = []
         for tree in range(trees):
+            used = np.flatnonzero(counts[tree])
             rng = _seeded(seed, *key, tree)
-            drawn = rng.multivariate_hypergeometric(counts, size, method="marginals")
-            used = np.flatnonzero(drawn)
-            out.append((*key, tree, size, *grow_tree(x[used], drawn[used], rng)))
+            out.append((*key, tree, int(counts[tree].sum()), *grow_tree(x[used], counts[tree, used], rng)))
         return pd.DataFrame(out, columns=[*keys, *TREE_COLUMNS])
 
     types = dict(rows.dtypes)

@@ -71,7 +71,31 @@ def test_partitions_and_limits_change_nothing(spark, blobs):
                                   second.sort_values(key).reset_index(drop=True))
 
 
-def test_large_models_are_trained_on_a_bounded_sample(spark):
+@pytest.mark.parametrize("copies", [1, 40])
+def test_every_line_has_the_same_chance_at_any_size(spark, copies):
+    settings = Settings(trees=200, subsample=16)
+    rows = spark.range(30).select(
+        F.lit("m").alias("model"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("template"),
+        ((1 + F.col("id") % 3) * copies).alias("n"), F.lit(60 * copies).cast("bigint").alias("total"),
+        F.lit(30).cast("bigint").alias("templates"))
+    drawn = {r["template"]: r["drawn"] for r in forest.draw_lines(rows, settings).collect()}
+    per_tree = np.zeros(200, int)
+    for entries in drawn.values():
+        for e in entries:
+            per_tree[e["tree"]] += e["m"]
+    assert (per_tree == 16).all()  # each tree draws for itself, the same number from any model
+    for r in rows.collect():
+        taken = [e["m"] for e in drawn[r["template"]]]
+        assert max(taken) <= r["n"]
+        expected = 200 * 16 * r["n"] / r["total"]
+        assert abs(sum(taken) - expected) < 5 * expected**0.5
+    # the whole model where it has no more lines than a tree may draw
+    small = rows.filter("template in ('t0', 't1')").withColumn("n", F.lit(3).cast("bigint")).withColumn("total", F.lit(6).cast("bigint"))
+    whole = {r["template"]: [e["m"] for e in r["drawn"]] for r in forest.draw_lines(small, settings).collect()}
+    assert whole == {"t0": [3] * 200, "t1": [3] * 200}
+
+
+def test_large_models_score_alike_again(spark):
     settings = Settings(trees=4, subsample=16)
     rows = spark.range(3000).select(
         F.lit("u").alias("user"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("template"),
