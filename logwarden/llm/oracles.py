@@ -1,3 +1,93 @@
-"""The registered corpus queries in DuckDB SQL, where SQL can express them."""
+"""The registered corpus queries in DuckDB SQL, where SQL can express them.
 
-ORACLES: dict[str, str] = {}
+Fingerprints, tokens, entropy, surrogates and the license rules have no SQL form;
+their queries are tested against brute force.
+"""
+
+from __future__ import annotations
+
+from logwarden.llm.decontaminate import SHINGLE, SIMILARITY
+from logwarden.llm.line_quality import BOILERPLATE, ENDINGS, SEPARATORS, SYMBOLS, LineRules
+from logwarden.llm.substring_dedup import WINDOW
+from logwarden.llm.warc import REVISIT_BYTES
+
+_WORD, _BLANK = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
+_RULES = LineRules()
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+LEAKS = rf"""
+with dw as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') as w from documents),
+bw as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') as w from benchmark),
+dsh as materialized (select doc_id, i, array_to_string(w[i + 1:i + {SHINGLE}], ' ') as g
+  from (select doc_id, w, unnest(range(0, len(w) - {SHINGLE - 1})) as i from dw)),
+bsh as materialized (select item_id, n, i as at, array_to_string(w[i + 1:i + {SHINGLE}], ' ') as g
+  from (select item_id, w, len(w) - {SHINGLE - 1} as n, unnest(range(0, len(w) - {SHINGLE - 1})) as i from bw)),
+bc as (select item_id, g, count(*) as k from bsh group by all),
+cand as (select distinct d.doc_id, b.item_id, b.n, greatest(d.i - b.at, 0) as start from dsh d join bsh b using (g)),
+have as (select c.doc_id, c.item_id, c.start, c.n, d.g, count(*) as c
+  from cand c join dsh d on d.doc_id = c.doc_id and d.i between c.start and c.start + c.n - 1 group by all),
+sums as (select doc_id, item_id, start, n, sum(c) as size, sum(coalesce(least(c, k), 0)) as common
+  from have left join bc using (item_id, g) group by all)
+select doc_id, item_id, cast(start as integer) as start, common / (size + n - common) as similarity from sums
+where common / (size + n - common) >= {SIMILARITY}
+qualify row_number() over (partition by doc_id, item_id order by common / (size + n - common) desc, start) = 1
+"""
+
+WARC = f"""
+with p as (select page_id, coalesce(html, '') as body from pages),
+q as (select page_id, strlen(body) as payload_bytes, sha1(body) as payload_digest, max(page_id) over (partition by body) as holder from p)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+  case when payload_bytes >= {REVISIT_BYTES} and holder <> page_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= {REVISIT_BYTES} and holder <> page_id then holder end as refers_to
+from q
+"""
+
+SUBSTRINGS = f"""
+with w as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') as g
+  from (select doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) as i from w)),
+rep as (select doc_id, i from (select *, min(doc_id) over (partition by g) as owner from win) where owner < doc_id),
+gone as (select distinct doc_id, i + unnest(range(0, {WINDOW})) as i from rep),
+word as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as x from w),
+kept as (select doc_id, string_agg(x, ' ' order by i) as x from word anti join gone using (doc_id, i) group by doc_id),
+cut as (select doc_id, count(*) as n from gone group by doc_id)
+select w.doc_id, len(w.w) as n_words, coalesce(cut.n, 0) as n_removed, sha256(coalesce(kept.x, '')) as kept_sha256
+from w left join kept using (doc_id) left join cut using (doc_id)
+"""
+
+QUALITY = f"""
+with d as materialized (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents),
+win as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g
+  from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
+twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from win) where n > 1),
+rep as (select doc_id, count(distinct p) as n from (select doc_id, i + unnest([0, 1, 2]) as p from twice) group by doc_id),
+line as (select doc_id, x from (select doc_id, unnest(string_split(t, chr(10))) as x from d) where regexp_matches(x, '{_WORD}')),
+judged as (select doc_id, x,
+  right(regexp_replace(x, '{_BLANK}$', ''), 1) not in ({", ".join(map(_quoted, ENDINGS))})
+  or len(regexp_extract_all(x, '{SEPARATORS}')) >= {_RULES.separators}
+  or (len(regexp_extract_all(x, '[{SYMBOLS}]')) > 0
+    and len(regexp_extract_all(x, '[{SYMBOLS}]')) > {_RULES.symbols_per_word} * len(regexp_extract_all(x, '{_WORD}')))
+  or (length(x) <= {_RULES.boilerplate_chars} and regexp_matches(x, {_quoted(BOILERPLATE)})) as fails from line),
+lines as (select doc_id, count(*) - count(distinct x) as dup,
+  coalesce(sum(length(regexp_replace(x, '{_BLANK}', '', 'g'))) filter (where fails), 0) as lost from judged group by doc_id),
+m as (select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+  len(regexp_extract_all(t, '[{SYMBOLS}]')) as n_symbols, coalesce(lines.dup, 0) as n_dup_lines,
+  coalesce(rep.n, 0) as n_repeat_words, coalesce(lines.lost, 0) as lost
+  from d left join lines using (doc_id) left join rep using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < {_RULES.min_words} or 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words as base_failed,
+  not (n_words < {_RULES.min_words} or 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words)
+    and lost <= {_RULES.max_lost} * word_chars as kept
+from m
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_benchmark_leaks": LEAKS,
+    "op5_warc_round_trip": WARC,
+    "op6_substring_dedup": SUBSTRINGS,
+    "op7_line_quality": QUALITY,
+}
