@@ -638,9 +638,9 @@ def statements() -> dict[str, str]:
         where p.instance_detection_rate < b.instance_detection_rate)
       and (select count(distinct p.scenario) from rp p join rp b on p.scenario = b.scenario and b.condition = 'baseline'
         where p.instance_detection_rate < b.instance_detection_rate) = 1""")
-    s["scenario_matrix"] = over(ROBUST_POOLED, """select condition, max(line_detection_rate) filter (where scenario = 'A') as A,
-      max(line_detection_rate) filter (where scenario = 'B') as B, max(line_detection_rate) filter (where scenario = 'C') as C
-      from rp group by all""")
+    for name, value in (("", "line_detection_rate"), ("_instances", "instance_detection_rate"), ("_travel", "impossible_travel_hits")):
+        s[f"scenario_matrix{name}"] = over(ROBUST_POOLED, "select condition, " + ", ".join(
+            f"max({value}) filter (where scenario = '{c}') as {c}" for c in "ABC") + " from rp group by all")
     s["side_by_side"] = over(POOLED, f"""select a.condition, a.recall as rules_recall, b.recall as rules_travel_recall,
       {r3("b.recall - a.recall")} as recall_delta, a.f1 as rules_f1, b.f1 as rules_travel_f1, {r3("b.f1 - a.f1")} as f1_delta
       from pooled a join pooled b on a.condition = b.condition and a.detector = 'rules' and b.detector = 'rules_travel'""")

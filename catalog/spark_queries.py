@@ -493,6 +493,18 @@ def scenario_matrix(spark, sf_dir):
     return metrics.scenario_matrix(pooled, "line_detection_rate")
 
 
+@query
+def scenario_matrix_instances(spark, sf_dir):
+    pooled = metrics.pool_robustness(_robust(spark, sf_dir))
+    return metrics.scenario_matrix(pooled, "instance_detection_rate")
+
+
+@query
+def scenario_matrix_travel(spark, sf_dir):
+    pooled = metrics.pool_robustness(_robust(spark, sf_dir))
+    return metrics.scenario_matrix(pooled, "impossible_travel_hits")
+
+
 @query
 def side_by_side(spark, sf_dir):
     pooled = metrics.pool_counts(_confusion(spark, sf_dir), ["condition", "detector"])

@@ -59,6 +59,7 @@ class Settings:
     instances_per_scenario: int = 3
     # physical limits; they choose a plan and never change a result
     broadcast_rows: int = 200_000     # a checked side up to here is broadcast
+    broadcast_bytes: int = 32 << 20   # and up to this size of its compressed files
     heavy_key_rows: int = 5_000_000   # a join key above this is split
     chunk_hours: int = 24             # width of a time slice in span windows
     piece_lines: int = 1 << 20        # width of a line-number slice inside one second

@@ -13,6 +13,11 @@ from logwarden.session import settle
 _SALT = "_salt"
 
 
+def written_bytes(table: DataFrame) -> int:
+    """Size of the files behind a settled table, which bounds what a broadcast of it moves."""
+    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def attach(
     left: DataFrame,
     right: DataFrame,
@@ -24,8 +29,9 @@ def attach(
 ) -> DataFrame:
     """Join ``right`` (one row per key) to the much larger ``left``.
 
-    ``right`` is computed once and counted. Up to ``broadcast_rows`` it is
-    broadcast and ``left`` is not shuffled at all. Above that both sides are
+    ``right`` is computed once, counted and measured. Up to ``broadcast_rows`` rows
+    and ``broadcast_bytes`` bytes it is broadcast and ``left`` is not shuffled at all.
+    Above that both sides are
     shuffled; when ``rows`` names the column of ``right`` holding how many left
     rows carry the key, each heavy key is cut into slices by ``salt_on`` so that
     no task receives one key whole. The table of heavy keys holds at most
@@ -34,7 +40,7 @@ def attach(
     """
     on = list(on)
     right = settle(right)
-    if right.count() <= settings.broadcast_rows:
+    if written_bytes(right) <= settings.broadcast_bytes and right.count() <= settings.broadcast_rows:
         kept = right.drop(rows) if rows else right
         return left.join(F.broadcast(kept), on, how)
     if rows is None:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from logwarden.functions import text
 from logwarden.session import settle
 
+MAX_BROADCAST_SPLITS = 1_000_000
+
 PARSED_COLUMNS = (
     "line_number",
     "timestamp",
@@ -46,9 +48,12 @@ def read_lines(spark: SparkSession, path: str, across_files: bool = False) -> Da
         earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
         bases = files.select("path", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_base"))
         splits, offset = splits.join(bases, "path"), offset + F.col("_base")
-    heads = splits.select("path", "_split", "_head", offset.alias("_offset"))
-    # one row per file split; the optimizer sees its size and picks the strategy
-    return rows.join(heads, ["path", "_split"]).select(
+    file = F.xxhash64("path").alias("_file")
+    heads = settle(splits.select(file, "_split", "_head", offset.alias("_offset")))
+    # four numbers per file split: a checked broadcast up to a million splits, so the log is not moved
+    if heads.count() <= MAX_BROADCAST_SPLITS:
+        heads = F.broadcast(heads)
+    return rows.withColumn("_file", file).join(heads, ["_file", "_split"]).select(
         "path", (F.col("_offset") + F.col("_at") - F.col("_head") + 1).alias("line_number"), "value"
     )
 

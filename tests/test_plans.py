@@ -3,11 +3,15 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from catalog import tables as t
 from catalog.spark_queries import QUERIES
 from logwarden.operators import assembly, prompts, rules, triage
+from logwarden.config import Settings
+from logwarden.operators.joins import attach
 from logwarden.operators.travel import travel_lines
+from logwarden.sources.logs import read_lines
 from logwarden.sources.tables import read_parsed, write_parsed
 
 SF = "/root/testdata/sf0.001"
@@ -34,6 +38,24 @@ def test_travel_reads_only_what_it_needs(parsed):
     assert "IsNotNull(source_ip)" in plan and "PushedFilters" in plan
 
 
+def test_line_numbers_do_not_move_the_log(spark, tmp_path):
+    (tmp_path / "a.log").write_text("x\ny\n")
+    plan = plan_of(read_lines(spark, str(tmp_path)))
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_wide_tables_are_not_broadcast(spark):
+    left = spark.range(50).withColumn("k", F.col("id") % 5)
+    right = spark.range(5).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    assert "BroadcastHashJoin" in plan_of(attach(left, right, ["k"]))
+    small = Settings(broadcast_bytes=10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" not in plan_of(attach(left, right, ["k"], settings=small))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_keyword_rule_is_one_narrow_scan(parsed):
     plan = plan_of(rules.privileged_command_lines(parsed))
     assert read_columns(plan) == {"line_number", "message"} and "Exchange" not in plan
