@@ -561,13 +561,12 @@ def statements() -> dict[str, str]:
     s["incident_users"] = over(GROUPED, 'select distinct incident_id, "user" from tagged')
     s["incident_events"] = over(GROUPED, """select incident_id, line_number, coalesce(cast("timestamp" as varchar), '') as "timestamp",
       coalesce("user", '') as "user", coalesce(source_ip, '') as source_ip, coalesce(message, '') as message from tagged""")
-    s["incident_records"] = over(GROUPED, """select incident_id, page, i.summary, array_to_string(i.users, ',') as users,
-      cast(i."start" as varchar) as "start", cast(i."end" as varchar) as "end", i.event_count, i.severity,
-      i.technique_names as techniques, e.events
-      from inc i join (select incident_id, page, string_agg(cast("timestamp" as varchar) || '|' || "user" || '|' || coalesce(source_ip, '')
-        || '|' || message, chr(10) order by seq) as events
-        from (select *, seq // 1000 as page from (select *, row_number() over (partition by incident_id order by "timestamp", line_number) - 1 as seq
-          from tagged)) group by all) e using (incident_id)""")
+    s["incident_records"] = over(GROUPED, """select incident_id, summary, array_to_string(users, ',') as users,
+      cast("start" as varchar) as "start", cast("end" as varchar) as "end", event_count, severity, technique_names as techniques from inc""")
+    s["incident_event_records"] = over(GROUPED, """select incident_id,
+      row_number() over (partition by incident_id order by "timestamp", line_number) - 1 as position,
+      coalesce(cast("timestamp" as varchar), '') as "timestamp", coalesce("user", '') as "user",
+      coalesce(source_ip, '') as source_ip, coalesce(message, '') as message from tagged""")
     s["run_counters"] = over(GROUPED, """select count(*) as log_rows, count(*) filter (where is_anomaly) as flagged,
       count(*) filter (where impossible_travel) as via_travel, (select count(*) from inc) as incidents,
       (select count(*) filter (where event_count > 1) from inc) as multi_event from judged""")

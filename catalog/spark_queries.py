@@ -252,16 +252,21 @@ def incident_events(spark, sf_dir):
 def incident_records(spark, sf_dir):
     """Exported as JSON records and read back."""
     path = t.scratch(spark, "incidents")
-    files.write_incidents(assembly.incident_records(t.tagged(spark, sf_dir), t.incidents(spark, sf_dir)), path)
+    files.write_incidents(assembly.incident_records(t.incidents(spark, sf_dir)), path)
     return files.read_incidents(spark, path).select(
-        "incident_id", "page", "summary", F.array_join("users", ",").alias("users"), "start", "end",
-        "event_count", "severity",
+        "incident_id", "summary", F.array_join("users", ",").alias("users"), "start", "end", "event_count", "severity",
         F.array_join(F.transform("mitre_techniques", lambda m: m["technique_name"]), ",").alias("techniques"),
-        F.array_join(F.transform("events", lambda e: F.concat_ws(
-            "|", e["timestamp"], e["user"], e["source_ip"], e["message"])), "\n").alias("events"),
     )
 
 
+@query
+def incident_event_records(spark, sf_dir):
+    """The events of all incidents as JSON records, read back."""
+    path = t.scratch(spark, "incident-events")
+    files.write_incident_events(assembly.incident_event_records(t.tagged(spark, sf_dir)), path)
+    return files.read_incident_events(spark, path)
+
+
 @query
 def run_counters(spark, sf_dir):
     return assembly.run_counters(t.judged(spark, sf_dir), t.incidents(spark, sf_dir))

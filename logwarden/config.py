@@ -64,7 +64,6 @@ class Settings:
     chunk_hours: int = 24             # width of a time slice in span windows
     piece_lines: int = 1 << 20        # width of a line-number slice inside one second
     models_rows_per_task: int = 20_000
-    events_per_page: int = 1_000      # incident events per exported record
 
 
 DEFAULTS = Settings()

@@ -102,40 +102,27 @@ def incident_events(tagged: DataFrame, run: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def incident_records(
-    tagged: DataFrame, incidents: DataFrame, settings: Settings = DEFAULTS, run: Sequence[str] = ()
-) -> DataFrame:
-    """Nested export records.
-
-    Events are placed inside their incident and cut into pages, so that an
-    incident of any size is exported whole while no record grows without limit.
-    Nearly all incidents are one record, page 0.
-    """
-    incident = [*run, "incident_id"]
-    events = number_rows(tagged, [*incident, "timestamp", "line_number"], "_at", start=0)
-    firsts = events.groupBy(*incident).agg(F.min("_at").alias("_head"), F.count("*").alias("_rows"))
-    placed = attach(events, firsts, incident, how="inner", rows="_rows", settings=settings)
-    pages = (
-        placed.withColumn("_seq", F.col("_at") - F.col("_head"))
-        .withColumn("page", F.floor(F.col("_seq") / settings.events_per_page))
-    )
-    shown = incident_events(pages, [*run, "page", "_seq"])
-    event = F.struct("_seq", "timestamp", "user", "source_ip", "message")
-    paged = shown.groupBy(*incident, "page").agg(F.array_sort(F.collect_list(event)).alias("_events"))
-    heads = incidents.select(
-        *incident, "summary", "users", "source_ips", _moment(F.col("start")).alias("start"),
+def incident_records(incidents: DataFrame, run: Sequence[str] = ()) -> DataFrame:
+    """Export records, one per incident at any size; its events are a table of their own."""
+    return incidents.select(
+        *run, "incident_id", "summary", "users", "source_ips", _moment(F.col("start")).alias("start"),
         _moment(F.col("end")).alias("end"), "event_count", "severity",
         F.transform("mitre_techniques", lambda t: F.struct(
             t["technique_id"].alias("technique_id"), t["technique_name"].alias("technique_name"),
             t["tactic"].alias("tactic"))).alias("mitre_techniques"),
     )
-    return heads.join(paged, incident).select(
-        *incident, "page", "summary", "users", "source_ips", "start", "end", "event_count", "severity",
-        "mitre_techniques",
-        F.transform("_events", lambda e: F.struct(
-            e["timestamp"].alias("timestamp"), e["user"].alias("user"), e["source_ip"].alias("source_ip"),
-            e["message"].alias("message"))).alias("events"),
-    )
+
+
+def incident_event_records(
+    tagged: DataFrame, settings: Settings = DEFAULTS, run: Sequence[str] = ()
+) -> DataFrame:
+    """Export records of events, flat, by ``(incident_id, position)`` in order of time and line."""
+    incident = [*run, "incident_id"]
+    events = number_rows(tagged, [*incident, "timestamp", "line_number"], "_at", start=0)
+    firsts = events.groupBy(*incident).agg(F.min("_at").alias("_head"), F.count("*").alias("_rows"))
+    placed = attach(events, firsts, incident, how="inner", rows="_rows", settings=settings)
+    shown = incident_events(placed.withColumn("position", F.col("_at") - F.col("_head")), [*run, "position"])
+    return shown.select(*incident, "position", "timestamp", "user", "source_ip", "message")
 
 
 def run_counters(scored: DataFrame, incidents: DataFrame, run: Sequence[str] = ()) -> DataFrame:

@@ -17,10 +17,15 @@ def labels_schema() -> str:
     )
 
 
-def incident_schema() -> str:
+def incident_schema(nested: bool = False) -> str:
+    """One record per incident; ``nested`` for files of others that hold the events inside."""
+    events = ", events ARRAY<STRUCT<timestamp: STRING, user: STRING, source_ip: STRING, message: STRING>>"
     return (
-        "incident_id BIGINT, page BIGINT, summary STRING, users ARRAY<STRING>, "
+        "incident_id BIGINT, summary STRING, users ARRAY<STRING>, "
         "source_ips ARRAY<STRING>, start STRING, `end` STRING, event_count BIGINT, severity STRING, "
-        "mitre_techniques ARRAY<STRUCT<technique_id: STRING, technique_name: STRING, tactic: STRING>>, "
-        "events ARRAY<STRUCT<timestamp: STRING, user: STRING, source_ip: STRING, message: STRING>>"
-    )
+        "mitre_techniques ARRAY<STRUCT<technique_id: STRING, technique_name: STRING, tactic: STRING>>"
+    ) + events * nested
+
+
+def incident_events_schema() -> str:
+    return "incident_id BIGINT, position BIGINT, timestamp STRING, user STRING, source_ip STRING, message STRING"

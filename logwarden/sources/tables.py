@@ -47,8 +47,18 @@ def write_incidents(records: DataFrame, path: str) -> None:
 
 
 def read_incidents(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
-    """Incident records; ``array_file`` reads one JSON array instead of lines."""
-    return spark.read.schema(schema.incident_schema()).json(path, multiLine=array_file, mode="FAILFAST")
+    """Incident records; ``array_file`` reads one JSON array, with the events inside each record, instead of lines."""
+    fields = schema.incident_schema(nested=array_file)
+    return spark.read.schema(fields).json(path, multiLine=array_file, mode="FAILFAST")
+
+
+def write_incident_events(events: DataFrame, path: str) -> None:
+    """One JSON record per event."""
+    events.write.mode("overwrite").json(path)
+
+
+def read_incident_events(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schema.incident_events_schema()).json(path, mode="FAILFAST")
 
 
 def write_counts(counts: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ from logwarden.config import Settings
 
 # every size limit is tiny, so all the paths for large data are taken
 TINY = Settings(
-    broadcast_rows=0, heavy_key_rows=3, chunk_hours=1, piece_lines=2, models_rows_per_task=2, events_per_page=2
+    broadcast_rows=0, heavy_key_rows=3, chunk_hours=1, piece_lines=2, models_rows_per_task=2
 )
 
 

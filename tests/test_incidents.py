@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from helpers import TINY, incidents_pairwise, random_log
 from logwarden.config import DEFAULTS
-from logwarden.operators.assembly import incident_records, incident_table, run_counters
+from logwarden.operators.assembly import incident_event_records, incident_records, incident_table, run_counters
 from logwarden.operators.components import components
 from logwarden.operators.incidents import assign_incidents
 from logwarden.operators.prompts import incident_prompts
@@ -113,20 +113,22 @@ def test_table_summary_and_counters(events_of):
     assert counters == {"log_rows": 7, "flagged": 7, "via_travel": 0, "incidents": 4, "multi_event": 2}
 
 
-@pytest.mark.parametrize("settings, pages", [(DEFAULTS, 4), (TINY, 5)], ids=["default", "tiny limits"])
-def test_records_are_whole(spark, events_of, tmp_path, settings, pages):
+@pytest.mark.parametrize("settings", [DEFAULTS, TINY], ids=["default", "tiny limits"])
+def test_records_are_whole(spark, events_of, tmp_path, settings):
     tagged = assign_incidents(flagged(events_of(SMOKE)), settings)
-    path = str(tmp_path / "incidents")
-    tables.write_incidents(incident_records(tagged, incident_table(tagged), settings), path)
-    back = sorted(tables.read_incidents(spark, path).collect(), key=lambda r: (r["incident_id"], r["page"]))
-    assert len(back) == pages
-    assert [e["message"][-4:] for r in back if r["incident_id"] == 3 for e in r["events"]] == ["root", "test", "uest"]
-    assert sum(len(r["events"]) for r in back) == 7
+    heads, events = str(tmp_path / "incidents"), str(tmp_path / "events")
+    tables.write_incidents(incident_records(incident_table(tagged)), heads)
+    tables.write_incident_events(incident_event_records(tagged, settings), events)
+    back = sorted(tables.read_incidents(spark, heads).collect())
+    assert [(r["incident_id"], r["event_count"]) for r in back] == [(0, 2), (1, 1), (2, 1), (3, 3)]
     assert back[0]["start"] == "2026-07-18 10:00:00"
+    flat = sorted(tables.read_incident_events(spark, events).collect())
+    assert [(r["incident_id"], r["position"]) for r in flat] == [(0, 0), (0, 1), (1, 0), (2, 0), (3, 0), (3, 1), (3, 2)]
+    assert [r["message"][-4:] for r in flat if r["incident_id"] == 3] == ["root", "test", "uest"]
 
 
 def test_json_array_source(spark, tmp_path):
-    record = {"incident_id": 0, "page": 0, "summary": "s", "users": ["a"], "source_ips": [], "start": "x", "end": "y",
+    record = {"incident_id": 0, "summary": "s", "users": ["a"], "source_ips": [], "start": "x", "end": "y",
               "event_count": 1, "severity": "low", "mitre_techniques": [], "events": []}
     (tmp_path / "a.json").write_text(json.dumps([record, {**record, "incident_id": 1}], indent=2))
     assert tables.read_incidents(spark, str(tmp_path / "a.json"), array_file=True).count() == 2
