@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,8 +31,10 @@ def local_session(cores: int | str = "*", name: str = "logwarden", **conf) -> Sp
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of this machine: on a cluster
-    the executors would not see it, so a missing setting is an error there.
+    Only a local master of one process may fall back to a folder of this machine,
+    removed when the process ends: elsewhere the executors would not see it, so a
+    missing setting is an error. Settled tables lie in a folder of the application;
+    remove it when the application is done.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -38,9 +42,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="logwarden-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
