@@ -476,19 +476,19 @@ ro0 as (select seed, condition, {_SUMS} from rob group by all),
 ro1 as (select ro0.*, coalesce(total_flagged_lines, 0) as total_flagged_lines, coalesce(incidents, 0) as incidents
   from ro0 left join gfl using (seed, condition) left join ginc using (seed, condition)),
 ro as materialized (select *, {ROBUST_RATES} from ro1)"""
-CLEAN = f"""{MEASURED},
-clean as materialized (select * from pred where seed = {t.SEEDS[0]} and condition = 'baseline'),
-{incident_ctes('clean', 'rules_travel', 'n_').lstrip()},
-ctag as materialized (select c.*, i.incident_id from clean c join n_id i on c.line_number = i.line_number),
-clabel as (select * from label where seed = {t.SEEDS[0]} and condition = 'baseline'),
-skey as (select distinct incident_id, "timestamp", "user" from ctag),
-votes as (select k.incident_id, l.scenario, count(*) as n from clabel l join skey k using ("timestamp", "user") group by all),
-scen as materialized (select incident_id, scenario from votes qualify row_number() over (partition by incident_id order by n desc, scenario) = 1),
-cinc as (select incident_id, count(*) as event_count, case when bool_or(impossible_travel) then 'high' else 'low' end as severity
-  from ctag group by all),
-sample as (select scenario, incident_id, event_count, severity from cinc join scen using (incident_id)
+EVERY_RUN = f"""{MEASURED},{incident_ctes('pred', 'rules_travel', 'n_', RUN)},
+ctag as materialized (select c.*, i.incident_id from pred c join n_id i using (seed, condition, line_number)),
+skey as (select distinct seed, condition, incident_id, "timestamp", "user" from ctag),
+votes as (select k.seed, k.condition, k.incident_id, l.scenario, count(*) as n
+  from label l join skey k using (seed, condition, "timestamp", "user") group by all),
+scen as materialized (select seed, condition, incident_id, scenario from votes
+  qualify row_number() over (partition by seed, condition, incident_id order by n desc, scenario) = 1),
+cinc as (select seed, condition, incident_id, count(*) as event_count,
+  case when bool_or(impossible_travel) then 'high' else 'low' end as severity from ctag group by all),
+sample as materialized (select seed, condition, scenario, incident_id, event_count, severity
+  from cinc join scen using (seed, condition, incident_id)
   where severity = 'high' or event_count >= 2
-  qualify row_number() over (partition by scenario order by event_count desc, incident_id) = 1)"""
+  qualify row_number() over (partition by seed, condition, scenario order by event_count desc, incident_id) = 1)"""
 
 
 def _prompt() -> str:
@@ -643,9 +643,10 @@ def statements() -> dict[str, str]:
     s["side_by_side"] = over(POOLED, f"""select a.condition, a.recall as rules_recall, b.recall as rules_travel_recall,
       {r3("b.recall - a.recall")} as recall_delta, a.f1 as rules_f1, b.f1 as rules_travel_f1, {r3("b.f1 - a.f1")} as f1_delta
       from pooled a join pooled b on a.condition = b.condition and a.detector = 'rules' and b.detector = 'rules_travel'""")
-    s["incident_scenarios"] = over(CLEAN, "select incident_id, scenario from scen")
-    s["scenario_samples"] = over(CLEAN, "select scenario, incident_id, event_count, severity from sample")
+    s["incident_scenarios"] = over(EVERY_RUN, "select seed, condition, incident_id, scenario from scen")
+    s["scenario_samples"] = over(EVERY_RUN, "select seed, condition, scenario, incident_id, event_count, severity from sample")
     names = ", ".join(f"({q(c)}, {q(title)})" for c, title in SCENARIOS)
-    s["uncovered_scenarios"] = over(CLEAN, f"""select n.scenario, n.title from (values {names}) n(scenario, title)
-      where n.scenario not in (select scenario from sample)""")
+    s["uncovered_scenarios"] = over(EVERY_RUN, f"""select r.seed, r.condition, n.scenario, n.title
+      from (select distinct seed, condition from label) r, (values {names}) n(scenario, title)
+      where not exists (select 1 from sample x where x.seed = r.seed and x.condition = r.condition and x.scenario = n.scenario)""")
     return s

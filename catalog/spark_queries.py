@@ -452,7 +452,7 @@ def _robust(spark, sf_dir) -> DataFrame:
 def _robust_overall(spark, sf_dir) -> DataFrame:
     found = t.corpora_rules(spark, sf_dir)
     totals = found.groupBy(*RUN).agg(F.count_if("rules_travel").alias("total_flagged_lines"))
-    groups = assign_incidents(found, run=RUN, flag="rules_travel").groupBy(*RUN).agg(
+    groups = t.corpora_tagged(spark, sf_dir).groupBy(*RUN).agg(
         (F.max("incident_id") + 1).alias("incidents")
     )
     return metrics.robustness_overall(_robust(spark, sf_dir), totals.join(groups, list(RUN), "left"))
@@ -518,40 +518,31 @@ def side_by_side(spark, sf_dir):
 
 @query
 def incident_scenarios(spark, sf_dir):
-    """Scenario of every incident of the clean corpus of the first seed."""
-    return triage.incident_scenarios(_clean_tagged(spark, sf_dir), _clean_labels(spark, sf_dir))
+    """Scenario of every incident of every run."""
+    return triage.incident_scenarios(t.corpora_tagged(spark, sf_dir), t.corpora_labels(spark, sf_dir), RUN)
 
 
 @query
 def scenario_samples(spark, sf_dir):
     samples = _samples(spark, sf_dir)
-    return samples.select("scenario", "incident_id", "event_count", "severity")
+    return samples.select(*RUN, "scenario", "incident_id", "event_count", "severity")
 
 
 @query
 def uncovered_scenarios(spark, sf_dir):
-    return triage.uncovered_scenarios(_samples(spark, sf_dir))
-
-
-def _clean(rows: DataFrame) -> DataFrame:
-    return rows.filter((F.col("seed") == t.SEEDS[0]) & (F.col("condition") == "baseline"))
-
-
-def _clean_labels(spark, sf_dir) -> DataFrame:
-    return _clean(t.corpora_labels(spark, sf_dir)).drop(*RUN)
-
-
-def _clean_tagged(spark, sf_dir) -> DataFrame:
-    found = _clean(t.corpora_rules(spark, sf_dir)).drop(*RUN)
-    return settle(assign_incidents(found, flag="rules_travel"))
+    runs = t.corpora_labels(spark, sf_dir).select(*RUN)
+    return triage.uncovered_scenarios(_samples(spark, sf_dir), runs)
 
 
 def _samples(spark, sf_dir) -> DataFrame:
-    tagged = _clean_tagged(spark, sf_dir).withColumn(
-        "severity", F.when(F.col("impossible_travel"), "high").otherwise("low")
+    tagged = t.corpora_tagged(spark, sf_dir)
+    sizes = tagged.groupBy(*RUN, "incident_id").agg(
+        F.count("*").alias("event_count"), highest_severity(F.col("severity")).alias("severity")
+    )
+    table = sizes.withColumn("notable", assembly.notable(F.col("severity"), F.col("event_count")))
+    return triage.pick_samples(
+        table, triage.incident_scenarios(tagged, t.corpora_labels(spark, sf_dir), RUN), run=RUN
     )
-    table = settle(assembly.incident_table(tagged))
-    return triage.pick_samples(table, triage.incident_scenarios(tagged, _clean_labels(spark, sf_dir)))
 
 
 # --- evaluation of the forest; no counterpart in SQL

@@ -145,6 +145,13 @@ def corpora_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(flag_lines(rows, rows, run=RUN))
 
 
+@shared
+def corpora_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every run that rules or travel flag, with their incident; travel is severe."""
+    tagged = assign_incidents(corpora_rules(spark, sf_dir), run=RUN, flag="rules_travel")
+    return tagged.withColumn("severity", F.when(F.col("impossible_travel"), "high").otherwise("low"))
+
+
 @shared
 def corpora_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detectors of every run, with the contamination sweep."""

@@ -56,34 +56,42 @@ def user_facet(incidents: DataFrame) -> DataFrame:
     return incidents.select(F.explode("users").alias("user")).distinct().orderBy("user")
 
 
-def incident_scenarios(tagged: DataFrame, labels: DataFrame) -> DataFrame:
+def incident_scenarios(tagged: DataFrame, labels: DataFrame, run: Sequence[str] = ()) -> DataFrame:
     """The scenario most labels of an incident carry; the smallest name wins a tie.
 
-    Labels and events meet on (timestamp, user). A label counts once per
-    incident however many events share its key.
+    Labels and events meet on (timestamp, user) within a run. A label counts once
+    per incident however many events share its key.
     """
-    keys = tagged.select("incident_id", "timestamp", "user").distinct()
+    incident = [*run, "incident_id"]
+    keys = tagged.select(*incident, "timestamp", "user").distinct()
     hits = (
-        labels.groupBy("timestamp", "user", "scenario").agg(F.count("*").alias("_n"))
-        .join(keys, ["timestamp", "user"])
-        .groupBy("incident_id", "scenario").agg(F.sum("_n").alias("_n"))
+        labels.groupBy(*run, "timestamp", "user", "scenario").agg(F.count("*").alias("_n"))
+        .join(keys, [*run, "timestamp", "user"])
+        .groupBy(*incident, "scenario").agg(F.sum("_n").alias("_n"))
     )
     best = F.struct((-F.col("_n")).alias("n"), F.col("scenario").alias("scenario"))
-    return hits.groupBy("incident_id").agg(F.min(best).alias("_best")).select(
-        "incident_id", F.col("_best.scenario").alias("scenario")
+    return hits.groupBy(*incident).agg(F.min(best).alias("_best")).select(
+        *incident, F.col("_best.scenario").alias("scenario")
     )
 
 
-def pick_samples(incidents: DataFrame, scenarios: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Per scenario the largest notable incident; the first one wins a tie."""
-    order = Window.partitionBy("scenario").orderBy(F.desc("event_count"), F.asc("incident_id"))
+def pick_samples(
+    incidents: DataFrame, scenarios: DataFrame, settings: Settings = DEFAULTS, run: Sequence[str] = ()
+) -> DataFrame:
+    """Per run and scenario the largest notable incident; the first one wins a tie."""
+    order = Window.partitionBy(*run, "scenario").orderBy(F.desc("event_count"), F.asc("incident_id"))
     # limit per group: only the best row of each scenario leaves a map task
     return (
-        incidents.filter("notable").join(scenarios, "incident_id")
+        incidents.filter("notable").join(scenarios, [*run, "incident_id"])
         .withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") == 1).drop("_nth")
     )
 
 
-def uncovered_scenarios(samples: DataFrame) -> DataFrame:
-    names = samples.sparkSession.createDataFrame(SCENARIOS, "scenario STRING, title STRING")
-    return names.join(samples, "scenario", "left_anti").orderBy("scenario")
+def uncovered_scenarios(samples: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Scenarios without a sample; of every run in ``runs``, if given."""
+    if runs is None:
+        names = samples.sparkSession.createDataFrame(SCENARIOS, "scenario STRING, title STRING")
+        return names.join(samples, "scenario", "left_anti").orderBy("scenario")
+    each = F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(t).alias("title")) for s, t in SCENARIOS])
+    names = runs.distinct().select("*", F.explode(each).alias("_s")).select(*runs.columns, "_s.*")
+    return names.join(samples, [*runs.columns, "scenario"], "left_anti")
