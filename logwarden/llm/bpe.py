@@ -29,9 +29,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import text_groups
+from logwarden.llm.common import WordTable, text_groups
 
-CACHE = 300_000  # pieces a worker remembers
+CACHE = 200_000  # words, and pieces of words, a worker remembers
 LAYOUT = 4_000_000  # bytes of new pieces indexed together
 _SPACES = r"\t-\r \x85\xa0  -     　"
 # fixed values: the published splitting pattern of the vocabulary
@@ -159,8 +159,8 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary(path)
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces = WordTable(self._index, CACHE)
+        self.words = WordTable(self._join, CACHE)
 
     def _split(self, text: str) -> list[str]:
         """Parts of a text whose ids do not depend on their neighbours: words with the blank before them."""
@@ -169,49 +169,36 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        cut = {w: PIECES.findall(w) for w in words}
-        fresh = {p for parts in cut.values() for p in parts}.difference(self.pieces)
-        held: list[str] = []
-        size = 0
-        for piece in [*fresh, None]:
-            if held and (piece is None or size > LAYOUT):
-                self.pieces.update(zip(held, PairIndex(self.vocabulary, [p.encode() for p in held]).encode()))
-                held, size = [], 0
-            if piece is not None:
-                held.append(piece)
-                size += len(piece)
-        self.words.update((w, b"".join([self.pieces[p] for p in parts])) for w, parts in cut.items())
+    def _index(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces, indexed together in layouts of bounded size."""
+        done: dict[str, bytes] = {}
+        start = size = 0
+        for i, piece in enumerate(pieces):
+            size += len(piece)
+            if size >= LAYOUT or i + 1 == len(pieces):
+                part = pieces[start : i + 1]
+                done.update(zip(part, PairIndex(self.vocabulary, [p.encode() for p in part]).encode()))
+                start, size = i + 1, 0
+        return done
+
+    def _join(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words from those of their pieces."""
+        cut = [PIECES.findall(w) for w in words]
+        ids = self.pieces.lookup(cut)
+        return {w: b"".join([ids[p] for p in parts]) for w, parts in zip(words, cut)}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         v = self.vocabulary
-        sections = []
+        sections: list[list] = []
         for text in texts:
             parts = v.splitter.split(text or "") if v.splitter else [text or ""]
-            sections.append([p if p in v.special else self._split(p) if p else [] for p in parts])
-        known = self.words
-        missing = {w for text in sections for part in text if isinstance(part, list) for w in part if w not in known}
-        if missing:
-            self._learn(missing)
-        get = self.words.get
-        out = []
-        for text in sections:
-            done = []
-            for part in text:
-                if isinstance(part, str):
-                    done.append(v.special[part].to_bytes(4, "little"))
-                else:
-                    ids = list(map(get, part))
-                    if None in ids:  # the table was cleared for this batch
-                        self._learn(set(part))
-                        ids = list(map(self.words.get, part))
-                    done += ids
-            out.append(b"".join(done))
-        return out
+            sections.append([p if p in v.special else self._split(p) for p in parts if p])
+        ids = self.words.lookup(part for text in sections for part in text if isinstance(part, list))
+        special = {t: i.to_bytes(4, "little") for t, i in v.special.items()}
+        return [
+            b"".join([special[p] if isinstance(p, str) else b"".join(map(ids.__getitem__, p)) for p in text])
+            for text in sections
+        ]
 
     def decode(self, ids: bytes) -> str:
         numbers = np.frombuffer(ids, "<u4").tolist()

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,7 +50,7 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
 
 
-def text_groups(texts: list[str | None], rows: int = 10_000, chars: int = 16_000_000) -> Iterator[tuple[int, int]]:
+def text_groups(texts: list[str | None], rows: int = 10_000, chars: int = 10_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts that a task handles together, bounded in rows and characters."""
     start = size = 0
     for i, text in enumerate(texts):
@@ -59,3 +60,30 @@ def text_groups(texts: list[str | None], rows: int = 10_000, chars: int = 16_000
         size += len(text or "")
     if texts:
         yield start, len(texts)
+
+
+class WordTable:
+    """Results per distinct word, computed for many words at once.
+
+    Words that came more than once in a group are kept for later groups until the
+    table is full; the long tail of rare words is held for its own group only.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], dict[str, bytes]], limit: int) -> None:
+        self.learn, self.limit = learn, limit
+        self.kept: dict[str, bytes] = {}
+
+    def lookup(self, groups: Iterable[list[str]]) -> dict[str, bytes]:
+        """Results of all words in ``groups``."""
+        counts: Counter[str] = Counter()
+        for words in groups:
+            counts.update(words)
+        kept = self.kept
+        found = {w: kept[w] for w in counts if w in kept}
+        fresh = self.learn([w for w in counts if w not in found])
+        room = self.limit - len(kept)
+        if room > 0:
+            often = [w for w in fresh if counts[w] > 1]
+            kept.update((w, fresh[w]) for w in often[:room])
+        found.update(fresh)
+        return found
