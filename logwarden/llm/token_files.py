@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logwarden.llm.common import scratch, settle, text_groups
+from logwarden.llm.common import WordTable, scratch, settle, text_groups
 from logwarden.llm.shared_files import attempt_name, create, open_file
 
 FRAME_BYTES = 1 << 20  # token bytes per frame; a longer document has a frame of its own
-CACHE = 400_000  # words, and pieces of words, a worker remembers
+CACHE = 200_000  # words, and pieces of words, a worker remembers
 # fixed values: magic numbers of the public frame formats
 SEEK_SKIPPABLE, SEEK_FOOTER, OWN_SKIPPABLE = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 _CHECKSUMS = 0x80
@@ -67,23 +67,16 @@ class WordEncoder:
         vocabulary = self.library.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words = WordTable(self._join, CACHE)
+        self.pieces = WordTable(self._ask, CACHE)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Make sure that all of ``words`` are in the table."""
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        known = self.pieces
-        split = {w: _PIECES.findall(w.lower()) for w in words if "<|" not in w and _PLAIN.match(w)}
-        fresh = list({p for parts in split.values() for p in parts if p not in known})
-        for at in range(0, len(fresh), 10_000):
-            some = fresh[at : at + 10_000]
+    def _ask(self, pieces: list[str]) -> dict[str, bytes]:
+        done: dict[str, bytes] = {}
+        for at in range(0, len(pieces), 10_000):
+            some = pieces[at : at + 10_000]
             lines = [" ".join(some[k : k + 500]) for k in range(0, len(some), 500)]
             coded = self.library.encode_batch_fast(lines, add_special_tokens=False)
             ids = np.array([i for x in coded for i in x.ids], "<u4")
@@ -91,20 +84,23 @@ class WordEncoder:
             if len(ends) != len(some) + 1:
                 raise ValueError("the vocabulary does not mark the ends of words")
             data = ids.tobytes()
-            known.update((p, data[4 * a : 4 * b]) for p, a, b in zip(some, ends, ends[1:]))
-        self.words.update((w, b"".join([known[p] for p in parts])) for w, parts in split.items())
-        self.words.update((w, self._whole(w)) for w in words if w not in split)
+            done.update((p, data[4 * a : 4 * b]) for p, a, b in zip(some, ends, ends[1:]))
+        return done
+
+    def _join(self, words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if "<|" not in w and _PLAIN.match(w)]
+        cut = [_PIECES.findall(w.lower()) for w in plain]
+        ids = self.pieces.lookup(cut)
+        done = {w: b"".join([ids[p] for p in parts]) for w, parts in zip(plain, cut)}
+        done.update((w, self._whole(w)) for w in words if w not in done)
+        return done
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         whole = [not t or any(c in t for c in _ODD) for t in texts]
         split = [[] if odd else t.split() for t, odd in zip(texts, whole)]
-        known = self.words
-        missing = {w for words in split for w in words if w not in known}
-        if missing:
-            full = len(known) > CACHE or len(self.pieces) > CACHE
-            self._learn({w for words in split for w in words} if full else missing)
+        ids = self.words.lookup(split)
         return [
-            self._whole(t or "") if odd else b"".join(map(known.__getitem__, words))
+            self._whole(t or "") if odd else b"".join(map(ids.__getitem__, words))
             for t, odd, words in zip(texts, whole, split)
         ]
 
