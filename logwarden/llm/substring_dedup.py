@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from logwarden.llm.common import settle
 
 WINDOW = 13
-BUCKET_CHARS = 24_000_000  # text per bucket: about four million windows at most times
-BATCH_CHARS = 24_000_000
+BUCKET_CHARS = 16_000_000  # text per bucket: two to three million windows at most times
+BATCH_CHARS = 12_000_000
 _BASE, _BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SEED = 7
 
@@ -102,7 +102,8 @@ def _owners(hashes: np.ndarray, extra: np.ndarray, docs: np.ndarray) -> np.ndarr
 
 
 PARTS = "bucket int, n int, known boolean, data binary"
-FOUND = "doc_id bigint, places binary"
+FOUND = "shard int, n int, data binary"
+PLACES = "doc_id bigint, places binary"
 
 
 def _rows(buckets: list, counts: list, known: list, data: list) -> pa.RecordBatch:
@@ -172,12 +173,31 @@ def hash_windows(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, PARTS)
 
 
-def _meet(parts: pa.Table) -> pa.Table:
+def _shards(docs: np.ndarray, places: np.ndarray, count: int) -> pa.Table:
+    """Repeats of one bucket, packed by shards of documents: rows stay few however many documents there are."""
+    shard = (docs % count).astype(np.int32)
+    order = np.lexsort((places, docs, shard))
+    shard, docs, places = shard[order], docs[order], places[order]
+    begins = np.flatnonzero(_first_of_runs(shard))
+    packer, sizes, data = zstandard.ZstdCompressor(level=1), [], []
+    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(shard)]):
+        steps = np.diff(docs[a:b], prepend=np.int64(0))
+        data.append(packer.compress(_planes(steps) + _planes(places[a:b])))
+        sizes.append(b - a)
+    return pa.table({"shard": pa.array(shard[begins], pa.int32()), "n": pa.array(sizes, pa.int32()),
+                     "data": pa.array(data, pa.binary())})
+
+
+def _meet(parts: pa.Table, shards: int) -> pa.Table:
     """Repeated places of one bucket."""
     known = parts.column("known").to_pylist()
     data, counts = parts.column("data").to_pylist(), parts.column("n").to_pylist()
-    ids = [int.from_bytes(d[:8], "little", signed=True) for d, k in zip(data, known) if k]
-    places = [d[8:] for d, k in zip(data, known) if k]
+    all_docs, all_places = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+    for d, k in zip(data, known):
+        if k:
+            where = np.frombuffer(d, "<u4", offset=8)
+            all_docs.append(np.full(len(where), int.from_bytes(d[:8], "little", signed=True), np.int64))
+            all_places.append(where)
     opened = [unpack(d, n) for d, n, k in zip(data, counts, known) if not k]
     if opened:
         hashes, extra, docs, where = (np.concatenate([x[k] for x in opened]) for k in range(4))
@@ -185,10 +205,20 @@ def _meet(parts: pa.Table) -> pa.Table:
         order = np.lexsort((docs, extra, hashes))
         hashes, extra, docs, where = hashes[order], extra[order], docs[order], where[order]
         repeats = _owners(hashes, extra, docs) < docs
-        more_ids, more = _by_document(docs[repeats], where[repeats])
-        ids += more_ids
-        places += more
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "places": pa.array(places, pa.binary())})
+        all_docs.append(docs[repeats])
+        all_places.append(where[repeats])
+    return _shards(np.concatenate(all_docs), np.concatenate(all_places), shards)
+
+
+def _gather(parts: pa.Table) -> pa.Table:
+    """All repeated places of the documents of one shard."""
+    docs, places, tool = [], [], zstandard.ZstdDecompressor()
+    for data, n in zip(parts.column("data").to_pylist(), parts.column("n").to_pylist()):
+        raw = tool.decompress(data)
+        docs.append(np.cumsum(_unplanes(raw, np.int64, n)))
+        places.append(_unplanes(raw[8 * n :], np.uint32, n))
+    ids, packed = _by_document(np.concatenate(docs), np.concatenate(places))
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "places": pa.array(packed, pa.binary())})
 
 
 def intervals(places: np.ndarray, size: int = WINDOW) -> list[tuple[int, int]]:
@@ -209,9 +239,9 @@ def _clean(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in rows:
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": [], "removed": []}
-        for text, parts in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+        for text, places in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
             words = (text or b"").split()
-            cut = intervals(np.frombuffer(b"".join(parts), "<u4")) if parts else []
+            cut = intervals(np.frombuffer(places, "<u4")) if places else []
             kept, at = [], 0
             for a, b in cut:
                 kept += words[at:a]
@@ -228,19 +258,16 @@ def _clean(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_places(docs: DataFrame) -> DataFrame:
-    """``doc_id, parts``: places of windows that also start in a document with a smaller id, in packed parts."""
+    """``doc_id, places``: where windows start that also start in a document with a smaller id."""
     known = docs.filter("doc_id is not null")
     total = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_CHARS))
-    schema = ["bucket", "n", "known", "data"]
-    parts = hash_windows(known, buckets).select(*schema).repartition(buckets, "bucket")
-    found = parts.groupBy("bucket").applyInArrow(_meet, FOUND)
-    settled = settle(found, "places")
-    # at most one number for each window of the document
-    return settled.groupBy("doc_id").agg(F.collect_list("places").alias("parts"))
+    parts = hash_windows(known, buckets).repartition(buckets, "bucket")
+    found = parts.groupBy("bucket").applyInArrow(lambda table: _meet(table, buckets), FOUND)
+    return settle(found.groupBy("shard").applyInArrow(_gather, PLACES), "places")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` (words joined by blanks) and ``removed`` intervals of every row."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.join(repeated_places(rows), "doc_id", "left").select("doc_id", "text", "parts").mapInArrow(_clean, CLEANED)
+    return rows.join(repeated_places(rows), "doc_id", "left").select("doc_id", "text", "places").mapInArrow(_clean, CLEANED)
