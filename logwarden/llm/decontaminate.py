@@ -1,16 +1,18 @@
-"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact check.
+"""Benchmark decontamination: every item-sized window of a document, checked exactly.
 
 Texts become lower-case words of letters and digits, and shingles of five words
-(an item with fewer words is one shingle of its whole length). Windows are placed
-where a document and an item share a run of shingles, each as long as the item; a
-window at the wanted similarity must share one, so none is missed. The 64-bit
-SimHash of every window meets the items' through blocks: within a radius of r bits
-one of r + 1 blocks is equal, so an equi-join on (item size, block, value) finds all
-within the radius. Pairs are verified by the similarity of their shingles weighted
-by occurrences, sum of minima over sum of maxima.
+(an item with fewer words is one shingle of its whole length). A window is as long
+as the item, shorter only at the end of the document. Its similarity is that of the
+shingles weighted by occurrences, sum of minima over sum of maxima.
+
+No window is built. A shared shingle at a place p counts in the windows that start
+from p - n + 1 to p, and where the item holds it k times only in those that start
+after its k-th place before p: an interval of starts. How many intervals cover a
+start is the sum of minima of its window, so a running sum over the ends of the
+intervals gives the similarity at every start, wherever the shared shingles stand.
 
 DataFrame functions only. The text is never shuffled; what leaves the scan are
-windows that share shingles with the benchmark.
+places of shingles that an item holds too.
 
 Defined results: a null or empty text matches nothing, an item without words is
 left out; a document may match several items, ties in similarity keep the earliest
@@ -30,10 +32,7 @@ from logwarden.llm.common import settle
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 20  # shingle sets at 0.8 differ in 10 bits on average, with a deviation of 3
 BROADCAST_SHINGLES = 300_000  # rows of about 60 bytes; a larger benchmark is joined by shuffle
-_PAIR = 0x0000000100000001
-_LOW = 0xFFFFFFFF
 
 
 def _words(text: Column) -> Column:
@@ -47,69 +46,26 @@ def _shingles(words: Column, size: int) -> Column:
     return F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
 
 
-def _shift(name: str, value: Column, bits: Column) -> Column:
-    return F.call_function(name, value, bits)
-
-
-def simhash(shingles: Column) -> Column:
-    """64-bit SimHash of an array of hashes; two bits are counted in each long."""
-    zero = F.lit(0).cast("bigint")
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(31)),
-        lambda k: F.aggregate(
-            shingles, zero, lambda s, h: s + _shift("shiftrightunsigned", h, k).bitwiseAND(F.lit(_PAIR))
-        ),
-    )
-    one = F.lit(1).cast("bigint")
-
-    def bits(count: Column, k: Column) -> Column:
-        low = F.when(2 * count.bitwiseAND(F.lit(_LOW)) > F.size(shingles), _shift("shiftleft", one, k)).otherwise(zero)
-        high = F.when(
-            2 * _shift("shiftrightunsigned", count, F.lit(32)) > F.size(shingles), _shift("shiftleft", one, k + 32)
-        ).otherwise(zero)
-        return low.bitwiseOR(high)
-
-    return F.aggregate(F.transform(counts, bits), zero, lambda s, b: s.bitwiseOR(b))
-
-
-def _blocks(mark: Column) -> Column:
-    """(block, value) of the radius + 1 blocks of a fingerprint."""
-    cuts = [round(64 * b / (RADIUS + 1)) for b in range(RADIUS + 2)]
-    parts = []
-    for b, (low, high) in enumerate(zip(cuts, cuts[1:])):
-        value = F.shiftrightunsigned(mark, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-        parts.append(F.struct(F.lit(b).alias("block"), value.alias("value")))
-    return F.array(*parts)
-
-
 def key_of(doc_id: Column, text: Column) -> Column:
     """Tells rows apart that share an id or have none."""
     return F.xxhash64(doc_id, text)
 
 
-def _windows(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """Item-sized windows of ``docs`` where a run of shared shingles begins."""
-    placed = items.select(
-        "item_id", "n", F.posexplode("shingles").alias("at", "h"), F.col("shingles").alias("_all")
-    ).select("item_id", "n", "at", "h", F.when(F.col("at") > 0, F.get("_all", F.col("at") - 1)).alias("before"))
-    placed = settle(placed)
-    if placed.count() <= BROADCAST_SHINGLES:
-        placed = F.broadcast(placed)
+def _hits(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """Places of the shingles of ``docs`` that an item holds, with the count ``k`` in the item."""
+    held = items.select("item", "item_id", "n", F.explode("shingles").alias("h")).groupBy(
+        "item", "item_id", "n", "h").agg(F.count("*").cast("int").alias("k"))
+    held = settle(held)
+    if held.count() <= BROADCAST_SHINGLES:
+        held = F.broadcast(held)
     # words stand in a column of their own: inside the lambda they would be split again for every shingle
     split = docs.select("_key", "doc_id", _words(F.col("text")).alias("_words"))
     hashed = split.select("_key", "doc_id", _shingles(F.col("_words"), size).alias("_shingles"))
     # the outer form: for the inner one a filter on the array's size would be inferred and pushed
     # below, where it repeats the split for every shingle
-    places = hashed.select("_key", "doc_id", "_shingles", F.posexplode_outer("_shingles").alias("pos", "h"))
-    previous = F.when(F.col("pos") > 0, F.get("_shingles", F.col("pos") - 1))
-    # only the first place of a run of shared shingles
-    begins = F.coalesce(previous != F.col("before"), F.lit(True))
-    start = F.greatest(F.col("pos") - F.col("at"), F.lit(0))
-    return (
-        places.join(placed, "h")
-        .filter(begins)
-        .select("_key", "doc_id", "n", start.alias("start"), F.slice("_shingles", start + 1, F.col("n")).alias("window"))
-    )
+    places = hashed.select(
+        "_key", "doc_id", F.size("_shingles").alias("length"), F.posexplode_outer("_shingles").alias("pos", "h"))
+    return places.join(held, "h")
 
 
 def find_leaks(
@@ -120,8 +76,8 @@ def find_leaks(
     rows = docs.select(
         key_of(F.col(doc_id), F.col(text)).alias("_key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")
     )
-    items = benchmark.select(F.col(item_id).alias("item_id"), _words(F.col(item_text)).alias("_words"))
-    items = settle(items.filter(F.size("_words") > 0))
+    items = benchmark.select(F.col(item_id).alias("item_id"), _words(F.col(item_text)).alias("_words")).distinct()
+    items = settle(items.withColumn("item", F.col("item_id")).filter(F.size("_words") > 0))
     # at most five sizes: whole shingles, and items shorter than one
     sizes = [r[0] for r in items.select(F.least(F.size("_words"), F.lit(SHINGLE)).alias("s")).distinct().collect()]
     found = [_leaks_of_size(rows, items, size, similarity) for size in sorted(sizes)]
@@ -135,30 +91,29 @@ def find_leaks(
 
 def _leaks_of_size(rows: DataFrame, items: DataFrame, size: int, similarity: float) -> DataFrame:
     mine = items.filter(F.least(F.size("_words"), F.lit(SHINGLE)) == size).select(
-        "item_id", _shingles(F.col("_words"), size).alias("shingles"))
-    mine = settle(mine.withColumn("n", F.size("shingles")).withColumn("mark", simhash(F.col("shingles"))))
-    windows = settle(
-        _windows(rows, mine, size).dropDuplicates(["_key", "doc_id", "n", "start"])
-        .withColumn("mark", simhash(F.col("window")))
-    )
-
-    marks = windows.select("n", "mark").distinct().withColumn("b", F.explode(_blocks(F.col("mark"))))
-    theirs = mine.select("n", "item_id", F.col("mark").alias("_mark"), F.explode(_blocks(F.col("mark"))).alias("b"))
-    near = (
-        marks.join(theirs, ["n", "b"])
-        .filter(F.bit_count(F.col("mark").bitwiseXOR(F.col("_mark"))) <= RADIUS)
-        .select("n", "mark", "item_id").distinct()
-    )
-    pairs = windows.join(near, ["n", "mark"])
-
-    have = pairs.select("_key", "doc_id", "item_id", "start", F.size("window").alias("_size"), F.explode("window").alias("h"))
-    have = have.groupBy("_key", "doc_id", "item_id", "start", "_size", "h").agg(F.count("*").alias("_c"))
-    want = mine.select("item_id", "n", F.explode("shingles").alias("h")).groupBy("item_id", "n", "h").agg(
-        F.count("*").alias("_d"))
-    both = have.join(want, ["item_id", "h"]).groupBy("_key", "doc_id", "item_id", "start", "_size", "n").agg(
-        F.sum(F.least("_c", "_d")).alias("_both"))
-    scored = both.withColumn("similarity", F.col("_both") / (F.col("_size") + F.col("n") - F.col("_both")))
-    best = Window.partitionBy("_key", "doc_id", "item_id").orderBy(F.desc("similarity"), "start")
+        "item", "item_id", _shingles(F.col("_words"), size).alias("shingles"))
+    mine = settle(mine.withColumn("n", F.size("shingles")))
+    # repeated rows have the same places; one dealing by document and item serves all that follows
+    pair = ["_key", "item"]
+    alike = [*pair, "doc_id", "item_id", "n", "length"]
+    runs = _hits(rows, mine, size).repartition(*pair).groupBy(*alike, "h", "k").agg(
+        F.array_sort(F.collect_set("pos")).alias("at"))
+    # a window at the similarity holds at least so many shared shingles
+    enough = F.sum(F.size("at")).over(Window.partitionBy(*pair)) >= similarity * F.col("n") - 1e-9
+    hits = settle(runs.withColumn("_enough", enough).filter("_enough").select(*alike, "at", "k", F.posexplode("at").alias("i", "pos")))
+    used_up = F.when(F.col("i") >= F.col("k"), F.get("at", F.col("i") - F.col("k")) + 1).otherwise(F.lit(0))
+    low = F.greatest(F.col("pos") - F.col("n") + 1, used_up, F.lit(0))
+    ends = F.array(F.struct(low.alias("start"), F.lit(1).alias("step")),
+                   F.struct((F.col("pos") + 1).alias("start"), F.lit(-1).alias("step")))
+    steps = hits.select(*alike, F.inline(ends)).groupBy(*alike, "start").agg(F.sum("step").alias("step"))
+    order = Window.partitionBy(*pair).orderBy("start")
+    counted = steps.withColumn("_both", F.sum("step").over(order)).withColumn("_next", F.lead("start").over(order))
+    # between two ends the count stays; a full window is best at the first start, one cut short at the last
+    starts = counted.filter(F.col("_both") > 0).select(
+        *alike, "_both", F.explode(F.array_distinct(F.array("start", F.col("_next") - 1))).alias("start"))
+    length = F.least(F.col("n"), F.col("length") - F.col("start"))
+    scored = starts.withColumn("similarity", F.col("_both") / (length + F.col("n") - F.col("_both")))
+    best = Window.partitionBy(*pair).orderBy(F.desc("similarity"), "start")
     return (
         scored.filter(F.col("similarity") >= similarity)
         .withColumn("_best", F.row_number().over(best)).filter("_best = 1")

@@ -80,3 +80,31 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert sorted(r.text for r in drop_leaks(docs, bench).collect()) == ["clean", "other"]
     assert find_leaks(docs.limit(0), bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 0
     assert drop_leaks(docs, bench.limit(0)).count() == 5
+
+
+def test_reordered_and_trimmed_passages(spark):
+    draw = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    swapped, trimmed, repeated = (draw.choices(vocabulary, k=n) for n in (100, 200, 30))
+    repeated = repeated * 4  # every shingle several times
+    filler = draw.choices(vocabulary, k=60)
+    docs = [
+        (1, [*swapped[50:], *swapped[:50]]), (2, [*filler, *swapped[50:], *swapped[:50], *filler]),
+        (3, [*filler, *trimmed[8:100], *draw.choices(vocabulary, k=14), *trimmed[100:192], *filler]),
+        (4, [*filler, *repeated[10:], *repeated[:10]]), (5, [*filler, *repeated, *repeated, *filler]), (6, repeated[:70]),
+    ]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    items = [(i, " ".join(w)) for i, w in enumerate((swapped, trimmed, repeated))]
+    expected = brute(docs, items)
+    assert {(1, 0), (2, 0), (3, 1)} <= set(expected)
+    frame, bench = (spark.createDataFrame(x, f"{c} bigint, text string") for x, c in ((docs, "doc_id"), (items, "item_id")))
+    assert found(find_leaks(frame, bench)) == expected
+
+
+def test_random_windows_match_brute_force(spark):
+    draw = random.Random(12)
+    items = [(i, " ".join(draw.choices("ab", k=draw.randint(1, 40)))) for i in range(8)]
+    docs = [(i, " ".join(draw.choices("ab", k=draw.randint(0, 60)))) for i in range(60)]
+    docs += [(100 + i, " ".join(draw.choices("abc", weights=(9, 9, 1), k=20)) + " " + draw.choice(items)[1]) for i in range(60)]
+    frame, bench = (spark.createDataFrame(x, f"{c} bigint, text string") for x, c in ((docs, "doc_id"), (items, "item_id")))
+    assert found(find_leaks(frame, bench)) == brute(docs, items)
