@@ -16,7 +16,8 @@ places of shingles that an item holds too.
 
 Defined results: a null or empty text matches nothing, an item without words is
 left out; a document may match several items, ties in similarity keep the earliest
-window; repeated rows match alike and give one row; a null id is reported as null;
+window; repeated rows match alike and give one row; a null id is reported as null,
+of documents and items; items that share an id are matched each by itself;
 an empty table on either side gives no rows; other columns are not read.
 """
 
@@ -72,12 +73,14 @@ def find_leaks(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
     item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY,
 ) -> DataFrame:
-    """``_key, doc_id, item_id, start, similarity`` for every document and item that match."""
+    """``_key, doc_id, item_id, start, similarity`` for every document and row of the benchmark that match."""
     rows = docs.select(
         key_of(F.col(doc_id), F.col(text)).alias("_key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")
     )
-    items = benchmark.select(F.col(item_id).alias("item_id"), _words(F.col(item_text)).alias("_words")).distinct()
-    items = settle(items.withColumn("item", F.col("item_id")).filter(F.size("_words") > 0))
+    items = benchmark.select(
+        key_of(F.col(item_id), F.col(item_text)).alias("item"), F.col(item_id).alias("item_id"),
+        _words(F.col(item_text)).alias("_words"))
+    items = settle(items.filter(F.size("_words") > 0).distinct())
     # at most five sizes: whole shingles, and items shorter than one
     sizes = [r[0] for r in items.select(F.least(F.size("_words"), F.lit(SHINGLE)).alias("s")).distinct().collect()]
     found = [_leaks_of_size(rows, items, size, similarity) for size in sorted(sizes)]

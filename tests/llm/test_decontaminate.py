@@ -108,3 +108,13 @@ def test_random_windows_match_brute_force(spark):
     docs += [(100 + i, " ".join(draw.choices("abc", weights=(9, 9, 1), k=20)) + " " + draw.choice(items)[1]) for i in range(60)]
     frame, bench = (spark.createDataFrame(x, f"{c} bigint, text string") for x, c in ((docs, "doc_id"), (items, "item_id")))
     assert found(find_leaks(frame, bench)) == brute(docs, items)
+
+
+def test_null_and_repeated_item_ids(spark):
+    one, two, three = ("alpha beta gamma delta epsilon zeta eta", "one two three four five six seven", "red green blue black white grey pink")
+    bench = spark.createDataFrame([(None, one), (4, two), (4, three), (4, three), (None, None)], "item_id bigint, text string")
+    halves = " ".join([*two.split()[:6], "stop", *three.split()[:6]])  # half of either item is no leak
+    docs = spark.createDataFrame([(1, one), (2, two), (3, three), (5, halves)], "doc_id bigint, text string")
+    leaks = sorted((r.doc_id, r.item_id, r.start, r.similarity) for r in find_leaks(docs, bench).collect())
+    assert leaks == [(1, None, 0, 1.0), (2, 4, 0, 1.0), (3, 4, 0, 1.0)]
+    assert [r.doc_id for r in drop_leaks(docs, bench).collect()] == [5]
