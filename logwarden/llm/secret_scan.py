@@ -3,8 +3,9 @@
 Candidate strings of each character class are scanned with a window of fixed
 length. Counts per character and the sum of count*log2(count) are updated as one
 character enters and one leaves, so a string costs linear time. Windows above the
-entropy of their class are merged into spans; strings on the allow list and strings
-inside a base span of the same place are not reported again.
+entropy of their class are merged into spans; windows that touch a match of the
+allow list and strings inside a base span of the same place are not reported. What
+stands beside an allowed match in the same string is scanned like any other.
 
 Everything is per row: nothing is shuffled, and a lost executor repeats its rows.
 
@@ -107,15 +108,25 @@ def entropy_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str
     for one in CLASSES:
         for m in one.candidate.finditer(text):
             string = m[0]
-            if not all(p.search(string) for p in one.needs) or any(p.search(string) for p in ALLOWED):
+            if not all(p.search(string) for p in one.needs):
                 continue
-            for a, b in high_entropy(string, one.window, one.bits):
-                a, b = a + m.start(), b + m.start()
-                if all(p.search(text, a, b) for p in one.needs) and not any(x <= a and b <= y for _, x, y in base):
-                    found.append((one.kind, a, b))
+            for x, y in open_parts(string):
+                for a, b in high_entropy(string[x:y], one.window, one.bits):
+                    a, b = a + x + m.start(), b + x + m.start()
+                    if all(p.search(text, a, b) for p in one.needs) and not any(c <= a and b <= d for _, c, d in base):
+                        found.append((one.kind, a, b))
     return found
 
 
+def open_parts(string: str) -> list[tuple[int, int]]:
+    """What the matches of the allow list leave between them."""
+    parts, at = [], 0
+    for a, b in sorted(m.span() for p in ALLOWED for m in p.finditer(string)):
+        parts.append((at, a))
+        at = max(at, b)
+    return [*parts, (at, len(string))]
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     ordered = sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return ",".join(f"{k}:{a}:{b}" for k, a, b in ordered)

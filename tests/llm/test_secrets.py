@@ -75,3 +75,19 @@ def test_nulls_repeats_and_empty_tables(spark):
     found = [(r.doc_id, r.n_assign, r.spans) for r in scan_secrets(docs).collect()]
     assert sorted(found, key=str) == [(1, 1, "assign:0:12"), (1, 1, "assign:0:12"), (None, 0, "")]
     assert scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_allowed_matches_hide_only_what_they_touch():
+    draw = random.Random(9)
+    key = "".join(draw.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwyz23456789", k=40))
+    uuid = "3f2504e0-4f89-11d3-9a0c-0305e82c3301"
+    for text, least in ((f"/samples/build/{key}", 40), (f"{key}_example", 40), (f"{uuid}-{key}", 40), (f"my-dummy-{key}-{uuid}", 40),
+                        ("b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAB" + key, 40)):
+        spans = [(a, b) for k, a, b in scan(text)[1] if k == "entropy-base64"]
+        at = text.index(key)
+        assert sum(max(0, min(b, at + 40) - max(a, at)) for a, b in spans) >= least, text
+        for word in ("sample", "example", uuid, "AAAAAAAAA", "dummy"):
+            if word in text:
+                x = text.index(word)
+                assert not any(a < x + len(word) and x < b for a, b in spans), text
+    assert scan(f"/x/{uuid}")[1] == [] and scan("sample_" + uuid)[1] == []
