@@ -2,7 +2,8 @@
 
 A text is brought to lower-case words. Each rule is a regular expression over those
 words with a keyword, a label, a priority and a score. Rules run only on texts that
-hold their keyword, and no rule runs on texts without any general license word.
+hold their keyword, and no rule runs on texts that hold neither a general license
+word nor a short name together with a form it may stand in.
 Overlapping detections are resolved by intervals: a detection inside another one
 that is longer, or as long and of better priority, is suppressed. Base phrases are
 rules as well; they are counted at every place and never suppressed.
@@ -18,6 +19,9 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,7 +70,8 @@ NAMES: list[tuple[str, str, str]] = [
     ("boost-1", "boost", "boost software license(?: version)? 1(?: 0)?"),
     ("unlicense", "unlicense", "unlicense"),
     ("wtfpl", "what the", "do what the [a-z]+ you want to public license"),
-    ("python-2", "python", "(?:python software foundation|psf) license(?: version)?(?: 2)?"),
+    ("python-2", "python", "python software foundation license(?: version)?(?: 2)?"),
+    ("python-2", "psf", "psf license(?: version)?(?: 2)?"),
     ("php-3", "php", "php license(?: version)? 3(?: 0| 01)?"),
     ("ruby", "ruby", "ruby"),
     ("ofl-1.1", "font", "(?:sil )?open font license(?: version)? 1 1"),
@@ -108,9 +113,14 @@ FORMS: list[tuple[int, float, str]] = [
 # full names that identify a license without any words around them
 PLAIN = (7, 0.6, "(?:{name})")
 _NEEDS_FORM = {"mit", "x11", "isc", "ruby", "postgresql", "openssl", "zlib", "ncsa", "ms-pl", "ms-rl", "unlicense"}
-# a text with none of these words holds no rule's match
+# a full name holds one of these words, and so does every form that ends or begins with "license"
 GATES = ("licen", "public domain", "rights reserved", "cc by", "cc0", "creative commons", "public license", "gpl", "apache",
          "bsd", "mit no", "mit 0")
+# a short name in any other form holds one of these and its keyword as a word
+SHORT_FORMS = (" under ", " subject to ", " governed by ", " covered by ")
+SHORT_NAMES = tuple(sorted({key for label, key, _ in NAMES if label in _NEEDS_FORM}))
+# what any text with a match holds, before it is brought to words
+FIRST = "|".join(("licen", "cc", "gpl", "apache", "bsd", "domain", "reserved", "commons", *SHORT_NAMES))
 
 
 def rules() -> list[tuple[int, str, str, str, int, float]]:
@@ -130,6 +140,15 @@ def _rule_rows() -> Column:
     return F.array(*[F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(r, kinds, names)]) for r in rules()])
 
 
+def may_match(norm: Column) -> Column:
+    """False only for texts that hold no rule's match."""
+
+    def any_of(words: Iterable[str]) -> Column:
+        return reduce(Column.__or__, [F.contains(norm, F.lit(w)) for w in words])
+
+    return any_of(GATES) | (any_of(SHORT_FORMS) & any_of(f" {w} " for w in SHORT_NAMES))
+
+
 def _blanks(text: Column) -> Column:
     return F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit("")))
 
@@ -160,15 +179,12 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     rows = rows.select(
         "_row", "doc_id",
         F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(_WORD)).cast("bigint").alias("n_words"),
-        F.when(F.lower(F.coalesce("_text", F.lit(""))).rlike("licen|cc|gpl|apache|bsd|domain|reserved|commons|mit"),
+        F.when(F.lower(F.coalesce("_text", F.lit(""))).rlike(FIRST),
                F.concat(F.lit(" "), F.regexp_replace(lower, _BREAKS, " "), F.lit(" "))).alias("_norm"),
     )
     # a text that starts or ends with a break has a second blank there
     rows = rows.withColumn("_norm", F.regexp_replace("_norm", "^ +| +$", " "))
-    gate = F.lit(False)
-    for word in GATES:
-        gate = gate | F.contains(F.col("_norm"), F.lit(word))
-    hits = rows.select("_row", "doc_id", "n_words", F.when(gate, _detect(F.col("_norm"))).alias("_hits"))
+    hits = rows.select("_row", "doc_id", "n_words", F.when(may_match(F.col("_norm")), _detect(F.col("_norm"))).alias("_hits"))
     # small rows from here on; one dealing by row serves both windows and the aggregation
     each = hits.select("_row", "doc_id", "n_words", F.explode_outer("_hits").alias("h")).select(
         "_row", "doc_id", "n_words", "h.*").repartition("_row")

@@ -1,7 +1,11 @@
 import re
+import re._constants as op
+import re._parser as parser
 
 import pytest
+from pyspark.sql import functions as F
 
+from logwarden.llm import license_scan
 from logwarden.llm.license_scan import BASE, rules, scan_licenses
 
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -69,3 +73,38 @@ def test_nulls_repeats_and_empty_tables(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, rule int")
     found = sorted((r.doc_id or 0, r.base_labels) for r in scan_licenses(docs).collect())
     assert found == sorted((i or 0, "cc-by-nc" if t else "") for i, t, _ in rows)
+
+
+def one_match(parsed, branch):
+    """The shortest match of a parsed pattern that takes the given branch of every choice."""
+    out = ""
+    for kind, value in parsed:
+        if kind is op.LITERAL:
+            out += chr(value)
+        elif kind is op.IN:
+            first, x = value[0]
+            out += chr(x if first is op.LITERAL else x[0])
+        elif kind is op.SUBPATTERN:
+            out += one_match(value[3], branch)
+        elif kind is op.BRANCH:
+            out += one_match(value[1][branch % len(value[1])], branch)
+        elif kind is op.MAX_REPEAT:
+            out += one_match(value[2], branch) * value[0]
+        else:
+            assert kind is op.ASSERT
+    return out
+
+
+def test_gates_let_every_match_through(spark, monkeypatch):
+    texts = {}
+    for _, _, keyword, pattern, _, _ in rules():
+        for branch in range(7):
+            text = one_match(parser.parse(pattern), branch)
+            assert re.search(pattern, f" {text} ") and keyword in text, (keyword, text)
+            texts[text] = None
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    gated = sorted(map(tuple, scan_licenses(docs).collect()), key=str)
+    assert all(r[-2] and r[-1] > 0 for r in gated)
+    monkeypatch.setattr(license_scan, "FIRST", "")
+    monkeypatch.setattr(license_scan, "may_match", lambda norm: F.lit(True))
+    assert sorted(map(tuple, scan_licenses(docs).collect()), key=str) == gated
