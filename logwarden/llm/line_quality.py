@@ -138,14 +138,22 @@ def measure_lines(
 
 
 def keep_clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """The rows of ``docs`` whose text passes, columns unchanged.
+    """The rows of ``docs`` whose text passes, without its failing lines.
 
-    The verdict is taken from the row itself, so rows without id or with a
-    repeated id are judged like any other.
+    A text that loses lines becomes its ``clean_text``, and ``n_chars``, if there is
+    such a column, the length of that; texts without failing lines and all other
+    columns stay as they are. The verdict is taken from the row itself, so rows without
+    id or with a repeated id are judged like any other.
     """
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
     judged = measure_lines(docs.select(whole, docs["text"]), doc_id="_row", rules=rules)
+    cut = F.when(F.col("n_lines_kept") < F.col("n_lines"), F.col("clean_text")).alias("_cut")
     # conditions are not pushed below a random column; there the optimizer would repeat the
     # shared word and line arrays once for each use
-    marked = judged.select("doc_id", "kept", F.rand().alias("_mark"))
-    return marked.filter("kept and _mark >= 0").select("doc_id.*")
+    marked = judged.select("doc_id", "kept", cut, F.rand().alias("_mark"))
+    left = marked.filter("kept and _mark >= 0").select("doc_id.*", "_cut")
+    new = {"text": F.col("_cut"), "n_chars": F.char_length("_cut")}
+    kinds = dict(docs.dtypes)
+    return left.select(*[
+        F.when(F.col("_cut").isNotNull(), new[c].cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c)
+        for c in docs.columns])

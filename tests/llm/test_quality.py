@@ -72,3 +72,13 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, PROSE), (1, PROSE), (1, PROSE)], "doc_id bigint, text string")
     assert [r["kept"] for r in measure_lines(docs).collect()] == [True] * 3 and keep_clean(docs).count() == 3
     assert measure_lines(docs.filter(F.lit(False))).count() == 0 and keep_clean(docs.limit(0)).count() == 0
+
+
+def test_kept_documents_lose_their_failing_lines(spark):
+    spaced = PROSE.replace("\n", "\n\n")
+    rows = [(1, PROSE + "\nHome | About | Contact\nno end", "s", 5), (None, spaced, "s", len(spaced)), (3, "no", "s", 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+    left = keep_clean(docs)
+    assert left.dtypes == docs.dtypes
+    assert sorted(map(tuple, left.collect()), key=str) == [(1, PROSE, "s", len(PROSE)), (None, spaced, "s", len(spaced))]
+    assert [r.text for r in keep_clean(docs.select("text").limit(1)).collect()] == [PROSE]
