@@ -17,13 +17,15 @@ the text is read.
 Defined results: a null text stays null, a text without entities is unchanged;
 overlapping patterns resolve to the leftmost, then the one listed first; repeated
 rows and rows without id are replaced alike; if a format has fewer values than the
-corpus has entities of it, those left over after ``ROUNDS`` redraws share
-surrogates; an empty table gives an empty result; other columns pass through.
+corpus has entities of it, or none is free after ``ROUNDS`` redraws, the free ones are
+given out in order, then those of wider formats (any letter of the script, then one more
+place), so no entity keeps its value, shares a surrogate or gets a real one; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -36,6 +38,7 @@ from pyspark.sql.window import Window
 from logwarden.llm.common import settle
 
 ROUNDS = 20
+FIRST_VALUES, PIECE = 1_000, 10_000  # values of a format listed in the first step after the rounds, and by one row
 BROADCAST_ROWS = 100_000  # redrawn entities of about 100 bytes each; more are joined by shuffle
 KEY = b"logwarden-surrogates"
 
@@ -152,6 +155,85 @@ def surrogate(kind: str, form: str, attempt: int, key: bytes = KEY) -> str:
     return swap(form, draws)
 
 
+_DIGITS = "0123456789"
+
+
+def alphabets(kind: str, form: str, wider: int = 0, key: bytes = KEY) -> list[str]:
+    """What may stand at each place of a surrogate: first as drawn by ``surrogate``, then wider.
+
+    One step wider any letter of the script, any first digit and octets of any length
+    may stand; each further step adds a place, except to addresses (223**4 values).
+    """
+    def choice(c: str) -> str:
+        if c.isdigit():
+            return _DIGITS
+        if not c.isalpha():
+            return c
+        script = unicodedata.name(c, "LATIN").split(" ")[0]
+        if script not in _LETTERS:
+            near = (chr(x) for x in range(max(0, ord(c) - 16), ord(c) + 17))
+            return "".join(x for x in near if unicodedata.category(x) == unicodedata.category(c))
+        vowels, consonants = _LETTERS[script]
+        if wider:
+            return vowels + consonants
+        return vowels if unicodedata.normalize("NFD", c)[0] in vowels else consonants
+
+    if kind == "ip":
+        ranges = {1: range(1, 10), 2: range(10, 100), 3: range(100, 224)}
+        octets = [" ".join(map(str, range(1, 224) if wider else ranges[len(o)])) for o in form.split(".")]
+        return octets
+    if kind == "email":
+        local, _, domain = form.partition("@")
+        more = [_LETTERS["LATIN"][0] + _LETTERS["LATIN"][1]] * max(0, wider - 1)
+        return [*map(choice, local), *more, *surrogate(kind, form, 0, key)[len(local) :]]
+    if kind == "card":
+        return [form[0], *map(choice, form[1:-1]), *[_DIGITS] * max(0, wider - 1)]
+    if kind == "iban":
+        return [*form[:2], *(choice(c.lower()).upper() for c in form[4:]), *[_DIGITS] * max(0, wider - 1)]
+    if kind == "phone":
+        keep = max(0, len(form) - 10)
+        return [*form[:keep], _DIGITS if wider else _DIGITS[2:], *map(choice, form[keep + 1 :]), *[_DIGITS] * max(0, wider - 1)]
+    places = [choice(c) for c in form]
+    if kind == "name" and not wider:
+        places[-1] = form[-1]
+    return [*places, *[places[-1] if places[-1] != form[-1] else _DIGITS] * max(0, wider - 1)]
+
+
+def format_of(kind: str, form: str, key: bytes = KEY) -> str:
+    """Equal for entities whose surrogates come from the same values."""
+    return "\x1f".join([*alphabets(kind, form, 0, key), str(_valid(kind, form))])
+
+
+def _valid(kind: str, form: str) -> bool:
+    return (kind == "card" and _luhn(form[:-1]) == int(form[-1])) or (kind == "iban" and _account(form) == 1)
+
+
+def values(kind: str, form: str, start: int, stop: int, key: bytes = KEY) -> Iterator[str]:
+    """The values ``start`` to ``stop`` of a format, without end: wider formats follow when it has no more."""
+    wider, passed, valid = 0, 0, _valid(kind, form)
+    while start < stop:
+        places = [p.split(" ") if kind == "ip" else list(p) for p in alphabets(kind, form, wider, key)]
+        size = math.prod(map(len, places))
+        for n in range(start - passed, min(stop - passed, size)):
+            out = []
+            for p in reversed(places):
+                n, k = divmod(n, len(p))
+                out.append(p[k])
+            out.reverse()
+            if kind == "ip":
+                yield ".".join(out)
+            elif kind == "card":
+                body = "".join(out)
+                yield body + (str(_luhn(body)) if valid else str((_luhn(body) + 1) % 10))
+            elif kind == "iban":
+                head, body = "".join(out[:2]), "".join(out[2:])
+                check = 98 - _account(f"{head}00{body}")
+                yield f"{head}{check if valid else (check + 1) % 100:02d}{body}"
+            else:
+                yield "".join(out)
+        start, passed, wider = max(start, passed + size), passed + size, wider + 1
+
+
 def render(original: str, kind: str, form: str) -> str:
     """Write the surrogate in the spelling of the original."""
     if kind == "ip":
@@ -164,17 +246,17 @@ def render(original: str, kind: str, form: str) -> str:
             out.append(new.upper() if c.isupper() else new)
         else:
             out.append(c)
-    return "".join(out)
+    return "".join([*out, *letters])  # of a wider format
 
 
-def replace_text(text: str | None, redrawn: dict[tuple[str, str], int], key: bytes = KEY) -> str | None:
+def replace_text(text: str | None, redrawn: dict[tuple[str, str], str], key: bytes = KEY) -> str | None:
     found = entities(text)
     if not found:
         return text
     out, at = [], 0
     for kind, a, b in found:
         form = normal(kind, text[a:b])
-        out += [text[at:a], render(text[a:b], kind, surrogate(kind, form, redrawn.get((kind, form), 0), key))]
+        out += [text[at:a], render(text[a:b], kind, redrawn.get((kind, form)) or surrogate(kind, form, 0, key))]
         at = b
     return "".join([*out, text[at:]])
 
@@ -218,15 +300,66 @@ def resolve(found: DataFrame, key: bytes = KEY) -> DataFrame:
             break
         redrawn = _draw(again.withColumn("attempt", F.col("attempt") + 1), key)
         drawn = settle(checked.filter("not _again").select(*drawn.columns).unionByName(redrawn), "surrogates")
+    else:
+        first = Window.partitionBy("kind", "surrogate").orderBy("attempt", "form")
+        checked = settle(drawn.join(real, ["kind", "surrogate"], "left").withColumn(
+            "_again", F.coalesce("_real", F.lit(False)) | (F.row_number().over(first) > 1)))
+        drawn = _assign(checked.select(*drawn.columns, "_again"), key)
     return drawn
 
 
+def _assign(checked: DataFrame, key: bytes) -> DataFrame:
+    """Give the entities marked ``_again`` unused values of their formats in order, until none is left."""
+
+    def formats(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            new = [format_of(k, f, key) for k, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], ["kind", "form", "format"])
+
+    def listed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "format", "at", "surrogate"]
+        for batch in rows:
+            for r in batch.to_pylist():
+                new = list(values(r["kind"], r["example"], r["start"], r["stop"], key))
+                size = len(new)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["kind"]] * size, pa.string()), pa.array([r["format"]] * size, pa.string()),
+                     pa.array(range(r["start"], r["start"] + size), pa.int64()), pa.array(new, pa.string())], names)
+
+    done = settle(checked.filter("not _again").select("kind", "form", "attempt", "surrogate"), "surrogates")
+    forms = checked.select("kind", "form")
+    left = settle(checked.filter("_again").select("kind", "form").mapInArrow(
+        formats, "kind string, form string, format string"))
+    seen, more, attempt = 0, FIRST_VALUES, ROUNDS + 1
+    while not left.isEmpty():
+        # each format lists more values than it has entities left, in pieces that tasks share
+        need = left.groupBy("kind", "format").agg(F.min("form").alias("example"), F.count("*").alias("_left"))
+        piece = F.explode(F.sequence(*[F.lit(x).cast("bigint") for x in (seen, seen + more - 1, PIECE)]))
+        pieces = need.select("kind", "format", "example", piece.alias("start")).withColumn(
+            "stop", F.least(F.col("start") + PIECE, F.lit(seen + more))).repartition("kind", "format", "start")
+        used = done.select("kind", "surrogate").unionByName(forms.select("kind", F.col("form").alias("surrogate")))
+        free = settle(pieces.mapInArrow(listed, "kind string, format string, at bigint, surrogate string").join(
+            used, ["kind", "surrogate"], "left_anti"))
+        # a value of several formats goes to one of them, to each alike often
+        one = Window.partitionBy("kind", "surrogate").orderBy(F.xxhash64("format", "surrogate"), "format", "at")
+        free = free.withColumn("_one", F.row_number().over(one)).filter("_one = 1")
+        by = Window.partitionBy("kind", "format")
+        ranked = settle(left.withColumn("_rank", F.row_number().over(by.orderBy("form"))))
+        given = settle(ranked.join(
+            free.withColumn("_rank", F.row_number().over(by.orderBy("at"))), ["kind", "format", "_rank"]
+        ).select("kind", "form", F.lit(attempt).alias("attempt"), "surrogate"))
+        done = settle(done.unionByName(given), "surrogates")
+        left = settle(left.join(given.select("kind", "form"), ["kind", "form"], "left_anti"))
+        seen, more, attempt = seen + more, more * 8, attempt + 1
+    return done
+
+
 def _replace(docs: DataFrame, redrawn: DataFrame, text: str, key: bytes) -> DataFrame:
     names, place = docs.columns, docs.columns.index(text)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            again = [{(r["kind"], r["form"]): r["attempt"] for r in x or ()} for x in batch.column(len(names)).to_pylist()]
+            again = [{(r["kind"], r["form"]): r["surrogate"] for r in x or ()} for x in batch.column(len(names)).to_pylist()]
             new = [replace_text(t, x, key) for t, x in zip(batch.column(place).to_pylist(), again)]
             columns = [pa.array(new, pa.string()) if i == place else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -237,10 +370,10 @@ def _replace(docs: DataFrame, redrawn: DataFrame, text: str, key: bytes) -> Data
 def replace_entities(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
     """``docs`` with every entity of ``text`` replaced; columns and rows as before."""
     surrogates = resolve(settle(distinct_entities(docs, text), "entities"), key)
-    again = settle(surrogates.filter("attempt > 0").select("kind", "form", "attempt"))
+    again = settle(surrogates.filter("attempt > 0").select("kind", "form", "surrogate"))
     count = again.count()
     if not count:
-        empty = F.array().cast("array<struct<kind:string,form:string,attempt:int>>")
+        empty = F.array().cast("array<struct<kind:string,form:string,surrogate:string>>")
         return _replace(docs, docs.withColumn("_redrawn", empty), text, key)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,19 +389,15 @@ def replace_entities(docs: DataFrame, text: str = "text", key: bytes = KEY) -> D
     hashed = docs.select(F.xxhash64(text).alias("_text"), F.col(text).alias("text"))
     held = hashed.mapInArrow(run, "_text bigint, kind string, form string")
     held = held.join(F.broadcast(again) if count <= BROADCAST_ROWS else again, ["kind", "form"])
-    lists = settle(held.groupBy("_text").agg(F.collect_set(F.struct("kind", "form", "attempt")).alias("_redrawn")))
+    lists = settle(held.groupBy("_text").agg(F.collect_set(F.struct("kind", "form", "surrogate")).alias("_redrawn")))
     small = F.broadcast(lists) if lists.count() <= BROADCAST_ROWS else lists
     joined = docs.withColumn("_text", F.xxhash64(text)).join(small, "_text", "left")
     return _replace(docs, joined, text, key)
 
 
 def entities_and_surrogates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_entities, spans`` of the original and the new ``text`` of every row.
-
-    Surrogates are as long as their originals, so the spans hold for both texts.
-    """
+    """``doc_id, n_entities, spans`` of the original and the new ``text`` of every row."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    new = replace_entities(rows)
     names = ["doc_id", "n_entities", "spans", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,4 +408,5 @@ def entities_and_surrogates(docs: DataFrame, doc_id: str = "doc_id", text: str =
                  pa.array([",".join(f"{k}:{a}:{b}" for k, a, b in x) for x in found], pa.string()), batch.column(1)],
                 names)
 
-    return new.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_entities bigint, spans string, text string")
+    marked = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_entities bigint, spans string, text string")
+    return replace_entities(marked)

@@ -84,3 +84,22 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert out.columns == docs.columns and out.count() == 4
     assert sorted(r.text or "" for r in out.collect())[0] == "" and out.filter("text = 'x'").count() == 2
     assert replace_entities(docs.limit(0)).count() == 0
+
+
+def test_full_formats_give_every_entity_a_value_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    names = [*letters, *(a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou")]
+    texts = [f"saw Dr. {n}, then" for n in names] + [f"from {a}.{b}.1.1 end" for a in range(1, 10) for b in range(1, 10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    forms = {(k, normal(k, t[a:b])) for t in texts for k, a, b in entities(t)}
+    found = resolve(distinct_entities(docs)).collect()
+    assert {(r.kind, r.form) for r in found} == forms and len(found) == len(forms)
+    new = {(r.kind, r.surrogate) for r in found}
+    assert len(new) == len(found) and not new & forms
+    by_form = {(r.kind, r.form): r.surrogate for r in found}
+    for r in entities_and_surrogates(docs).collect():
+        ((kind, a, b),) = entities(texts[r.doc_id])
+        assert r.spans == f"{kind}:{a}:{b}" and r.n_entities == 1
+        ((_, c, d),) = entities(r.text)
+        assert normal(kind, r.text[c:d]) == by_form[kind, normal(kind, texts[r.doc_id][a:b])]
