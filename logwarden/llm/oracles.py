@@ -85,7 +85,19 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from m
 """
 
+# the pages of the test tables mark their article, and their references are these five
+PAGES = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) as body from pages),
+l as (select page_id, url, list_transform(string_split(regexp_replace(replace(body, chr(10), ' '), '</?(?:p|h1)>', chr(10), 'g'), chr(10)),
+  lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+    '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)), '\s+', ' ', 'g'))) as lines from a),
+t as (select page_id, url, array_to_string(list_filter(lines, lambda x: x <> ''), chr(10)) as raw from l),
+u as (select page_id, url, regexp_replace(raw, '&amp;?', '&', 'g') as text from t)
+select page_id, url, text, cast(length(text) as bigint) as n_chars from u
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_main_text": PAGES,
     "op4_benchmark_leaks": LEAKS,
     "op5_warc_round_trip": WARC,
     "op6_substring_dedup": SUBSTRINGS,

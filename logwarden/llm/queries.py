@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from logwarden.llm.bpe import encode_documents
 from logwarden.llm.decontaminate import find_leaks
+from logwarden.llm.html_extract import extract_pages
 from logwarden.llm.license_scan import scan_licenses
 from logwarden.llm.line_quality import measure_lines
 from logwarden.llm.pii import entities_and_surrogates
@@ -80,6 +81,10 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities_and_surrogates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -93,5 +98,6 @@ QUERIES: dict[str, Query] = {
         op8_license_scan,
         op9_bpe_round_trip,
         op10_pii_surrogates,
+        op11_main_text,
     )
 }
