@@ -6,7 +6,9 @@ their queries are tested against brute force.
 
 from __future__ import annotations
 
+from logwarden.llm.collocations import COVERED_PERCENT, LEAST, LONGEST, SCALE, TOP
 from logwarden.llm.decontaminate import SHINGLE, SIMILARITY
+from logwarden.llm.lexical_search import TOP as SEARCH_TOP
 from logwarden.llm.line_quality import BOILERPLATE, ENDINGS, SEPARATORS, SYMBOLS, LineRules
 from logwarden.llm.substring_dedup import WINDOW
 from logwarden.llm.warc import REVISIT_BYTES
@@ -96,7 +98,52 @@ u as (select page_id, url, regexp_replace(raw, '&amp;?', '&', 'g') as text from
 select page_id, url, text, cast(length(text) as bigint) as n_chars from u
 """
 
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+COLLOCATIONS = rf"""
+with piece as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as p
+  from (select coalesce(lang, 'und') as lang, {_ASCII_LOWER} as t from documents)),
+word as materialized (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from piece),
+f as materialized (select lang, k, g, count(*) as n from (
+  {" union all ".join(f"select lang, {k} as k, array_to_string(w[i:i + {k - 1}], ' ') as g from (select lang, w, unnest(range(1, len(w) - {k - 2})) as i from word)" for k in range(1, LONGEST + 1))})
+  group by all),
+total as (select lang, sum(n) as n from f where k = 1 group by lang),
+often as materialized (select * from f where n >= {LEAST}),
+cand as materialized (select lang, k, g, n as a, string_split(g, ' ') as w from often where k > 1),
+parts as materialized (select lang, g, a, i, array_to_string(w[1:i], ' ') as g1, array_to_string(w[i + 1:], ' ') as g2
+  from (select *, unnest(range(1, k)) as i from cand)),
+cut as materialized (select p.lang, p.g, p.a, i, l.n as l, r.n as r, ({SCALE}::hugeint * p.a) // (l.n + r.n) as score
+  from parts p join often l on l.lang = p.lang and l.g = p.g1 join often r on r.lang = p.lang and r.g = p.g2),
+low as (select * from cut qualify row_number() over (partition by lang, g order by score, i) = 1),
+inside as materialized (select lang, g, max(a) as a from (
+  select lang, a, array_to_string(w[i:i + m - 1], ' ') as g from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from cand)))
+  group by all),
+covered as (select s.lang, s.g from cand s join inside q on q.lang = s.lang and q.g = s.g where 100 * q.a >= {COVERED_PERCENT} * s.a)
+select low.lang, cast(row_number() over (partition by low.lang order by score desc, a desc, low.g) as bigint) as rank, low.g as phrase,
+  cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(total.n as bigint) as n, cast(score as bigint) as score
+from low join total using (lang) anti join covered on covered.lang = low.lang and covered.g = low.g
+qualify row_number() over (partition by low.lang order by score desc, a desc, low.g) <= {TOP}
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SEARCH = f"""
+with d as materialized (select row_number() over () as row, doc_id, regexp_extract_all({_ASCII_LOWER}, '{_TERM}') as w from documents),
+size as (select count(*) filter (where len(w) > 0) as big_n, sum(len(w))::bigint as big_l from d),
+q as materialized (select distinct item, item_id, unnest(w) as term from (
+  select md5(concat(item_id, ' ', text)) as item, item_id, regexp_extract_all({_ASCII_LOWER}, '{_TERM}') as w from benchmark)),
+tf as materialized (select row, term, count(*) as tf from (select row, unnest(w) as term from d) where term in (select term from q) group by all),
+df as (select term, cast(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) as bigint) as weight from tf, size group by term, big_n),
+m as (select row, doc_id, 100 - 50 + (50 * len(w) * big_n) // big_l as m from d, size),
+s as (select item, any_value(item_id) as item_id, row, any_value(doc_id) as doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score
+  from q join df using (term) join tf using (term) join m using (row) group by item, row)
+select item_id, cast(row_number() over (partition by item order by score desc, doc_id) as integer) as rank, doc_id, score
+from s where score > 0 qualify row_number() over (partition by item order by score desc, doc_id) <= {SEARCH_TOP}
+"""
+
 ORACLES: dict[str, str] = {
+    "op13_lexical_search": SEARCH,
+    "op12_collocations": COLLOCATIONS,
     "op11_main_text": PAGES,
     "op4_benchmark_leaks": LEAKS,
     "op5_warc_round_trip": WARC,

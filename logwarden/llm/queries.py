@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.llm.bpe import encode_documents
+from logwarden.llm.collocations import collocations
 from logwarden.llm.decontaminate import find_leaks
 from logwarden.llm.html_extract import extract_pages
+from logwarden.llm.lexical_search import build_index, search
 from logwarden.llm.license_scan import scan_licenses
 from logwarden.llm.line_quality import measure_lines
 from logwarden.llm.pii import entities_and_surrogates
@@ -85,6 +87,14 @@ def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -99,5 +109,7 @@ QUERIES: dict[str, Query] = {
         op9_bpe_round_trip,
         op10_pii_surrogates,
         op11_main_text,
+        op12_collocations,
+        op13_lexical_search,
     )
 }
