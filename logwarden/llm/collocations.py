@@ -4,19 +4,21 @@ Texts are lower-cased (A-Z), split into pieces at ``[.,;:!?\\x0A-\\x0D]`` and in
 ``[^\\x20\\x09]+``; everything is counted per language. A phrase of up to ``LONGEST``
 words is frequent if it occurs ``least`` times or more.
 
-A sample of the documents proposes phrases, level by level, at a lowered count. One
-pass over all documents then counts the proposed phrases and their negative border:
+A sample of the documents proposes phrases, level by level, at a lowered count. The
+full pass counts, over all documents, the proposed phrases and their negative border:
 every phrase that is not proposed but whose parts (without its first, without its
-last word) are. If a border phrase turns out to be frequent, the sample missed it: it
-is proposed too, and a further pass counts the phrases that this brings into reach.
-This ends when no border phrase is frequent any more. Then every frequent phrase has
-been counted over all documents, whatever the sample was. Words are all counted in
-the first pass, so there is no miss of a word that is not seen.
-
-The proposed phrases travel as a Bloom filter of a fixed size (``BITS``), never as a
-set that grows with the corpus. A false positive only counts a phrase that needed no
-count. Tasks count groups of whole documents with numpy and send one row for each
-different phrase of a group; Spark sums them by (language, phrase).
+last word) are; all words belong to it. Only 64-bit hashes are sent, so a count can be
+too high where two phrases share a hash, never too low. What reaches ``least`` may be
+frequent, and a border phrase among it is a failure of the sample: longer phrases on
+top of it have not been counted. So an expansion pass goes over all documents again. It
+counts by their words the phrases that may be frequent, and with them every phrase that
+is reached through a failure, however long. After it the border is closed: a frequent
+phrase has frequent parts, so it was counted by one pass or the other.
+
+Sets of phrases travel as Bloom filters of a fixed size (``BITS``), never as sets that
+grow with the corpus. A false positive only counts a phrase that needed no count. Tasks
+count groups of whole documents with numpy and send one row for each different phrase
+of a group; Spark sums them.
 
 Scores, containment and ranks are DataFrame functions on the frequent phrases only.
 
@@ -52,7 +54,7 @@ SAMPLE_PARTS = 4  # one part of the documents proposes phrases
 SAMPLE_LEAST = 3  # LEAST / SAMPLE_PARTS is 7.5: a phrase at LEAST is missed by 2 % of samples
 BITS = 1 << 26  # of the Bloom filter, 8 MB
 PROBES = 3
-GROUP_CHARS = 12_000_000
+GROUP_CHARS = 8_000_000
 RANK_SLICES = 256
 _MANY = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
@@ -108,9 +110,8 @@ class Level:
     marks: np.ndarray  # hashes
     last: np.ndarray  # last word
     front: np.ndarray  # phrase of the level below without the last word
-    fresh: np.ndarray  # not counted by an earlier pass
-    old: np.ndarray  # counted by an earlier pass, and proposed then
-    known: np.ndarray  # proposed now
+    proposed: np.ndarray  # counted in the full pass, and proposed by the sample
+    passes: np.ndarray  # longer phrases on top of it are reached
 
 
 def split_words(texts: list[bytes]) -> tuple[np.ndarray, list[str]]:
@@ -121,7 +122,7 @@ def split_words(texts: list[bytes]) -> tuple[np.ndarray, list[str]]:
     cells = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
     coded = cells.dictionary_encode()
     words = coded.dictionary.to_pylist()  # each with the blank that ends it
-    numbers, order, kept = np.full(len(words), -2, np.int64), 0, []
+    numbers, order, kept = np.full(len(words), -2, np.int32), 0, []
     for i, word in enumerate(words):
         if word == b"\n ":
             numbers[i] = -1
@@ -132,33 +133,39 @@ def split_words(texts: list[bytes]) -> tuple[np.ndarray, list[str]]:
     return at[at != -2], kept
 
 
-def levels(at: np.ndarray, words: list[str], lang: str, new: np.ndarray, old: np.ndarray | None, longest: int) -> list[Level]:
-    """Phrases whose parts are all proposed, length by length."""
+def levels(
+    at: np.ndarray, words: list[str], lang: str, proposed: np.ndarray, often: np.ndarray | None = None, longest: int = LONGEST
+) -> list[Level]:
+    """The reached phrases of every length.
+
+    A phrase is reached if both its parts pass: in the full pass what is proposed, in the
+    expansion pass (with ``often``) what may be frequent or was not counted before.
+    """
     size = len(words)
     seed = xxhash.xxh64_intdigest(lang)
     marks = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
-    one = Level(at, np.bincount(at[at >= 0], minlength=size), marks, np.arange(size), np.zeros(size, np.int64),
-                np.full(size, old is None), np.zeros(size, bool), _holds(new, marks))
-    one.old = _holds(old, marks) if old is not None else one.old
+
+    def level(place: np.ndarray, count: np.ndarray, marks: np.ndarray, last: np.ndarray, front: np.ndarray, counted: np.ndarray) -> Level:
+        known = counted & _holds(proposed, marks)
+        return Level(place, count, marks, last, front, known, known if often is None else ~counted | _holds(often, marks))
+
+    one = level(at, np.bincount(at[at >= 0], minlength=size), marks, np.arange(size), np.zeros(size, np.int64), np.ones(size, bool))
     found = [one]
     while len(found) < longest:
         below = found[-1]
         here, ahead = below.at[:-1], below.at[1:]
         if not len(here):
             break
-        passes = np.append(below.known, False)  # -1 finds the last
+        passes = np.append(below.passes, False)  # -1 finds the last
         meets = passes[here] & passes[ahead]
-        key = here[meets] * size + at[len(found) :][meets]
-        codes, kinds = pd.factorize(key)
-        suffix = np.zeros(len(kinds), np.int64)
+        codes, kinds = pd.factorize(here[meets].astype(np.int64) * size + at[len(found) :][meets])
+        suffix = np.zeros(len(kinds), np.int32)
         suffix[codes] = ahead[meets]
         front, last = kinds // max(size, 1), kinds % max(size, 1)
-        marks = _mixed(below.marks[front] * _MANY + one.marks[last])
-        place = np.full(len(here), -1, np.int64)
+        place = np.full(len(here), -1, np.int32)
         place[meets] = codes
-        counted = below.old[front] & below.old[suffix]
-        found.append(Level(place, np.bincount(codes, minlength=len(kinds)), marks, last, front, ~counted,
-                           counted & _holds(old, marks) if old is not None else counted, _holds(new, marks)))
+        found.append(level(place, np.bincount(codes, minlength=len(kinds)), _mixed(below.marks[front] * _MANY + one.marks[last]),
+                           last, front, below.proposed[front] & below.proposed[suffix]))
     return found
 
 
@@ -167,12 +174,14 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
     held: dict[str, list[bytes]] = {}
     total = 0
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            held.setdefault(lang, []).append(text)
-            total += len(text)
-            if total >= GROUP_CHARS:
-                yield from held.items()
-                held, total = {}, 0
+        for start in range(0, batch.num_rows, 500):
+            part = batch.slice(start, 500)
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
+                held.setdefault(lang, []).append(text)
+                total += len(text)
+                if total >= GROUP_CHARS:
+                    yield from held.items()
+                    held, total = {}, 0
     yield from held.items()
 
 
@@ -186,11 +195,11 @@ def _phrases(found: list[Level], words: pa.Array, level: int, chosen: np.ndarray
     return pc.binary_join_element_wise(*reversed(parts), pa.scalar(" ", words.type))
 
 
-COUNTED = "lang string, k int, phrase string, n bigint, h bigint, known boolean"
+COUNTED = "lang string, k int, phrase string, n bigint"
 
 
-def count_phrases(docs: DataFrame, new: Broadcast, old: Broadcast | None) -> DataFrame:
-    """``COUNTED`` rows of every group; ``k`` 0 holds all its words. With ``old``, only what that left uncounted."""
+def count_phrases(docs: DataFrame, proposed: Broadcast, often: Broadcast) -> DataFrame:
+    """The expansion pass: ``COUNTED`` rows of every group; ``k`` 0 holds all its words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in COUNTED.split(", ")]
@@ -198,36 +207,35 @@ def count_phrases(docs: DataFrame, new: Broadcast, old: Broadcast | None) -> Dat
             at, strings = split_words(texts)
             if not strings:
                 continue
-            found = levels(at, strings, lang, new.value, old.value if old else None, LONGEST)
+            found = levels(at, strings, lang, proposed.value, often.value)
             words = pa.array(strings, pa.large_string())
-            if old is None:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([int(found[0].count.sum())]),
-                     pa.array([0]), pa.array([True])], names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([int(found[0].count.sum())])], names)
             for k, level in enumerate(found):
-                chosen = np.flatnonzero(level.fresh)
+                chosen = np.flatnonzero(level.passes)
                 for start in range(0, len(chosen), 200_000):
                     part = chosen[start : start + 200_000]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang]).take(pa.array(np.zeros(len(part), np.int8))), pa.array(np.full(len(part), k + 1, np.int32)),
-                         _phrases(found, words, k, part).cast(pa.string()), pa.array(level.count[part].astype(np.int64)),
-                         pa.array(level.marks[part].view(np.int64)), pa.array(level.known[part])], names)
+                         _phrases(found, words, k, part).cast(pa.string()), pa.array(level.count[part].astype(np.int64))], names)
 
     return docs.mapInArrow(count, COUNTED)
 
 
-def _sample_marks(sample: DataFrame, level: int, bits: Broadcast, least: int) -> DataFrame:
-    """Hashes of the phrases of ``level`` words that the sample holds ``least`` times."""
+def frequent_marks(docs: DataFrame, proposed: Broadcast, least: int, only: int | None = None) -> DataFrame:
+    """Hashes ``h`` of proposed phrases and their border that may occur ``least`` times; ``only`` those of so many words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _groups(batches):
             at, strings = split_words(texts)
-            found = levels(at, strings, lang, bits.value, None, level)
-            if strings and len(found) == level:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[-1].marks.view(np.int64)), pa.array(found[-1].count.astype(np.int64))], ["h", "n"])
+            found = levels(at, strings, lang, proposed.value, longest=only or LONGEST) if strings else []
+            for level in found if only is None else found[only - 1 :]:
+                for start in range(0, len(level.marks), 500_000):
+                    part = slice(start, start + 500_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(level.marks[part].view(np.int64)), pa.array(level.count[part].astype(np.int32))], ["h", "n"])
 
-    counted = sample.mapInArrow(count, "h bigint, n bigint")
+    counted = docs.mapInArrow(count, "h bigint, n int")
     return counted.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
 
 
@@ -236,7 +244,7 @@ def propose(spark: SparkSession, sample: DataFrame, least: int = SAMPLE_LEAST) -
     bits = no_phrases()
     for level in range(1, LONGEST):
         sent = spark.sparkContext.broadcast(bits)
-        bits = bits | filter_of(_sample_marks(sample, level, sent, least))
+        bits = bits | filter_of(frequent_marks(sample, sent, least, only=level))
         sent.destroy()
     return bits
 
@@ -254,26 +262,15 @@ def frequent_phrases(
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), named.alias("id"))
     part = F.pmod(F.xxhash64("id", "text"), F.lit(SAMPLE_PARTS))
-    bits = propose(spark, settle(rows.filter(part == 0).select("lang", "text"), "sample"), sample_least)
+    proposed = spark.sparkContext.broadcast(
+        propose(spark, settle(rows.filter(part == 0).select("lang", "text"), "sample"), sample_least))
     rows = rows.select("lang", "text")
-
-    before: np.ndarray | None = None
-    whole: DataFrame | None = None
-    while True:
-        new = spark.sparkContext.broadcast(bits)
-        old = spark.sparkContext.broadcast(before) if before is not None else None
-        sums = count_phrases(rows, new, old).groupBy("lang", "k", "phrase").agg(
-            F.sum("n").alias("n"), F.first("h").alias("h"), F.first("known").alias("known"))
-        found = settle(sums.filter((F.col("n") >= least) | (F.col("k") == 0)), "phrases")
-        new.destroy()
-        if old is not None:
-            old.destroy()
-        kept = found.select("lang", "k", "phrase", "n")
-        whole = kept if whole is None else whole.unionByName(kept)
-        missed = found.filter(~F.col("known") & F.col("k").between(1, LONGEST - 1))
-        if missed.isEmpty():
-            return whole
-        before, bits = bits, bits | filter_of(missed)
+    often = spark.sparkContext.broadcast(filter_of(frequent_marks(rows, proposed, least)))
+    sums = count_phrases(rows, proposed, often).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    found = settle(sums.filter((F.col("n") >= least) | (F.col("k") == 0)), "phrases")
+    proposed.destroy()
+    often.destroy()
+    return found
 
 
 def _with_counts(cuts: DataFrame, counts: DataFrame, part: str, name: str) -> DataFrame:
