@@ -547,22 +547,49 @@ def _samples(spark, sf_dir) -> DataFrame:
 
 # --- evaluation of the forest; no counterpart in SQL
 
-def _full_counts(spark, sf_dir, detectors) -> DataFrame:
-    found, labels = t.corpora_full(spark, sf_dir), t.corpora_labels(spark, sf_dir)
-    hits = metrics.label_hits(found, labels, detectors, RUN)
-    per_scenario = metrics.scenario_counts(metrics.instance_hits(hits, detectors, RUN), RUN)
+def _labels(spark, sf_dir, found: DataFrame) -> DataFrame:
+    """Labels of the runs that ``found`` covers."""
+    return t.corpora_labels(spark, sf_dir).join(F.broadcast(found.select(*RUN).distinct()), list(RUN))
+
+
+def _full_scenarios(spark, sf_dir, found: DataFrame, detectors) -> DataFrame:
+    hits = metrics.label_hits(found, _labels(spark, sf_dir, found), detectors, RUN)
+    return metrics.scenario_counts(metrics.instance_hits(hits, detectors, RUN), RUN)
+
+
+def _full_counts(spark, sf_dir, found: DataFrame, detectors) -> DataFrame:
+    per_scenario = _full_scenarios(spark, sf_dir, found, detectors)
     return metrics.confusion_counts(per_scenario, metrics.flagged_lines(found, detectors, RUN), RUN)
 
 
+def _compared(spark, sf_dir) -> DataFrame:
+    counts = _full_counts(spark, sf_dir, t.comparison_full(spark, sf_dir), metrics.DETECTORS)
+    return metrics.pool_counts(counts, ["condition", "detector"])
+
+
 @query
 def detector_comparison(spark, sf_dir):
-    counts = _full_counts(spark, sf_dir, metrics.DETECTORS)
-    return metrics.pool_counts(counts, ["condition", "detector"])
+    """Every detector under the four conditions the detectors are compared on."""
+    return _compared(spark, sf_dir)
+
+
+@query
+def side_by_side_full(spark, sf_dir):
+    """The fair rule detector beside the full system, by condition."""
+    return metrics.side_by_side(_compared(spark, sf_dir), ["condition"], ["recall", "f1"], "rules_travel", "full")
+
+
+@query
+def side_by_side_scenarios(spark, sf_dir):
+    """The fair rule detector beside the full system, by scenario of the clean runs."""
+    counts = _full_scenarios(spark, sf_dir, t.clean_full(spark, sf_dir), ["rules_travel", "full"])
+    pooled = metrics.pool_scenarios(counts, ["scenario", "detector"])
+    return metrics.side_by_side(pooled, ["scenario"], ["line_detection_rate", "instance_detection_rate"], "rules_travel", "full")
 
 
 def _sweep(spark, sf_dir) -> DataFrame:
     shares = evaluation.sweep_columns()
-    counts = _full_counts(spark, sf_dir, list(shares)).filter(F.col("condition") == "baseline")
+    counts = _full_counts(spark, sf_dir, t.clean_full(spark, sf_dir), list(shares))
     named = F.coalesce(*[F.when(F.col("detector") == c, F.lit(s)) for c, s in shares.items()])
     return metrics.pool_counts(counts, ["detector"]).withColumn("share", named)
 
@@ -580,8 +607,7 @@ def sweep_choice(spark, sf_dir):
 @query
 def alert_volume(spark, sf_dir):
     """Lines and incidents per corpus, mean over the seeds, clean runs."""
-    clean = t.corpora_full(spark, sf_dir).filter(F.col("condition") == "baseline")
-    volumes = evaluation.alert_volume(settle(clean))
+    volumes = evaluation.alert_volume(t.clean_full(spark, sf_dir))
     return metrics.mean_volume(
         volumes, ["log_lines", "rule_incidents", "rule_incidents_also_full", "full_incidents"], ["condition"]
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Collection, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from logwarden.config import CONTAMINATION_SWEEP, Settings
 from logwarden.functions.numbers import draw
 from logwarden.operators.assembly import incident_table
-from logwarden.operators.camouflage import ROBUSTNESS_CONDITIONS
+from logwarden.operators.camouflage import COMPARISON_CONDITIONS, ROBUSTNESS_CONDITIONS
 from logwarden.operators.incidents import assign_incidents
 from logwarden.operators.injection import KEY, SCENARIO_CODES, plan_targets
 from logwarden.operators.metrics import predictions
-from logwarden.operators.severity import severity_of
+from logwarden.operators.severity import combine_flags
 from logwarden.plans.detection import flag_lines, score_log
 from logwarden.plans.evaluation import RUN, build_corpora, detect_all
 from logwarden.session import ensure_checkpoint_dir, settle
@@ -72,12 +72,8 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parsed(spark, sf_dir)
     ruled = flag_lines(rows, rows)
     score = -(F.col("line_number") % 40) / F.lit(200.0)
-    anomaly = (F.col("rules_fired") != "") | F.col("impossible_travel")
-    return (
-        ruled.withColumn("anomaly_score", score)
-        .withColumn("is_anomaly", anomaly)
-        .withColumn("severity", severity_of(anomaly, score, F.col("impossible_travel")))
-    )
+    verdict = ruled.withColumns({"anomaly_score": score, "ml_anomaly": F.col("rules_fired") != ""})
+    return combine_flags(verdict).drop("ml_anomaly")
 
 
 @shared
@@ -152,8 +148,36 @@ def corpora_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.withColumn("severity", F.when(F.col("impossible_travel"), "high").otherwise("low"))
 
 
+def _scored(spark: SparkSession, sf_dir: str, conditions: Collection[str], shares: Sequence[float] | None = None) -> DataFrame:
+    """All detectors of the runs under ``conditions``."""
+    rows = settle(corpora_parsed(spark, sf_dir).filter(F.col("condition").isin(list(conditions))))
+    return predictions(detect_all(rows, shares=shares).drop("template"))
+
+
 @shared
+def clean_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors of the clean runs, with the contamination sweep."""
+    return _scored(spark, sf_dir, ["baseline"], CONTAMINATION_SWEEP)
+
+
+@shared
+def disguised_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors of the disguised runs that the detectors are compared on."""
+    return _scored(spark, sf_dir, set(COMPARISON_CONDITIONS) & set(ROBUSTNESS_CONDITIONS))
+
+
+@shared
+def other_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors of the other runs of the robustness matrix."""
+    return _scored(spark, sf_dir, set(ROBUSTNESS_CONDITIONS) - set(COMPARISON_CONDITIONS) - {"baseline"})
+
+
+def comparison_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five seeds, four conditions."""
+    disguised = disguised_full(spark, sf_dir)
+    return clean_full(spark, sf_dir).select(*disguised.columns).unionByName(disguised)
+
+
 def corpora_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All detectors of every run, with the contamination sweep."""
-    found = detect_all(corpora_parsed(spark, sf_dir), shares=CONTAMINATION_SWEEP)
-    return predictions(found.drop("template"))
+    """Five seeds, nine conditions."""
+    return comparison_full(spark, sf_dir).unionByName(other_full(spark, sf_dir))

@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from logwarden.config import DEFAULTS, Settings
 from logwarden.operators.embed import Encoder, settled_embeddings
@@ -28,8 +27,7 @@ from logwarden.session import settle, spread
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GLOBAL = "global"
-ORDER_SLICES = 64  # parts in which the templates of a model are ordered
-BLOCKS = 4096  # parts of a model's ordinals in which draws look for their template
+DRAW_SLICE = 20_000  # templates of a model drawn together; fixed, because the random streams depend on it
 TREE_COLUMNS = ["tree", "size", "feature", "threshold", "left", "right", "path"]
 TREE_SCHEMA = (
     "tree INT, size INT, feature ARRAY<INT>, threshold ARRAY<DOUBLE>, "
@@ -118,61 +116,65 @@ def population(pairs: DataFrame, settings: Settings = DEFAULTS, run: Sequence[st
     )
 
 
-def _ordinals(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``_start``, the lines of the model before this template's, in a fixed order of templates.
-
-    Templates are ordered by (slice, name), so no window holds all templates of a
-    model; the slices of a model are a few rows.
-    """
-    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64("template"), F.lit(ORDER_SLICES)).cast("int"))
-    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.sum("n").over(earlier.partitionBy(*keys, "_slice").orderBy("template"))
-    sums = sliced.groupBy(*keys, "_slice").agg(F.sum("n").alias("_sum"))
-    before = F.sum("_sum").over(earlier.partitionBy(*keys).orderBy("_slice"))
-    offsets_of = sums.select(*keys, "_slice", F.coalesce(before, F.lit(0)).alias("_offset"))
-    return (
-        sliced.withColumn("_inside", F.coalesce(inside, F.lit(0)))
-        .join(offsets_of, [*keys, "_slice"])
-        .withColumn("_start", F.col("_offset") + F.col("_inside"))
-        .drop("_slice", "_inside", "_offset")
-    )
+def _picked(ends: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of ``size`` different lines fall to each of the groups that end at ``ends``."""
+    lines = rng.choice(int(ends[-1]), size, replace=False, shuffle=False)
+    return np.bincount(np.searchsorted(ends, lines, side="right"), minlength=len(ends))
 
 
 def draw_lines(rows: DataFrame, settings: Settings = DEFAULTS, run: Sequence[str] = ()) -> DataFrame:
     """Every tree's own lines as ``(run..., model, template, drawn ARRAY<(tree, m)>)``.
 
     Each tree draws min(subsample, n) different ones of all n lines of its model, whatever
-    n is. A drawn line is found by its ordinal: templates carry ranges of ordinals, cut
-    at multiples of a block so that ranges and draws meet by equality.
+    n is. Only the counts per template are drawn (a multivariate hypergeometric law): first
+    those of the slices of a model, then, inside each slice, those of its templates. So no
+    task holds all templates of a model, and rows number templates, not lines.
     """
     keys = [*run, "model"]
     trees, subsample, seed = settings.trees, settings.subsample, settings.seed
     types = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "_block BIGINT, tree INT, ordinal BIGINT"])
+    named = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    slices = F.greatest(F.ceil(F.col("templates") / DRAW_SLICE).cast("bigint"), F.lit(1))
+    sliced = rows.select(*keys, "template", "n", F.pmod(F.xxhash64("template"), slices).alias("_slice"))
+    sums = sliced.groupBy(*keys, "_slice").agg(F.sum("n").alias("_sum"))
+    # one entry for each DRAW_SLICE templates
+    models = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_slice", "_sum"))).alias("_sums")).select(
+        *keys, F.col("_sums._slice").alias("_slices"), F.col("_sums._sum").alias("_sizes"))
 
-    def draw(models: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in models:
+    def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
             for row in batch.itertuples(index=False):
-                key, total = row[:-1], int(row[-1])
-                size, width = min(subsample, total), -(-total // BLOCKS)
-                for tree in range(trees):
-                    picked = _seeded(seed, *key, tree, "lines").choice(total, size, replace=False, shuffle=False)
-                    yield pd.DataFrame(
-                        {**dict(zip(keys, key)), "_block": picked // width, "tree": tree, "ordinal": picked})
-
-    models = rows.groupBy(*keys).agg(F.max("total").alias("total"))
-    drawn = spread(models, *keys).mapInPandas(draw, schema)
-    width = F.ceil(F.col("total") / BLOCKS).cast("bigint")
-    first, last = F.floor(F.col("_start") / width), F.floor((F.col("_start") + F.col("n") - 1) / width)
-    ranges = _ordinals(rows, keys).select(
-        *keys, "template", "_start", (F.col("_start") + F.col("n")).alias("_end"),
-        F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))).alias("_block"),
-    )
-    hit = drawn.join(ranges, [*keys, "_block"]).filter("ordinal >= _start and ordinal < _end")
-    per_tree = hit.groupBy(*keys, "template", "tree").agg(F.count("*").alias("m"))
-    # at most one entry for each tree
-    return per_tree.groupBy(*keys, "template").agg(
-        F.array_sort(F.collect_list(F.struct("tree", "m"))).alias("drawn"))
+                key, ends = row[:-2], np.cumsum(row[-1])
+                size = min(subsample, int(ends[-1]))
+                if len(ends) == 1:
+                    taken = np.full((trees, 1), size)
+                else:
+                    taken = np.array([_picked(ends, size, _seeded(seed, *key, t, "slices")) for t in range(trees)])
+                for at in np.flatnonzero(taken.any(axis=0)):
+                    out.append((*key, int(row[-2][at]), taken[:, at].astype(np.int32)))
+            yield pd.DataFrame(out, columns=[*keys, "_slice", "_taken"])
+
+    taken = spread(models, *keys).mapInPandas(share, f"{named}, _slice BIGINT, _taken ARRAY<INT>")
+
+    def draw(key: tuple, group: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
+        columns = [*keys, "template", "tree", "m"]
+        if not len(group) or not len(taken):
+            return pd.DataFrame({c: [] for c in columns})
+        group = group.sort_values("template")
+        ends, counts = np.cumsum(group["n"].to_numpy()), np.zeros((trees, len(group)), np.int32)
+        for tree, size in enumerate(taken["_taken"].iloc[0]):
+            if size:
+                counts[tree] = _picked(ends, int(size), _seeded(seed, *key, tree, "lines"))
+        used = np.flatnonzero(counts.any(axis=0))
+        held = [np.flatnonzero(counts[:, at]) for at in used]
+        found = group[[*keys, "template"]].iloc[used]
+        return found.assign(tree=[t.astype(np.int32) for t in held], m=[counts[t, at] for t, at in zip(held, used)])
+
+    by = [*keys, "_slice"]
+    left, right = spread(sliced, *by).groupBy(*by), spread(taken, *by).groupBy(*by)
+    found = left.cogroup(right).applyInPandas(draw, f"{named}, template STRING, tree ARRAY<INT>, m ARRAY<INT>")
+    return found.select(*keys, "template", F.arrays_zip("tree", "m").alias("drawn"))
 
 
 def fit_forests(
@@ -180,16 +182,16 @@ def fit_forests(
 ) -> DataFrame:
     """One row per tree. Only drawn lines meet their vectors: trees * subsample of them per model at most."""
     keys = [*run, "model"]
-    training = draw_lines(rows, settings, run).join(vectors, "template")
+    drawn = draw_lines(rows, settings, run).withColumns({"_trees": F.col("drawn.tree"), "_counts": F.col("drawn.m")})
+    training = drawn.drop("drawn").join(vectors, "template")
     trees, seed = settings.trees, settings.seed
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("template")
         x = np.array(group["embedding"].tolist(), dtype=np.float64)
         counts = np.zeros((trees, len(group)), dtype=np.int64)
-        for at, drawn in enumerate(group["drawn"]):
-            for entry in drawn:
-                counts[entry["tree"], at] = entry["m"]
+        for at, (held, taken) in enumerate(zip(group["_trees"], group["_counts"])):
+            counts[held, at] = taken
         out = []
         for tree in range(trees):
             used = np.flatnonzero(counts[tree])

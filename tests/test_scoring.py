@@ -71,8 +71,9 @@ def test_partitions_and_limits_change_nothing(spark, blobs):
                                   second.sort_values(key).reset_index(drop=True))
 
 
-@pytest.mark.parametrize("copies", [1, 40])
-def test_every_line_has_the_same_chance_at_any_size(spark, copies):
+@pytest.mark.parametrize(("copies", "slice_of"), [(1, 20_000), (40, 20_000), (40, 7)])
+def test_every_line_has_the_same_chance_at_any_size(spark, monkeypatch, copies, slice_of):
+    monkeypatch.setattr(forest, "DRAW_SLICE", slice_of)
     settings = Settings(trees=200, subsample=16)
     rows = spark.range(30).select(
         F.lit("m").alias("model"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("template"),
