@@ -543,6 +543,10 @@ def statements() -> dict[str, str]:
     s["impossible_travel"] = over(DETECTED, """select line_number, "timestamp", "user", source_ip from d_found where impossible_travel""")
     for rule, cte in (("brute_force", "brute"), ("enumeration", "enum"), ("privileged_command", "priv")):
         s[f"rule_{rule}"] = over(DETECTED, f"select line_number from d_{cte}")
+    s["streaming_rules"] = over(DETECTED, " union all ".join(
+        [f"select '{rule}' as rule, line_number from d_{cte}"
+         for rule, cte in (("brute_force", "brute"), ("enumeration", "enum"), ("privileged_command", "priv"))]
+        + ["select 'impossible_travel', line_number from d_found where impossible_travel"]))
     s["rules_fired"] = over(DETECTED, "select line_number, rules_fired, rules_fired <> '' as is_anomaly from d_found")
     s["rule_counts"] = over(DETECTED, f"""select r.rule, count(c.rule) as lines_claimed
       from (values {_RULES}) r(rule) left join d_claims c on r.rule = c.rule group by all""")
@@ -554,6 +558,7 @@ def statements() -> dict[str, str]:
     s["outlier_flags"] = """with cut as (select user_id, quantile_cont(value, 0.2) as q from events group by user_id)
       select user_id, count(*) as events, count(*) filter (where value < q) as outliers from events join cut using (user_id) group by all"""
     s["incident_assignment"] = over(GROUPED, "select line_number, incident_id from i_id")
+    s["incident_insertion"] = s["incident_assignment"]
     s["incident_assignment_by_user"] = over(
         f"{DETECTED},{incident_ctes('judged', 'is_anomaly', 'i_', by_ip=False)}", "select line_number, incident_id from i_id")
     s["incidents"] = over(GROUPED, """select incident_id, summary, array_to_string(users, ',') as users,

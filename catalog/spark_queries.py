@@ -23,9 +23,13 @@ from logwarden.plans.evaluation import RUN
 from logwarden.session import settle
 from logwarden.sources import logs
 from logwarden.sources import tables as files
+from logwarden.streaming import rules as streams
+from logwarden.streaming.incidents import IncidentStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+STREAM_BATCHES = 10
+INCIDENT_BATCHES = 4
 RULE_DETECTORS = ("rules", "rules_travel", "travel_rule")
 
 
@@ -143,6 +147,26 @@ def rule_counts(spark, sf_dir):
     return rules.rule_counts(rules.detect_by_rules(t.parsed(spark, sf_dir)))
 
 
+@query
+def streaming_rules(spark, sf_dir):
+    """The log in ten files, one a batch, through the rules over a stream; a heartbeat ends it."""
+    rows = t.parsed(spark, sf_dir).select("line_number", "timestamp", "user", "source_ip", "message")
+    path, last = t.scratch(spark, "stream"), rows.agg(F.max("line_number")).first()[0] or 0
+    for part in range(STREAM_BATCHES):
+        mine = rows.filter(F.floor((F.col("line_number") - 1) * STREAM_BATCHES / max(last, 1)) == part)
+        mine.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    beat = rows.agg((F.max("timestamp") + F.expr("interval 1 day")).alias("timestamp")).select(
+        F.lit(0).cast("bigint").alias("line_number"), "timestamp", F.lit(None).cast("string").alias("user"),
+        F.lit(None).cast("string").alias("source_ip"), F.lit("-- MARK --").alias("message"))
+    beat.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    own = spark.newSession()  # the state keeps the number of partitions it begins with
+    own.conf.set("spark.sql.shuffle.partitions", "4")
+    log = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    findings = streams.streaming_rules(log)
+    streams.start_rules(findings, f"{path}/out", f"{path}/state").awaitTermination()
+    return streams.claimed_lines(rows, spark.read.schema(streams.FINDINGS).parquet(f"{path}/out"))
+
+
 @query
 def severity_tiers(spark, sf_dir):
     return t.judged(spark, sf_dir).select("line_number", "is_anomaly", "impossible_travel", "severity")
@@ -228,6 +252,16 @@ def incident_assignment_by_user(spark, sf_dir):
     return assign_incidents(t.judged(spark, sf_dir), by_source_ip=False).select("line_number", "incident_id")
 
 
+@query
+def incident_insertion(spark, sf_dir):
+    """Incidents built batch by batch, the batches mixed in time."""
+    flagged = t.judged(spark, sf_dir).filter("is_anomaly").select("line_number", "timestamp", "user", "source_ip")
+    store = IncidentStore(spark, t.scratch(spark, "store"))
+    for batch in range(INCIDENT_BATCHES):
+        store.add(flagged.filter(F.pmod(F.xxhash64("line_number"), F.lit(INCIDENT_BATCHES)) == batch), batch)
+    return store.incidents(flagged)
+
+
 @query
 def incidents(spark, sf_dir):
     return t.incidents(spark, sf_dir).select(
