@@ -1,18 +1,28 @@
-"""Benchmark decontamination: every item-sized window of a document, checked exactly.
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
 Texts become lower-case words of letters and digits, and shingles of five words
 (an item with fewer words is one shingle of its whole length). A window is as long
 as the item, shorter only at the end of the document. Its similarity is that of the
 shingles weighted by occurrences, sum of minima over sum of maxima.
 
-No window is built. A shared shingle at a place p counts in the windows that start
-from p - n + 1 to p, and where the item holds it k times only in those that start
-after its k-th place before p: an interval of starts. How many intervals cover a
-start is the sum of minima of its window, so a running sum over the ends of the
-intervals gives the similarity at every start, wherever the shared shingles stand.
-
-DataFrame functions only. The text is never shuffled; what leaves the scan are
-places of shingles that an item holds too.
+Windows are placed where they can matter. A shared shingle at a place p counts in the
+windows that start from p - n + 1 to p, and where the item holds it k times only in
+those that start after its k-th place before p: an interval of starts. How many
+intervals cover a start is the sum of minima of its window, so a running sum over the
+ends of the intervals gives it for every start, wherever the shared shingles stand.
+Starts with too few of them for the similarity hold no leak.
+
+Every window that is left gets a 64-bit SimHash of all its shingles, weighted by
+occurrences, and so does the item. Fingerprints are cut into ``RADIUS`` + 1 blocks; two
+within the radius agree in at least one, so windows meet their item on equal blocks and
+none within the radius is missed. Survivors of the radius are verified by their exact
+similarity. The radius is wide: at a similarity of 0.8 a bit differs with a probability
+of about 0.15, and more than 31 of 64 do with one of 10^-10. Items of fewer than
+``SHORT`` shingles, whose few votes make no fingerprint, are verified directly.
+
+DataFrame functions only. What leaves the first scan are places of shingles that an
+item holds too; the texts of documents with candidate windows are read once more for
+their fingerprints, and only those texts can be shuffled.
 
 Defined results: a null or empty text matches nothing, an item without words is
 left out; a document may match several items, ties in similarity keep the earliest
@@ -29,10 +39,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logwarden.config import Settings
 from logwarden.llm.common import settle
+from logwarden.operators.joins import attach
 
 SHINGLE = 5
 SIMILARITY = 0.8
+RADIUS = 31
+BLOCKS = RADIUS + 1  # of two bits
+SHORT = 8
+KEYS = Settings(broadcast_rows=4_000_000)  # keys of documents with candidates: 8 bytes each, and measured
 BROADCAST_SHINGLES = 300_000  # rows of about 60 bytes; a larger benchmark is joined by shuffle
 
 
@@ -47,6 +63,24 @@ def _shingles(words: Column, size: int) -> Column:
     return F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
 
 
+def simhash(shingles: Column) -> Column:
+    """64 bits: each is 1 if it is set in more than half of the shingles, occurrences counted."""
+    bits = F.sequence(F.lit(0), F.lit(63))
+
+    def voted(mark: Column, bit: Column) -> Column:
+        votes = F.aggregate(shingles, F.lit(0), lambda n, h: n + F.getbit(h, bit).cast("int"))
+        set_ = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+        return F.when(votes * 2 > F.size(shingles), mark.bitwiseOR(set_)).otherwise(mark)
+
+    return F.aggregate(bits, F.lit(0).cast("bigint"), voted)
+
+
+def _blocks(mark: Column) -> Column:
+    """The blocks of a fingerprint in order."""
+    width = 64 // BLOCKS
+    return F.array(*[F.shiftrightunsigned(mark, width * k).bitwiseAND(F.lit((1 << width) - 1)) for k in range(BLOCKS)])
+
+
 def key_of(doc_id: Column, text: Column) -> Column:
     """Tells rows apart that share an id or have none."""
     return F.xxhash64(doc_id, text)
@@ -115,7 +149,11 @@ def _leaks_of_size(rows: DataFrame, items: DataFrame, size: int, similarity: flo
     starts = counted.filter(F.col("_both") > 0).select(
         *alike, "_both", F.explode(F.array_distinct(F.array("start", F.col("_next") - 1))).alias("start"))
     length = F.least(F.col("n"), F.col("length") - F.col("start"))
-    scored = starts.withColumn("similarity", F.col("_both") / (length + F.col("n") - F.col("_both")))
+    placed = starts.withColumn("_size", length).filter(F.col("_both") >= similarity * F.col("n") - 1e-9)
+    placed = settle(placed.select(*pair, "doc_id", "item_id", "n", "start", "_size", "_both"), "windows")
+    far = placed.filter(F.col("n") >= SHORT)
+    met = placed.filter(F.col("n") < SHORT).unionByName(_near_windows(rows, far, mine, size).select(*placed.columns))
+    scored = met.withColumn("similarity", F.col("_both") / (F.col("_size") + F.col("n") - F.col("_both")))
     best = Window.partitionBy(*pair).orderBy(F.desc("similarity"), "start")
     return (
         scored.filter(F.col("similarity") >= similarity)
@@ -124,6 +162,30 @@ def _leaks_of_size(rows: DataFrame, items: DataFrame, size: int, similarity: flo
     )
 
 
+def _near_windows(rows: DataFrame, windows: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """The ``windows`` whose fingerprint lies within the radius of their item's."""
+    keys = windows.select("_key").distinct()
+    read = attach(rows.select("_key", "text"), keys, ["_key"], how="inner", settings=KEYS)
+    # rows that repeat have one key and one text
+    texts = read.dropDuplicates(["_key"]).select("_key", _words(F.col("text")).alias("_words"))
+    hashed = texts.select("_key", _shingles(F.col("_words"), size).alias("_shingles"))
+    # one row per document, so its shingles are not copied for every window
+    wanted = windows.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("start", "_size"))).alias("_wanted"))
+    marks = hashed.join(wanted, "_key").select("_key", F.explode(F.transform("_wanted", lambda w: F.struct(
+        w["start"].alias("start"), w["_size"].alias("_size"),
+        simhash(F.slice(F.col("_shingles"), w["start"] + 1, w["_size"])).alias("mark")))).alias("w")).select("_key", "w.*")
+    marked = windows.join(marks, ["_key", "start", "_size"])
+    held = items.filter(F.col("n") >= SHORT).select("item", simhash(F.col("shingles")).alias("_item_mark"))
+    blocks = settle(held.select("item", "_item_mark", F.posexplode(_blocks(F.col("_item_mark"))).alias("_block", "_value")), "blocks")
+    cut = marked.select("*", F.posexplode(_blocks(F.col("mark"))).alias("_block", "_value"))
+    near = attach(cut, blocks, ["item", "_block", "_value"], how="inner")
+    equal = F.zip_with(_blocks(F.col("mark")), _blocks(F.col("_item_mark")), lambda x, y: x == y)
+    # a window meets its item once, on the first block they share
+    first = F.array_position(equal, True) - 1
+    return near.filter(F.col("_block") == first).filter(
+        F.bit_count(F.col("mark").bitwiseXOR(F.col("_item_mark"))) <= RADIUS)
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item, columns unchanged."""
     leaks = settle(find_leaks(docs, benchmark).select(F.col("_key").alias("_leak")).distinct())

@@ -22,21 +22,26 @@ def _quoted(text: str) -> str:
 
 
 LEAKS = rf"""
-with dw as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') as w from documents),
-bw as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') as w from benchmark),
-dsh as materialized (select doc_id, i, array_to_string(w[i + 1:i + {SHINGLE}], ' ') as g
-  from (select doc_id, w, unnest(range(0, len(w) - {SHINGLE - 1})) as i from dw)),
-bsh as materialized (select item_id, n, i as at, array_to_string(w[i + 1:i + {SHINGLE}], ' ') as g
-  from (select item_id, w, len(w) - {SHINGLE - 1} as n, unnest(range(0, len(w) - {SHINGLE - 1})) as i from bw)),
-bc as (select item_id, g, count(*) as k from bsh group by all),
-cand as (select distinct d.doc_id, b.item_id, b.n, greatest(d.i - b.at, 0) as start from dsh d join bsh b using (g)),
-have as (select c.doc_id, c.item_id, c.start, c.n, d.g, count(*) as c
-  from cand c join dsh d on d.doc_id = c.doc_id and d.i between c.start and c.start + c.n - 1 group by all),
-sums as (select doc_id, item_id, start, n, sum(c) as size, sum(coalesce(least(c, k), 0)) as common
-  from have left join bc using (item_id, g) group by all)
-select doc_id, item_id, cast(start as integer) as start, common / (size + n - common) as similarity from sums
-where common / (size + n - common) >= {SIMILARITY}
-qualify row_number() over (partition by doc_id, item_id order by common / (size + n - common) desc, start) = 1
+with d as materialized (select row_number() over () as d, * from (select distinct doc_id, text from documents)),
+dw as materialized (select d, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') as w from d),
+bw as materialized (select b, item_id, w, least(len(w), {SHINGLE}) as s from (
+  select row_number() over () as b, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') as w
+  from (select distinct item_id, text from benchmark)) where len(w) > 0),
+bsh as materialized (select b, s, n, array_to_string(w[i + 1:i + s], ' ') as g
+  from (select b, s, w, len(w) - s + 1 as n, unnest(range(0, len(w) - s + 1)) as i from bw)),
+bc as materialized (select b, s, n, g, count(*) as k from bsh group by all),
+dsh as materialized (select d, s, m, i, array_to_string(w[i + 1:i + s], ' ') as g
+  from (select d, s, w, len(w) - s + 1 as m, unnest(range(0, len(w) - s + 1)) as i from dw, (select distinct s from bw))),
+hit as materialized (select x.d, b.b, b.n, x.m, x.i, x.g, b.k from dsh x join bc b on x.s = b.s and x.g = b.g),
+pair as materialized (select d, b, any_value(n) as n, any_value(m) as m from hit group by d, b having count(*) >= {SIMILARITY} * any_value(n) - 1e-9),
+win as (select *, unnest(range(0, m)) as start from pair),
+have as (select w.d, w.b, w.n, w.m, w.start, h.g, least(count(*), any_value(h.k)) as c
+  from win w join hit h on h.d = w.d and h.b = w.b and h.i between w.start and w.start + w.n - 1 group by all),
+sums as (select d, b, start, sum(c)::bigint as common, any_value(n) as n, least(any_value(n), any_value(m) - start) as size
+  from have group by d, b, start)
+select dw.doc_id, bw.item_id, cast(start as integer) as start, common / (size + n - common) as similarity
+from sums join dw using (d) join bw using (b) where common / (size + n - common) >= {SIMILARITY}
+qualify row_number() over (partition by d, b order by common / (size + n - common) desc, start) = 1
 """
 
 WARC = f"""
