@@ -50,7 +50,8 @@ def test_hashes_tell_windows_apart():
 def test_parts_come_back():
     rng = np.random.default_rng(2)
     hashes = np.sort(rng.integers(0, 2**64, 1000, dtype=np.uint64))
-    columns = (hashes, rng.integers(0, 2**16, 1000).astype(np.uint16), rng.integers(-5, 2**40, 1000), rng.integers(0, 99, 1000).astype(np.uint32))
+    columns = (hashes, rng.integers(0, 2**16, 1000).astype(np.uint16), rng.integers(-5, 2**40, 1000),
+               rng.integers(0, 3, 1000).astype(np.uint32), rng.integers(0, 99, 1000).astype(np.uint32))
     assert all((a == b).all() for a, b in zip(columns, unpack(pack(*columns), 1000)))
 
 
@@ -77,3 +78,14 @@ def test_nulls_repeats_and_empty_tables(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, parts int")
     assert found(remove_repeats(docs)) == brute(rows)
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_texts_that_share_an_id_are_cleaned_each_by_its_own_words(spark):
+    draw = random.Random(3)
+    shared = " ".join(draw.choices("abcdefgh", k=30))
+    mine, other = (" ".join(f"{x}{i}" for i in range(30)) for x in "uv")
+    rows = [(1, shared), (5, f"{shared} {mine}"), (5, other), (5, other), (5, f"{other} {shared}"), (6, other), (None, shared), (5, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert found(remove_repeats(frame)) == brute(rows)
+    kept = {r.kept for r in remove_repeats(frame).filter("doc_id = 5").collect()}
+    assert kept == {mine, other, ""}
