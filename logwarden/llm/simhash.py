@@ -48,7 +48,8 @@ DENSE = 64  # a key with more fingerprints is linked by midpoints
 HOT_KEYS = 500
 HOT_LEAST = 1_000
 SLICES = 64
-_ROWS = 1 << 16
+_ROWS = 1 << 14
+_TEXTS = 200  # texts a worker holds as objects
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -71,8 +72,10 @@ def fingerprint(text: bytes | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = np.array([fingerprint(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], ["doc_id", "mark"])
+        for start in range(0, batch.num_rows, _TEXTS):
+            part = batch.slice(start, _TEXTS)
+            marks = np.array([fingerprint(t) for t in part.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks.view(np.int64))], ["doc_id", "mark"])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,4 +193,3 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     losers = settle(found.filter(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct())
     return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
-
