@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from logwarden.llm.decontaminate import find_leaks
-from logwarden.llm.line_quality import measure_lines
+from logwarden.llm.line_quality import keep_clean, measure_lines
 from logwarden.llm.pii import replace_entities
-from logwarden.llm.simhash import near_duplicates
+
+from .test_near_dedup import first_of_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,12 +16,13 @@ def test_stages_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     final = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
 
-    kept = {r.doc_id for r in measure_lines(docs).collect() if r.kept}
-    left = docs.filter(F.col("doc_id").isin(kept))
-    single = {r.doc_id for r in near_duplicates(left).collect() if r.doc_id == r.component_id}
-    left = docs.filter(F.col("doc_id").isin(single))
+    clean = keep_clean(docs)  # the texts that the quality stage leaves, their failing lines removed
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert set(texts) == {r.doc_id for r in measure_lines(docs).collect() if r.kept}
+    single = first_of_groups(texts)
+    left = clean.filter(F.col("doc_id").isin(single))
     leaks = {r.doc_id for r in find_leaks(left, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
-    left = docs.filter(F.col("doc_id").isin(single - leaks))
+    left = clean.filter(F.col("doc_id").isin(single - leaks))
     assert set(final) == single - leaks and 0 < len(final) < docs.count()
 
     library = Tokenizer.from_file(corpus_pipeline.VOCABULARY)
