@@ -591,6 +591,40 @@ def statements() -> dict[str, str]:
       and severity in ('high', 'medium') and list_contains(users, 'u01') and techniques <> ''""")
     s["user_facet"] = over(GROUPED, 'select distinct "user" from tagged')
 
+    near = ", ".join(f"""case when abs(epoch_us(ok."timestamp") - epoch_us({a}."timestamp")) <= 3600000000
+      then {a}.line_number end as {n}_line_number""" for a, n in (("prior", "backward"), ("later", "forward")))
+    s["login_neighbours"] = over(f"""{LOG},
+      ok as (select line_number, "user", "timestamp" from parsed where contains(lower(message), 'accepted password')),
+      tries as (select "user", "timestamp", min(line_number) as low, max(line_number) as high from parsed
+        where contains(lower(message), 'failed password') group by all),
+      prior as (select ok.line_number as at, x."timestamp", x.high as line_number
+        from ok asof join tries x on ok."user" = x."user" and ok."timestamp" >= x."timestamp"),
+      later as (select ok.line_number as at, x."timestamp", x.low as line_number
+        from ok asof join tries x on ok."user" = x."user" and ok."timestamp" <= x."timestamp"),
+      both_ways as (select ok.line_number, ok."user", {near}, epoch_us(ok."timestamp") - epoch_us(prior."timestamp") as back,
+        epoch_us(later."timestamp") - epoch_us(ok."timestamp") as ahead
+        from ok left join prior on prior.at = ok.line_number left join later on later.at = ok.line_number)""",
+      """select line_number, "user", backward_line_number, forward_line_number, case when backward_line_number is not null
+        and (forward_line_number is null or back <= ahead) then backward_line_number else forward_line_number end as nearest_line_number
+        from both_ways""")
+    s["incident_logins"] = over(GROUPED, """select incident_id, count(*) as logins, count(distinct p."user") as users from inc
+      join parsed p on p."timestamp" between inc."start" and inc."end" where contains(lower(message), 'accepted password') group by all""")
+    s["incident_overlaps"] = over(GROUPED, """select a.incident_id, count(*) - 1 as others from inc a
+      join inc b on a."start" <= b."end" and b."start" <= a."end" group by all""")
+    s["user_sessions"] = over(f"""{LOG},
+      g as (select "user", "timestamp", "timestamp" + case when contains(lower(message), 'failed password')
+        then interval 5 minute else interval 10 minute end as until from parsed where "timestamp" is not null),
+      o as (select *, coalesce("timestamp" > max(until) over (partition by "user" order by "timestamp"
+        range between unbounded preceding and interval 1 microsecond preceding), true) as opens from g),
+      n as (select *, max(case when opens then "timestamp" end) over (partition by "user" order by "timestamp") as session_start from o)""",
+      """select "user", session_start, max(until) as session_end, count(*) as events from n group by all""")
+    s["value_ranks"] = """select event_id, v as value, rank() over o as rank, dense_rank() over o as dense_rank,
+      percent_rank() over o as percent_rank, cume_dist() over o as cume_dist,
+      cast(ntile(7) over (order by v nulls first, event_id) as integer) as tile
+      from (select event_id, round(value, 0) as v from events) window o as (order by v nulls first)"""
+    s["sketched_values"] = """select event_type, count(*) as rows, count(distinct value) as values, true as values_hold, true as median_holds
+      from events group by all"""
+
     s["scenario_targets"] = over(ALL_TARGETS, 'select seed, scenario, instance, "user", home, day from target')
     made = f"{ALL_TARGETS},{ATTACKS}"
     for name, cte in (("inject_brute_force", "atk_a"), ("inject_travel", "atk_b"), ("inject_enumeration", "atk_c")):
@@ -616,6 +650,9 @@ def statements() -> dict[str, str]:
       {r3(div('tp', 'attack_lines'))} as line_detection_rate, {r3(div('instances_detected', 'instances'))} as instance_detection_rate
       from (select condition, detector, scenario, {", ".join(f"cast(sum({c}) as bigint) as {c}" for c in
         ("tp", "attack_lines", "instances", "instances_detected"))} from sc group by all)""")
+    s["scenario_levels"] = over(MEASURED, """select condition, detector, scenario, grouping_id(condition, detector, scenario) as level,
+      cast(sum(tp) as bigint) as tp, cast(sum(attack_lines) as bigint) as attack_lines, cast(sum(instances) as bigint) as instances,
+      cast(sum(instances_detected) as bigint) as instances_detected from sc group by cube (condition, detector, scenario)""")
     s["corpora_rule_counts"] = over(MEASURED, f"""select k.condition, r.rule, count(c.rule) as lines_claimed
       from (select distinct condition from pred) k cross join (values {_RULES}) r(rule)
       left join e_claims c on r.rule = c.rule and k.condition = c.condition group by all""")

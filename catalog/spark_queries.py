@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from catalog import tables as t
 from logwarden.config import CONTAMINATION_SWEEP, DEFAULTS
 from logwarden.functions import text
-from logwarden.functions.numbers import draw
+from logwarden.functions.numbers import HOUR, draw
 from logwarden.operators import assembly, camouflage, forest, injection, metrics, prompts, rules, techniques, triage
+from logwarden.operators.asof import asof_join
 from logwarden.operators.embed import embed_templates
 from logwarden.operators.incidents import assign_incidents
 from logwarden.operators.joins import attach
 from logwarden.operators.quantiles import weighted_quantiles
+from logwarden.operators.ranges import overlap_join
+from logwarden.operators.ranking import rank_rows, tile_rows
+from logwarden.operators.sessions import gap_sessions
 from logwarden.operators.severity import highest_severity
+from logwarden.operators.sketches import daily_sketches, estimates, merge_sketches
 from logwarden.operators.travel import travel_lines
 from logwarden.plans import evaluation
 from logwarden.plans.evaluation import RUN
@@ -579,6 +584,80 @@ def _samples(spark, sf_dir) -> DataFrame:
     )
 
 
+@query
+def scenario_levels(spark, sf_dir):
+    """Counts per condition, detector and scenario and on every level above."""
+    counts = metrics.pool_scenarios(_scenario_counts(spark, sf_dir), ["condition", "detector", "scenario"])
+    return metrics.scenario_levels(counts, ["condition", "detector", "scenario"])
+
+
+# --- joins in time, sessions, ranks, sketches
+
+@query
+def login_neighbours(spark, sf_dir):
+    """Accepted logins with the failure of the same user before, after and nearest to each."""
+    rows = t.parsed(spark, sf_dir).select("line_number", "timestamp", "user", "message")
+    failed = rows.filter(text.is_failed_login(F.col("message")))
+    found = rows.filter(text.is_accepted_login(F.col("message"))).select("line_number", "timestamp", "user")
+    for direction in ("backward", "forward", "nearest"):
+        found = asof_join(found, failed, ["user"], ["line_number"], order=["line_number"], direction=direction,
+                          tolerance=HOUR, prefix=f"{direction}_")
+    return found.drop("timestamp")
+
+
+@query
+def incident_logins(spark, sf_dir):
+    """Logins of anyone that fall into the span of an incident."""
+    spans = t.incidents(spark, sf_dir).select("incident_id", "start", "end")
+    logins = t.parsed(spark, sf_dir).filter(text.is_accepted_login(F.col("message"))).select("timestamp", "user")
+    pairs = overlap_join(spans, logins, ("start", "end"), ("timestamp", "timestamp"))
+    return pairs.groupBy(F.col("left.incident_id").alias("incident_id")).agg(
+        F.count("*").alias("logins"), F.countDistinct("right.user").alias("users"))
+
+
+@query
+def incident_overlaps(spark, sf_dir):
+    """How many other incidents go on at the time of each."""
+    spans = t.incidents(spark, sf_dir).select("incident_id", "start", "end")
+    pairs = overlap_join(spans, spans, ("start", "end"), ("start", "end"))
+    return pairs.groupBy(F.col("left.incident_id").alias("incident_id")).agg((F.count("*") - 1).alias("others"))
+
+
+@query
+def user_sessions(spark, sf_dir):
+    """A failed login keeps a session open for five minutes, any other line for ten."""
+    gap = F.when(text.is_failed_login(F.col("message")), 300).otherwise(600)
+    return gap_sessions(t.parsed(spark, sf_dir), ["user"], gap)
+
+
+@query
+def value_ranks(spark, sf_dir):
+    rows = t.table(spark, sf_dir, "events").select("event_id", F.round("value", 0).alias("value"))
+    ranked = rank_rows(rows, ["value"], salt_on="event_id")
+    return tile_rows(ranked, ["value", "event_id"], 7, "tile")
+
+
+@query
+def sketched_values(spark, sf_dir):
+    """Sketches by type and day, merged by type: exact counts, and whether estimates keep their bounds."""
+    rows = t.table(spark, sf_dir, "events").withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
+    daily = settle(daily_sketches(rows, ["event_type"], F.col("ts").cast("date"), "value", "cents"))
+    merged = settle(estimates(merge_sketches(daily, ["event_type"]), {"median": 0.5}))
+    known = rows.join(F.broadcast(merged), "event_type")  # one row per type
+    exact = known.groupBy("event_type").agg(
+        F.first("rows").alias("rows"),
+        F.countDistinct("value").alias("values"),
+        F.first("distinct_estimate").alias("_values"),
+        (F.count_if(F.col("cents") < F.col("median")) / F.count("cents")).alias("_below"),
+        (F.count_if(F.col("cents") <= F.col("median")) / F.count("cents")).alias("_upto"),
+    )
+    return exact.select(
+        "event_type", "rows", "values",
+        (F.abs(F.col("_values") - F.col("values")) <= 0.08 * F.col("values")).alias("values_hold"),
+        ((F.col("_below") <= 0.53) & (F.col("_upto") >= 0.47)).alias("median_holds"),
+    )
+
+
 # --- evaluation of the forest; no counterpart in SQL
 
 def _labels(spark, sf_dir, found: DataFrame) -> DataFrame:

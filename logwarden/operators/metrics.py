@@ -62,6 +62,16 @@ def scenario_counts(instances: DataFrame, run: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def scenario_levels(per_scenario: DataFrame, over: Sequence[str]) -> DataFrame:
+    """Counts on every level of ``over`` at once: one Expand and one aggregation.
+
+    ``level`` has a bit for each column, the first one highest; it is set where the
+    column is summed over (and null), so a missing value of its own stays apart.
+    """
+    return per_scenario.cube(*over).agg(
+        F.grouping_id().cast("bigint").alias("level"), *[F.sum(c).cast("bigint").alias(c) for c in SCENARIO_COUNTS])
+
+
 def flagged_lines(events: DataFrame, detectors: Sequence[str], run: Sequence[str] = ()) -> DataFrame:
     totals = events.groupBy(*run).agg(*[F.count_if(d).alias(d) for d in detectors])
     return _unpivot(totals, run, detectors, "detector", "flagged")
