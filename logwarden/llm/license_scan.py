@@ -3,7 +3,9 @@
 A text is brought to lower-case words. Each rule is a regular expression over those
 words with a keyword, a label, a priority and a score. Rules run only on texts that
 hold their keyword, and no rule runs on texts that hold neither a general license
-word nor a short name together with a form it may stand in.
+word, nor a short name together with a form it may stand in, nor the keyword of a
+signature. Signatures of license bodies, notices, deeds and addresses are written by
+hand (``license_texts``); names of licenses are crossed with the sentences they stand in.
 Overlapping detections are resolved by intervals: a detection inside another one
 that is longer, or as long and of better priority, is suppressed. Base phrases are
 rules as well; they are counted at every place and never suppressed.
@@ -26,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logwarden.llm.license_texts import SIGNATURES
+
 _BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"  # before lower-casing
 
@@ -119,8 +123,18 @@ GATES = ("licen", "public domain", "rights reserved", "cc by", "cc0", "creative
 # a short name in any other form holds one of these and its keyword as a word
 SHORT_FORMS = (" under ", " subject to ", " governed by ", " covered by ")
 SHORT_NAMES = tuple(sorted({key for label, key, _ in NAMES if label in _NEEDS_FORM}))
-# what any text with a match holds, before it is brought to words
-FIRST = "|".join(("licen", "cc", "gpl", "apache", "bsd", "domain", "reserved", "commons", *SHORT_NAMES))
+
+
+def _first_words() -> str:
+    """What any text with a match holds before it is brought to words: one alternation, by first letter."""
+    words = {"licen", "cc", "gpl", "apache", "bsd", "domain", "reserved", "commons", *SHORT_NAMES}
+    words |= {max(key.split(), key=len) for _, key, *_ in SIGNATURES}
+    least = [w for w in words if not any(o != w and o in w for o in words)]
+    letters = {w[0]: sorted(o[1:] for o in least if o[0] == w[0]) for w in sorted(least)}
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in letters.items())
+
+
+FIRST = _first_words()
 
 
 def rules() -> list[tuple[int, str, str, str, int, float]]:
@@ -130,6 +144,7 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
               for rank, score, form in FORMS for label, key, name in NAMES]
     found += [(label, key, PLAIN[2].format(name=name), PLAIN[0], PLAIN[1])
               for label, key, name in NAMES if label not in _NEEDS_FORM]
+    found += SIGNATURES
     return [(i, label, key, f"(?<= )(?:{pattern})(?= )", rank, score)
             for i, (label, key, pattern, rank, score) in enumerate(found)]
 
@@ -146,7 +161,8 @@ def may_match(norm: Column) -> Column:
     def any_of(words: Iterable[str]) -> Column:
         return reduce(Column.__or__, [F.contains(norm, F.lit(w)) for w in words])
 
-    return any_of(GATES) | (any_of(SHORT_FORMS) & any_of(f" {w} " for w in SHORT_NAMES))
+    signed = any_of(sorted({key for _, key, *_ in SIGNATURES}))
+    return any_of(GATES) | signed | (any_of(SHORT_FORMS) & any_of(f" {w} " for w in SHORT_NAMES))
 
 
 def _blanks(text: Column) -> Column:

@@ -62,6 +62,46 @@ TEXTS = {
 }
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions
+and the following disclaimer. """
+GNU = "it is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, "
+# texts as they stand in files, each with all its labels
+BODIES = {
+    """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+    files (the "Software"), to deal in the Software without restriction""": "mit",
+    """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+    files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+    merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+    to do so.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY""": "mit-0",
+    BSD: "bsd-2-clause",
+    BSD + "3. Neither the name of the copyright holder nor the names of its contributors": "bsd-3-clause",
+    BSD + """3. All advertising materials mentioning features or use of this software must display the following acknowledgement: x.
+    4. Neither the name of the copyright holder""": "bsd-4-clause",
+    """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+    that the above copyright notice and this permission notice appear in all copies.""": "isc",
+    """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+    THE SOFTWARE IS PROVIDED "AS IS\"""": "bsd-0-clause",
+    GNU.format("") + "either version 3 of the License, or (at your option) any later version.": "gpl-3-or-later",
+    GNU.format("") + "version 3 of the License.": "gpl-3",
+    GNU.format("Lesser ") + "either version 2.1 of the License, or (at your option) any later version.": "lgpl-2.1-or-later",
+    GNU.format("Affero ") + "either version 3 of the License, or any later version.": "agpl-3-or-later",
+    """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+    License.""": "apache-2",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "see https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa",
+    "Unauthorized copying of this file, via any medium is strictly prohibited": "proprietary",
+    "He asked permission to use the copy of the documentation files": "",
+    "the materials were reproduced in compliance with what the authors published": "",
+}
+
+
+def test_bodies_and_notices(spark):
+    docs = spark.createDataFrame([(i, "x " * (i * 3) + t + " y") for i, t in enumerate(BODIES)], "doc_id bigint, text string")
+    assert {r.doc_id: r.labels for r in scan_licenses(docs).collect()} == dict(enumerate(BODIES.values()))
+
+
 def test_labels_and_suppression(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
     found = {r.doc_id: (r.labels, r.score) for r in scan_licenses(docs).collect()}
@@ -83,12 +123,12 @@ def one_match(parsed, branch):
             out += chr(value)
         elif kind is op.IN:
             first, x = value[0]
-            out += chr(x if first is op.LITERAL else x[0])
+            out += "x" if first is op.NEGATE else chr(x if first is op.LITERAL else x[0])
         elif kind is op.SUBPATTERN:
             out += one_match(value[3], branch)
         elif kind is op.BRANCH:
             out += one_match(value[1][branch % len(value[1])], branch)
-        elif kind is op.MAX_REPEAT:
+        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT):
             out += one_match(value[2], branch) * value[0]
         else:
             assert kind is op.ASSERT
