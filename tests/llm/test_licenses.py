@@ -123,7 +123,9 @@ def one_match(parsed, branch):
             out += chr(value)
         elif kind is op.IN:
             first, x = value[0]
-            out += "x" if first is op.NEGATE else chr(x if first is op.LITERAL else x[0])
+            out += chr(x if first is op.LITERAL else x[0])
+        elif kind is op.NOT_LITERAL:
+            out += "x"
         elif kind is op.SUBPATTERN:
             out += one_match(value[3], branch)
         elif kind is op.BRANCH:
