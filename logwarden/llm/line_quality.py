@@ -151,9 +151,10 @@ def keep_clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     # conditions are not pushed below a random column; there the optimizer would repeat the
     # shared word and line arrays once for each use
     marked = judged.select("doc_id", "kept", cut, F.rand().alias("_mark"))
-    left = marked.filter("kept and _mark >= 0").select("doc_id.*", "_cut")
+    left = marked.filter("kept and _mark >= 0")
     new = {"text": F.col("_cut"), "n_chars": F.char_length("_cut")}
     kinds = dict(docs.dtypes)
+    old = {c: F.col("doc_id")[c] for c in docs.columns}  # the whole row, so that no column of it meets a helper's name
     return left.select(*[
-        F.when(F.col("_cut").isNotNull(), new[c].cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c)
+        (F.when(F.col("_cut").isNotNull(), new[c].cast(kinds[c])).otherwise(old[c]) if c in new else old[c]).alias(c)
         for c in docs.columns])

@@ -355,6 +355,7 @@ def _assign(checked: DataFrame, key: bytes) -> DataFrame:
 
 
 def _replace(docs: DataFrame, redrawn: DataFrame, text: str, key: bytes) -> DataFrame:
+    """``docs`` with new texts; ``redrawn`` holds its rows as ``_row`` and the redrawn entities of each."""
     names, place = docs.columns, docs.columns.index(text)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +365,11 @@ def _replace(docs: DataFrame, redrawn: DataFrame, text: str, key: bytes) -> Data
             columns = [pa.array(new, pa.string()) if i == place else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return redrawn.select(*names, "_redrawn").mapInArrow(run, docs.schema)
+    extra = "_redrawn"
+    while extra in map(str.lower, names):
+        extra += "_"
+    rows = redrawn.select(*[F.col("_row")[c].alias(c) for c in names], F.col("_redrawn").alias(extra))
+    return rows.mapInArrow(run, docs.schema)
 
 
 def replace_entities(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
@@ -374,7 +379,7 @@ def replace_entities(docs: DataFrame, text: str = "text", key: bytes = KEY) -> D
     count = again.count()
     if not count:
         empty = F.array().cast("array<struct<kind:string,form:string,surrogate:string>>")
-        return _replace(docs, docs.withColumn("_redrawn", empty), text, key)
+        return _replace(docs, docs.select(F.struct(*docs.columns).alias("_row"), empty.alias("_redrawn")), text, key)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -391,8 +396,8 @@ def replace_entities(docs: DataFrame, text: str = "text", key: bytes = KEY) -> D
     held = held.join(F.broadcast(again) if count <= BROADCAST_ROWS else again, ["kind", "form"])
     lists = settle(held.groupBy("_text").agg(F.collect_set(F.struct("kind", "form", "surrogate")).alias("_redrawn")))
     small = F.broadcast(lists) if lists.count() <= BROADCAST_ROWS else lists
-    joined = docs.withColumn("_text", F.xxhash64(text)).join(small, "_text", "left")
-    return _replace(docs, joined, text, key)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(text).alias("_text"))
+    return _replace(docs, rows.join(small, "_text", "left"), text, key)
 
 
 def entities_and_surrogates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
