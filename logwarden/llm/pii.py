@@ -3,23 +3,34 @@
 Detected entities are brought to a normal form (digits of a number, lower-case
 letters), and a keyed hash of (kind, normal form, attempt) draws the surrogate:
 digits for digits, vowels for vowels and consonants for consonants of the same
-script, upper case for upper case. Names keep their last letter, which carries the
-gender in most languages; cards and bank accounts keep valid check digits; phone
-numbers keep their country code, addresses their top-level domain. One entity has
-one surrogate everywhere, so references stay linked.
+script, upper case for upper case. Cards and bank accounts keep valid check digits;
+phone numbers keep their country code, addresses their top-level domain. One entity
+has one surrogate everywhere, so references stay linked.
+
+Names are those of people. A title brings a person in; inside of the document its
+surname, its given name and an initial are then found without the title as well, and
+so is a listed given name before a known surname. Given names and surnames are
+entities of their own, so "Mr John Smith", "Mr Smith" and "John Smith" keep what they
+share. A given name is drawn from those of its script and gender, which the title
+decides, else the lists, else names of both; surnames are as long as before, spoken
+in the letters of their script, with the same last letter, and of a Slavic pair
+(Иванов, Иванова) both have one stem. An initial becomes the initial of the given
+name it stands for.
 
 Collisions are checked in Spark over the distinct entities of the corpus: of
 several entities with one surrogate all but the first draw again, as does an entity
-whose surrogate is another real entity, until none is left. Only the few redrawn
+whose surrogate is another real entity, until none is left. Given names may be those
+of other people, as surnames never are, but not their own. Only the few redrawn
 entities are joined to the documents that hold them; all others are computed where
 the text is read.
 
 Defined results: a null text stays null, a text without entities is unchanged;
-overlapping patterns resolve to the leftmost, then the one listed first; repeated
+overlapping patterns resolve to the leftmost, then the one listed first; a word that
+is a name of the document counts as one wherever it stands with a capital; repeated
 rows and rows without id are replaced alike; if a format has fewer values than the
 corpus has entities of it, or none is free after ``ROUNDS`` redraws, the free ones are
 given out in order, then those of wider formats (any letter of the script, then one more
-place), so no entity keeps its value, shares a surrogate or gets a real one; an empty table gives an empty result; other columns pass through.
+place), so no entity keeps its value, shares a surrogate or gets a real one (initials may); an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -31,7 +42,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,14 +51,39 @@ from logwarden.llm.common import settle
 ROUNDS = 20
 FIRST_VALUES, PIECE = 1_000, 10_000  # values of a format listed in the first step after the rounds, and by one row
 BROADCAST_ROWS = 100_000  # redrawn entities of about 100 bytes each; more are joined by shuffle
-KEY = b"logwarden-surrogates"
+TRIAL_KEY = b"logwarden-surrogates"  # for trial data only: whoever has the key can test guesses
+KEY_SETTING = "spark.logwarden.surrogateKey"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_TITLES = (
-    r"Mrs|Mr|Ms|Miss|Dr|Prof|Herrn|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señorita|Señor|Sra|Srta|Sr|Don|Doña|"
-    r"Господин|Госпожа|Κύριος|Κυρία"
-)
-_NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]*(?:[-'’][^\W\d_]+)?"
+# fixed values: titles and common given names by gender, particles of surnames
+TITLES = {
+    "m": ("Mr", "Herrn", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Doña", "Госпожа", "Κυρία"),
+    "u": ("Dr", "Prof"),
+}
+GIVEN = {
+    ("LATIN", "m"): "adam arthur carlos daniel david edward felix frank george hans henry hugo jack james jean john jose "
+                    "karl louis lucas luis manuel mark martin max michael miguel oscar otto paul pedro peter philip pierre "
+                    "ralph richard robert simon stefan thomas victor walter william",
+    ("LATIN", "f"): "alice amelie anna barbara carla carmen catherine charlotte clara diana elena elizabeth ella emma eva "
+                    "greta hannah helen ines irene isabel jane julia karin laura lena lucia luise margaret maria marie "
+                    "martha mary monica nina nora olivia paula rosa ruth sarah sofia susan teresa ursula vera",
+    ("LATIN", "u"): "alex ariel casey charlie chris dominique eden jamie kim luca morgan noel pat quinn robin sam sascha terry toni",
+    ("CYRILLIC", "m"): "алексей андрей борис виктор дмитрий иван игорь максим николай олег павел пётр сергей юрий",
+    ("CYRILLIC", "f"): "анна вера галина елена ирина лариса мария наталья ольга светлана софья татьяна юлия",
+    ("GREEK", "m"): "αλέξανδρος ανδρέας γιώργος δημήτρης κώστας νίκος παύλος πέτρος",
+    ("GREEK", "f"): "άννα ελένη ειρήνη κατερίνα μαρία σοφία χριστίνα",
+}
+_OF = r"(?:(?:van|von|vom|de|der|den|des|del|della|di|da|dos|du|la|le|las|los|ter|ten|zu|zur|y)\x20){0,3}"
+
+_GENDER_OF_TITLE = {t: g for g, titles in TITLES.items() for t in titles}
+_GENDER_OF_NAME = {n: g for (_, g), names in GIVEN.items() for n in names.split()}
+_TITLES = "|".join(sorted(_GENDER_OF_TITLE, key=len, reverse=True))
+_CAPITAL = r"[^\W\d_a-zа-яα-ω]"
+_NAME = rf"{_CAPITAL}[^\W\d_]*(?:[-'’][^\W\d_]+)?"
+_WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
+_TITLE = re.compile(_TITLES)
+_GAP = re.compile(rf"(?:\.|\.?\x20){_OF}")  # between a given name and the next word of the name
 # fixed order: the first pattern wins where several start
 PATTERNS = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
@@ -57,19 +93,86 @@ PATTERNS = (
     ("card", r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
               r"|(?<!\w)\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w)"),
-    ("name", rf"(?<=\b)(?:{_TITLES})\.?\x20(?P<who>{_NAME}(?:\x20{_NAME})?)"),
+    ("name", rf"(?<!\w)(?P<title>(?:(?:{_TITLES})\.?\x20)+)(?P<who>(?!(?:{_TITLES})\b)(?:{_CAPITAL}\.\x20?(?={_OF}{_CAPITAL}[\w.]))*"
+             rf"{_OF}{_NAME}(?:\x20{_CAPITAL}\.)*(?:\x20{_OF}{_NAME})?)"),
 )
 ENTITY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS))
 _HINT = re.compile(rf"[0-9@]|(?:{_TITLES})\.? ")
-KINDS = tuple(k for k, _ in PATTERNS)
 
 
-def entities(text: str | None) -> list[tuple[str, int, int]]:
-    """Kind and place of every entity; of a name with its title only the name."""
+def _people(text: str, titled: list[re.Match], taken: list[tuple[int, int]]) -> list[tuple[str, int, int, str]]:
+    """Given names and surnames of the people that titles bring in, wherever they stand outside of ``taken``."""
+    mentions = []
+    for m in titled:
+        words = [w.span() for w in _WORD.finditer(text, *m.span("who"))]
+        titles = _TITLE.findall(m["title"])
+        gender = next((g for g in map(_GENDER_OF_TITLE.get, titles) if g != "u"), "u")
+        mentions.append((words, gender, titles[-1] in ("Don", "Doña")))
+
+    def form(span: tuple[int, int]) -> str:
+        return normal("surname", text[slice(*span)])
+
+    alone = {form(words[0]) for words, _, given in mentions if len(words) == 1 and not given}
+    genders: dict[str, str] = {}
+    surnames, whole = set(alone), {}
+    for words, gender, only_given in mentions:
+        if len(words) == 2 and form(words[0]) in alone and form(words[1]) not in alone:
+            continue  # a surname, and a word that begins with a capital for another reason
+        last = None if len(words) == 1 and only_given else form(words[-1])
+        surnames |= {last} - {None}
+        for w in words if last is None else words[:-1]:
+            if genders.get(form(w), "u") == "u":
+                genders[form(w)] = gender
+            whole.setdefault((last, form(w)[:1]), []).append(form(w))
+
+    words = [w.span() for w in _WORD.finditer(text)]
+    inside = [False] * len(words)
+    at = 0
+    for i, (a, b) in enumerate(words):
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        inside[i] = at < len(taken) and taken[at][0] < b
+    forms = ["" if x else form(w) for w, x in zip(words, inside)]
+    # from right to left: a given name stands before its surname or another given name
+    out, owner = [], None
+    for i in range(len(words) - 1, -1, -1):
+        a, b = words[i]
+        before_name = owner is not None and _GAP.fullmatch(text, b, words[i + 1][0])
+        word = forms[i]
+        if not word:
+            owner = None
+        elif before_name and (len(word) == 1 or word in _GENDER_OF_NAME or word in genders):
+            full = next((x for x in whole.get((owner, word), ()) if len(x) > 1), word) if len(word) == 1 else word
+            whole.setdefault((owner, word[:1]), []).append(word)
+            out.append((a, b, full))
+        elif word in surnames:
+            owner = word
+            out.append((a, b, None))
+        elif word in genders and len(word) > 1:
+            owner = None
+            out.append((a, b, word))
+        else:
+            owner = None
+    kind = {g: "given_" + (x if x != "u" else _GENDER_OF_NAME.get(g, "u")) for g, x in genders.items()}
+    return [("surname", a, b, form((a, b))) if given is None else
+            (kind.get(given, "given_" + _GENDER_OF_NAME.get(given, "u")), a, b, given) for a, b, given in reversed(out)]
+
+
+def mentions(text: str | None) -> list[tuple[str, int, int, str]]:
+    """Kind, place and normal form of every entity; of a name its words one by one."""
     if not text or not _HINT.search(text):
         return []
-    return [(m.lastgroup if m.lastgroup != "who" else "name",
-             *(m.span("who") if m["name"] else m.span())) for m in ENTITY.finditer(text)]
+    found = list(ENTITY.finditer(text))
+    titled = [m for m in found if m["name"]]
+    out = [(m.lastgroup, *m.span(), normal(m.lastgroup, m[0])) for m in found if not m["name"]]
+    if titled:
+        out = sorted(out + _people(text, titled, [(a, b) for _, a, b, _ in out]), key=lambda x: x[1])
+    return out
+
+
+def entities(text: str | None) -> list[tuple[str, int, int]]:
+    """Kind and place of every entity."""
+    return [(kind, a, b) for kind, a, b, _ in mentions(text)]
 
 
 def normal(kind: str, text: str) -> str:
@@ -101,6 +204,17 @@ _LETTERS = {
     "CYRILLIC": ("аеиоу", "бвгджзклмнпрстфхцч"),
     "GREEK": ("αεηιουω", "βγδζθκλμνξπρστφχψ"),
 }
+_ENDS = {"f": "a", "m": "n", "u": "i"}  # of given names beyond the lists
+_SLAVIC = ("ов", "ев", "ёв", "ин", "ын")
+
+
+def _script(text: str) -> str:
+    return unicodedata.name(text[0], "LATIN").split(" ")[0] if text else "LATIN"
+
+
+def stem_and_end(kind: str, form: str) -> tuple[str, str]:
+    """The part of a name that surrogates replace, and the ending that a woman's surname adds to it."""
+    return (form[:-1], "а") if kind == "surname" and form.endswith("а") and form[:-1].endswith(_SLAVIC) else (form, "")
 
 
 def _letter(c: str, draws: _Draws) -> str:
@@ -125,7 +239,7 @@ def _account(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
 
-def surrogate(kind: str, form: str, attempt: int, key: bytes = KEY) -> str:
+def surrogate(kind: str, form: str, attempt: int, key: bytes) -> str:
     """Normal form of the surrogate, as long as ``form`` and with the same kinds of characters."""
     draws = _Draws(key, kind, form, str(attempt))
 
@@ -150,15 +264,22 @@ def surrogate(kind: str, form: str, attempt: int, key: bytes = KEY) -> str:
     if kind == "phone":
         keep = max(0, len(form) - 10)  # country code
         return form[:keep] + str(2 + draws.below(8)) + swap(form[keep + 1 :], draws)
-    if kind == "name":
-        return swap(form[:-1], draws) + form[-1:]
+    if kind == "surname" or kind.startswith("given"):
+        # the lists of given names are short: from the third draw on names grow
+        wider = 0 if kind == "surname" else max(0, attempt - 2)
+        places = map(_options, alphabets(kind, form, wider, key))
+        return "".join(p[draws.below(len(p))] for p in places)
     return swap(form, draws)
 
 
 _DIGITS = "0123456789"
 
 
-def alphabets(kind: str, form: str, wider: int = 0, key: bytes = KEY) -> list[str]:
+def _options(place: str) -> list[str]:
+    return place.split(" ") if " " in place else list(place)
+
+
+def alphabets(kind: str, form: str, wider: int, key: bytes) -> list[str]:
     """What may stand at each place of a surrogate: first as drawn by ``surrogate``, then wider.
 
     One step wider any letter of the script, any first digit and octets of any length
@@ -193,13 +314,29 @@ def alphabets(kind: str, form: str, wider: int = 0, key: bytes = KEY) -> list[st
     if kind == "phone":
         keep = max(0, len(form) - 10)
         return [*form[:keep], _DIGITS if wider else _DIGITS[2:], *map(choice, form[keep + 1 :]), *[_DIGITS] * max(0, wider - 1)]
+    if kind.startswith("given") and _script(form) in _LETTERS:
+        script = _script(form)
+        vowels, consonants = _LETTERS[script]
+        names = GIVEN.get((script, kind[-1]), "")
+        if names and not wider:
+            return [names]
+        end = _ENDS[kind[-1]]
+        if script != "LATIN":
+            end = {"f": vowels[0], "m": consonants[-5], "u": vowels[3]}[kind[-1]]
+        return [*[consonants, vowels] * (1 + wider), consonants, end]
     places = [choice(c) for c in form]
-    if kind == "name" and not wider:
-        places[-1] = form[-1]
+    if kind == "surname" and _script(form) in _LETTERS and form.isalpha():
+        vowels, consonants = _LETTERS[_script(form)]
+        keep = 2 if form.endswith(_SLAVIC) else 0 if wider or len(form) < 2 else 1
+        first = unicodedata.normalize("NFD", form)[0] in vowels
+        if not wider or keep == 2:
+            body = [(consonants, vowels)[(i + first) % 2] for i in range(max(0, wider - 1) + len(form) - keep)]
+            return [*(body if not wider else [vowels + consonants] * len(body)), *(form[-keep:] if keep else "")]
+        places = [vowels + consonants] * len(form)
     return [*places, *[places[-1] if places[-1] != form[-1] else _DIGITS] * max(0, wider - 1)]
 
 
-def format_of(kind: str, form: str, key: bytes = KEY) -> str:
+def format_of(kind: str, form: str, key: bytes) -> str:
     """Equal for entities whose surrogates come from the same values."""
     return "\x1f".join([*alphabets(kind, form, 0, key), str(_valid(kind, form))])
 
@@ -208,11 +345,11 @@ def _valid(kind: str, form: str) -> bool:
     return (kind == "card" and _luhn(form[:-1]) == int(form[-1])) or (kind == "iban" and _account(form) == 1)
 
 
-def values(kind: str, form: str, start: int, stop: int, key: bytes = KEY) -> Iterator[str]:
+def values(kind: str, form: str, start: int, stop: int, key: bytes) -> Iterator[str]:
     """The values ``start`` to ``stop`` of a format, without end: wider formats follow when it has no more."""
     wider, passed, valid = 0, 0, _valid(kind, form)
     while start < stop:
-        places = [p.split(" ") if kind == "ip" else list(p) for p in alphabets(kind, form, wider, key)]
+        places = [*map(_options, alphabets(kind, form, wider, key))]
         size = math.prod(map(len, places))
         for n in range(start - passed, min(stop - passed, size)):
             out = []
@@ -238,6 +375,10 @@ def render(original: str, kind: str, form: str) -> str:
     """Write the surrogate in the spelling of the original."""
     if kind == "ip":
         return form
+    if kind.startswith("given"):
+        if len(original) == 1:  # an initial
+            return form[0].upper()
+        return form.upper() if original.isupper() else form.capitalize()
     letters = iter(form)
     out = []
     for c in original:
@@ -249,14 +390,15 @@ def render(original: str, kind: str, form: str) -> str:
     return "".join([*out, *letters])  # of a wider format
 
 
-def replace_text(text: str | None, redrawn: dict[tuple[str, str], str], key: bytes = KEY) -> str | None:
-    found = entities(text)
+def replace_text(text: str | None, redrawn: dict[tuple[str, str], str], key: bytes) -> str | None:
+    found = mentions(text)
     if not found:
         return text
     out, at = [], 0
-    for kind, a, b in found:
-        form = normal(kind, text[a:b])
-        out += [text[at:a], render(text[a:b], kind, redrawn.get((kind, form)) or surrogate(kind, form, 0, key))]
+    for kind, a, b, form in found:
+        stem, end = stem_and_end(kind, form)
+        new = redrawn.get((kind, stem)) or surrogate(kind, stem, 0, key)
+        out += [text[at:a], render(text[a:b], kind, new + end)]
         at = b
     return "".join([*out, text[at:]])
 
@@ -266,7 +408,7 @@ def distinct_entities(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            found = sorted({(k, normal(k, t[a:b])) for t in batch.column(0).to_pylist() for k, a, b in entities(t)})
+            found = sorted({(k, stem_and_end(k, f)[0]) for t in batch.column(0).to_pylist() for k, _, _, f in mentions(t)})
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in found], pa.string()), pa.array([f for _, f in found], pa.string())],
                 ["kind", "form"])
@@ -287,14 +429,21 @@ def _draw(forms: DataFrame, key: bytes) -> DataFrame:
         run, "kind string, form string, attempt int, surrogate string")
 
 
-def resolve(found: DataFrame, key: bytes = KEY) -> DataFrame:
+def _paired() -> Column:
+    """Reads like the second of a Slavic pair, which only the stem of the pair may give."""
+    return F.expr(f"kind = 'surname' and surrogate rlike '({'|'.join(_SLAVIC)})а$'")
+
+
+def resolve(found: DataFrame, key: bytes) -> DataFrame:
     """``kind, form, attempt, surrogate`` of distinct entities, with collisions redrawn."""
     drawn = settle(_draw(found.withColumn("attempt", F.lit(0)), key), "surrogates")
-    real = drawn.select("kind", F.col("form").alias("surrogate"), F.lit(True).alias("_real"))
+    # given names may be those of others
+    real = drawn.filter(~F.col("kind").startswith("given")).select("kind", F.col("form").alias("surrogate"), F.lit(True).alias("_real"))
+    taken = F.coalesce("_real", F.lit(False)) | (F.col("form") == F.col("surrogate")) | _paired()
     for _ in range(ROUNDS):
         first = Window.partitionBy("kind", "surrogate").orderBy("attempt", "form")
         checked = settle(drawn.join(real, ["kind", "surrogate"], "left").withColumn(
-            "_again", F.coalesce("_real", F.lit(False)) | (F.row_number().over(first) > 1)))
+            "_again", taken | (F.row_number().over(first) > 1)))
         again = checked.filter("_again")
         if again.isEmpty():
             break
@@ -303,7 +452,7 @@ def resolve(found: DataFrame, key: bytes = KEY) -> DataFrame:
     else:
         first = Window.partitionBy("kind", "surrogate").orderBy("attempt", "form")
         checked = settle(drawn.join(real, ["kind", "surrogate"], "left").withColumn(
-            "_again", F.coalesce("_real", F.lit(False)) | (F.row_number().over(first) > 1)))
+            "_again", taken | (F.row_number().over(first) > 1)))
         drawn = _assign(checked.select(*drawn.columns, "_again"), key)
     return drawn
 
@@ -339,7 +488,7 @@ def _assign(checked: DataFrame, key: bytes) -> DataFrame:
             "stop", F.least(F.col("start") + PIECE, F.lit(seen + more))).repartition("kind", "format", "start")
         used = done.select("kind", "surrogate").unionByName(forms.select("kind", F.col("form").alias("surrogate")))
         free = settle(pieces.mapInArrow(listed, "kind string, format string, at bigint, surrogate string").join(
-            used, ["kind", "surrogate"], "left_anti"))
+            used, ["kind", "surrogate"], "left_anti").filter(~_paired()))
         # a value of several formats goes to one of them, to each alike often
         one = Window.partitionBy("kind", "surrogate").orderBy(F.xxhash64("format", "surrogate"), "format", "at")
         free = free.withColumn("_one", F.row_number().over(one)).filter("_one = 1")
@@ -372,7 +521,13 @@ def _replace(docs: DataFrame, redrawn: DataFrame, text: str, key: bytes) -> Data
     return rows.mapInArrow(run, docs.schema)
 
 
-def replace_entities(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The key that the session holds as ``KEY_SETTING``, else the one for trial data."""
+    held = spark.conf.get(KEY_SETTING, None)
+    return held.encode() if held else TRIAL_KEY
+
+
+def replace_entities(docs: DataFrame, text: str = "text", *, key: bytes) -> DataFrame:
     """``docs`` with every entity of ``text`` replaced; columns and rows as before."""
     surrogates = resolve(settle(distinct_entities(docs, text), "entities"), key)
     again = settle(surrogates.filter("attempt > 0").select("kind", "form", "surrogate"))
@@ -383,8 +538,8 @@ def replace_entities(docs: DataFrame, text: str = "text", key: bytes = KEY) -> D
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            out = {(i, k, normal(k, t[a:b])) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                   for k, a, b in entities(t)}
+            out = {(i, k, stem_and_end(k, f)[0]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                   for k, _, _, f in mentions(t)}
             columns = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())],
@@ -400,7 +555,7 @@ def replace_entities(docs: DataFrame, text: str = "text", key: bytes = KEY) -> D
     return _replace(docs, rows.join(small, "_text", "left"), text, key)
 
 
-def entities_and_surrogates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def entities_and_surrogates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, key: bytes) -> DataFrame:
     """``doc_id, n_entities, spans`` of the original and the new ``text`` of every row."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     names = ["doc_id", "n_entities", "spans", "text"]
@@ -414,4 +569,4 @@ def entities_and_surrogates(docs: DataFrame, doc_id: str = "doc_id", text: str =
                 names)
 
     marked = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_entities bigint, spans string, text string")
-    return replace_entities(marked)
+    return replace_entities(marked, key=key)

@@ -15,7 +15,7 @@ from logwarden.llm.html_extract import extract_pages
 from logwarden.llm.lexical_search import build_index, search
 from logwarden.llm.license_scan import scan_licenses
 from logwarden.llm.line_quality import measure_lines
-from logwarden.llm.pii import entities_and_surrogates
+from logwarden.llm.pii import entities_and_surrogates, key_of
 from logwarden.llm.secret_scan import scan_secrets
 from logwarden.llm.simhash import near_duplicates
 from logwarden.llm.substring_dedup import remove_repeats
@@ -80,7 +80,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities_and_surrogates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return entities_and_surrogates(_table(spark, sf_dir, "documents").select("doc_id", "text"), key=key_of(spark))
 
 
 def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

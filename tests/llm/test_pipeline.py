@@ -5,7 +5,7 @@ from tokenizers import Tokenizer
 
 from logwarden.llm.decontaminate import find_leaks
 from logwarden.llm.line_quality import keep_clean, measure_lines
-from logwarden.llm.pii import replace_entities
+from logwarden.llm.pii import key_of, replace_entities
 
 from .test_near_dedup import first_of_groups
 
@@ -26,7 +26,7 @@ def test_stages_take_effect(spark):
     assert set(final) == single - leaks and 0 < len(final) < docs.count()
 
     library = Tokenizer.from_file(corpus_pipeline.VOCABULARY)
-    for r in replace_entities(left).collect():
+    for r in replace_entities(left, key=key_of(spark)).collect():
         ids = np.array(library.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()
         assert bytes(final[r.doc_id].ids) == ids and final[r.doc_id].n_tokens == len(ids) // 4 and final[r.doc_id].decodes
 
