@@ -25,7 +25,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations, repeat
 
 import numpy as np
@@ -52,24 +52,36 @@ _ROWS = 1 << 14
 _TEXTS = 200  # texts a worker holds as objects
 
 
-def fingerprint(text: bytes | None) -> int:
-    """Unsigned fingerprint of one text in UTF-8."""
+def shingle_digests(text: bytes | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Digests of the shingles of one text in UTF-8, repeats included, eight bytes a row, some rows at a time."""
     words = (text or b"").lower().split()  # both work on ASCII only
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
-    size = min(SHINGLE, len(words))
+    size = min(shingle, len(words))
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends]
-    votes, total = np.zeros(BITS, np.int64), len(words) - size + 1
+    total = len(words) - size + 1
     for at in range(0, total, _ROWS):
         stop = min(total, at + _ROWS)
         cut = [joined[a : b - 1] for a, b in zip(starts[at:stop], ends[at + size - 1 : stop + size - 1])]
-        digests = np.frombuffer(b"".join(map(xxhash.xxh64_digest, cut, repeat(SEED))), np.uint8)
-        votes += np.unpackbits(digests.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.frombuffer(b"".join(map(xxhash.xxh64_digest, cut, repeat(SEED))), np.uint8).reshape(-1, 8)
+
+
+def majority(digests: Iterable[np.ndarray]) -> int:
+    """Unsigned fingerprint: a bit is set if it is in over half the digests."""
+    votes, total = np.zeros(BITS, np.int64), 0
+    for part in digests:
+        votes += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+        total += len(part)
     return int.from_bytes(np.packbits(votes * 2 > total).tobytes(), "big")
 
 
+def fingerprint(text: bytes | None) -> int:
+    """Unsigned fingerprint of one text in UTF-8."""
+    return majority(shingle_digests(text))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, _TEXTS):
