@@ -203,5 +203,9 @@ def merge_corpus(background: DataFrame, attacks: DataFrame, run: Sequence[str] =
                if c not in background.columns]
     plain = background.select("*", *missing)
     every = plain.select(*columns).unionByName(attacks.select(*columns))
-    order = ["ts", F.coalesce("scenario", F.lit("")), F.coalesce("instance", F.lit(0)), "step", "message", "pid"]
-    return number_rows(every, order, "line_number", within=run).withColumn("value", format_line())
+    return number_rows(every, corpus_order(), "line_number", within=run).withColumn("value", format_line())
+
+
+def corpus_order() -> list[str | Column]:
+    """Order of the lines of a corpus."""
+    return ["ts", F.coalesce("scenario", F.lit("")), F.coalesce("instance", F.lit(0)), "step", "message", "pid"]

@@ -11,12 +11,14 @@ from logwarden.config import CONTAMINATION_SWEEP, DEFAULTS, Settings
 from logwarden.operators.camouflage import camouflage
 from logwarden.operators.forest import score_templates
 from logwarden.operators.incidents import assign_incidents
-from logwarden.operators.injection import inject, merge_corpus
+from logwarden.operators.injection import inject
 from logwarden.operators.joins import attach
 from logwarden.plans.detection import flag_lines
+from logwarden.plans.matrix import RUN, RunMatrix, lay_out
 from logwarden.session import settle
+from logwarden.sources.logs import format_line, parse_lines
 
-RUN = ("seed", "condition")
+CORPUS = ("ts", "process", "pid", "message", "scenario", "instance", "user", "description", "step", "value")
 
 
 def build_corpora(
@@ -27,7 +29,19 @@ def build_corpora(
     settings: Settings = DEFAULTS,
     users: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Numbered, labelled log lines of every (seed, condition).
+    """Numbered, labelled log lines of every (seed, condition)."""
+    return run_matrix(background, targets, seeds, conditions, settings, users).expand(CORPUS)
+
+
+def run_matrix(
+    background: DataFrame,
+    targets: DataFrame,
+    seeds: Sequence[int],
+    conditions: Mapping[str, Sequence[str]],
+    settings: Settings = DEFAULTS,
+    users: Sequence[str] | None = None,
+) -> RunMatrix:
+    """The same lines, the background kept once.
 
     ``background`` is shared by all runs; only the attacks differ.
     """
@@ -37,19 +51,27 @@ def build_corpora(
         options = {} if users is None else {"users": users}
         rows = camouflage(attacks, strategies, settings, **options).withColumn("condition", F.lit(name))
         disguised = rows if disguised is None else disguised.unionByName(rows)
-    copies = background.withColumn("seed", F.explode(F.array(*[F.lit(int(s)).cast("bigint") for s in seeds]))).withColumn(
-        "condition", F.explode(F.array(*map(F.lit, conditions)))
-    )
-    return merge_corpus(copies, disguised, RUN)
+    runs = [(int(seed), name) for seed in seeds for name in conditions]
+    return lay_out(background, disguised, runs).each(lambda rows: rows.withColumn("value", format_line()))
+
+
+def parse_matrix(matrix: RunMatrix, year: int | None = None) -> RunMatrix:
+    """Parsed lines of all runs, those of the background parsed once."""
+
+    def parse(rows: DataFrame) -> DataFrame:
+        return parse_lines(rows.drop(*[c for c in CORPUS if c != "value"]), year).drop("raw", "host", "process", "pid")
+
+    return matrix.each(parse)
 
 
 def detect_all(
-    parsed: DataFrame, settings: Settings = DEFAULTS, shares: Sequence[float] | None = None, run: Sequence[str] = RUN
+    parsed: DataFrame, settings: Settings = DEFAULTS, shares: Sequence[float] | None = None, run: Sequence[str] = RUN,
+    flagged: bool = False,
 ) -> DataFrame:
     """Every detector on every run: ``rules_fired``, ``impossible_travel``, ``ml_anomaly``.
 
     With ``shares`` (a contamination sweep) a column ``full_<share>`` is added for
-    each; the forests are fitted once.
+    each; the forests are fitted once. Rows that are ``flagged`` bring the first two.
     """
     run = list(run)
     wanted = sorted({settings.contamination, *(shares or ())})
@@ -62,9 +84,8 @@ def detect_all(
         *[F.bool_or((F.col("share") == s) & F.col("ml_anomaly")).alias(c) for s, c in columns.items()],
     )
     scored = attach(parsed, wide, [*run, "user", "template"], how="inner", rows="n", settings=settings)
-    marked = flag_lines(scored, parsed, settings, run).withColumn(
-        "ml_anomaly", F.col(columns[settings.contamination])
-    )
+    marked = scored if flagged else flag_lines(scored, parsed, settings, run)
+    marked = marked.withColumn("ml_anomaly", F.col(columns[settings.contamination]))
     sweep = {sweep_column(s): F.col(columns[s]) | F.col("impossible_travel") for s in (shares or ())}
     return (marked.withColumns(sweep) if sweep else marked).drop(*columns.values())
 
