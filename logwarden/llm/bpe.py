@@ -21,7 +21,6 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import WordTable, text_groups
+from logwarden.llm.common import WordTable, text_groups, worker_tool
 
 CACHE = 200_000  # words, and pieces of words, a worker remembers
 LAYOUT = 4_000_000  # bytes of new pieces indexed together
@@ -205,7 +204,7 @@ class Encoder:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, numbers)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@worker_tool
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 

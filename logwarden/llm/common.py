@@ -6,6 +6,7 @@ import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,22 @@ SPACE = " \t\n\x0b\x0c\r"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_TOOLS: list = []
+
+
+def worker_tool(build: Callable) -> Callable:
+    """Cache what ``build`` makes for the tasks a Python worker runs one after the other."""
+    cached = lru_cache(maxsize=2)(build)
+    _TOOLS.append(cached)
+    return cached
+
+
+def drop_tools() -> None:
+    """Free the tools that other operators left in this worker; they are built again when asked for."""
+    for tool in _TOOLS:
+        tool.cache_clear()
+
+
 @contextmanager
 def _cleaned(spark: SparkSession) -> Iterator[None]:
     """Drop the shuffle files of a job as soon as its result is written."""

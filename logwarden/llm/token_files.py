@@ -21,7 +21,6 @@ import os
 import re
 import struct
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logwarden.llm.common import WordTable, scratch, settle, text_groups
+from logwarden.llm.common import WordTable, scratch, settle, text_groups, worker_tool
 from logwarden.llm.shared_files import attempt_name, create, open_file
 
 FRAME_BYTES = 1 << 20  # token bytes per frame; a longer document has a frame of its own
@@ -105,7 +104,7 @@ class WordEncoder:
         ]
 
 
-@lru_cache(maxsize=2)
+@worker_tool
 def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
