@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -660,19 +661,23 @@ def sketched_values(spark, sf_dir):
 
 # --- evaluation of the forest; no counterpart in SQL
 
-def _labels(spark, sf_dir, found: DataFrame) -> DataFrame:
-    """Labels of the runs that ``found`` covers."""
-    return t.corpora_labels(spark, sf_dir).join(F.broadcast(found.select(*RUN).distinct()), list(RUN))
+def _full_scenarios(spark, sf_dir, found, detectors) -> DataFrame:
+    """Counts per scenario; ``found`` are verdicts of some runs. Only lines that runs add carry labels."""
+    own = _together([f.own for f in found], detectors, "line_number")
+    runs = _together([f.counts for f in found]).distinct()
+    labels = t.corpora_labels(spark, sf_dir).join(F.broadcast(runs), list(RUN))  # labels of the runs that are covered
+    hits = metrics.label_hits(own, labels, detectors, RUN)
+    return metrics.scenario_counts(metrics.instance_hits(hits, detectors, RUN), RUN)
 
 
-def _full_scenarios(spark, sf_dir, found: DataFrame, detectors) -> DataFrame:
-    hits = metrics.label_hits(found, _labels(spark, sf_dir, found), detectors, RUN)
-    return metrics.scenario_counts(metrics.instance_hits(hits, detectors, RUN), RUN)
+def _together(tables, detectors=(), *more) -> DataFrame:
+    return reduce(DataFrame.unionByName, [rows.select(*RUN, *more, *detectors) for rows in tables])
 
 
-def _full_counts(spark, sf_dir, found: DataFrame, detectors) -> DataFrame:
+def _full_counts(spark, sf_dir, found, detectors) -> DataFrame:
     per_scenario = _full_scenarios(spark, sf_dir, found, detectors)
-    return metrics.confusion_counts(per_scenario, metrics.flagged_lines(found, detectors, RUN), RUN)
+    lines = _together([f.counts for f in found], detectors, "n")
+    return metrics.confusion_counts(per_scenario, metrics.flagged_lines(lines, detectors, RUN, "n"), RUN)
 
 
 def _compared(spark, sf_dir) -> DataFrame:
@@ -695,14 +700,14 @@ def side_by_side_full(spark, sf_dir):
 @query
 def side_by_side_scenarios(spark, sf_dir):
     """The fair rule detector beside the full system, by scenario of the clean runs."""
-    counts = _full_scenarios(spark, sf_dir, t.clean_full(spark, sf_dir), ["rules_travel", "full"])
+    counts = _full_scenarios(spark, sf_dir, [t.clean_full(spark, sf_dir)], ["rules_travel", "full"])
     pooled = metrics.pool_scenarios(counts, ["scenario", "detector"])
     return metrics.side_by_side(pooled, ["scenario"], ["line_detection_rate", "instance_detection_rate"], "rules_travel", "full")
 
 
 def _sweep(spark, sf_dir) -> DataFrame:
     shares = evaluation.sweep_columns()
-    counts = _full_counts(spark, sf_dir, t.clean_full(spark, sf_dir), list(shares))
+    counts = _full_counts(spark, sf_dir, [t.clean_full(spark, sf_dir)], list(shares))
     named = F.coalesce(*[F.when(F.col("detector") == c, F.lit(s)) for c, s in shares.items()])
     return metrics.pool_counts(counts, ["detector"]).withColumn("share", named)
 
@@ -720,7 +725,7 @@ def sweep_choice(spark, sf_dir):
 @query
 def alert_volume(spark, sf_dir):
     """Lines and incidents per corpus, mean over the seeds, clean runs."""
-    volumes = evaluation.alert_volume(t.clean_full(spark, sf_dir))
+    volumes = evaluation.alert_volume(t.clean_lines(spark, sf_dir))
     return metrics.mean_volume(
         volumes, ["log_lines", "rule_incidents", "rule_incidents_also_full", "full_incidents"], ["condition"]
     )
@@ -728,7 +733,7 @@ def alert_volume(spark, sf_dir):
 
 @query
 def full_robustness(spark, sf_dir):
-    hits = metrics.label_hits(
-        t.corpora_full(spark, sf_dir), t.corpora_labels(spark, sf_dir), ("full", "travel_rule"), RUN
-    )
+    detectors = ("full", "travel_rule")
+    own = _together([f.own for f in t.corpora_full(spark, sf_dir)], detectors, "line_number")
+    hits = metrics.label_hits(own, t.corpora_labels(spark, sf_dir), detectors, RUN)
     return metrics.pool_robustness(metrics.robustness_counts(hits))

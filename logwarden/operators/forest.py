@@ -43,10 +43,22 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, long))
 
 
+_depths: dict[int, float] = {}  # an entry for each size of a node, up to the subsample
+
+
+def _mean_depth(n: int) -> float:
+    if n not in _depths:
+        _depths[n] = float(average_path(n))
+    return _depths[n]
+
+
 def grow_tree(x: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> tuple[list, list, list, list, list]:
     """One random tree over distinct vectors ``x`` that occur ``weight`` times."""
     depth_limit = int(np.ceil(np.log2(max(weight.sum(), 2))))
     feature, threshold, left, right, path = [], [], [], [], []
+    # a feature that is equal in all vectors is never cut
+    named = np.flatnonzero(np.maximum.reduce(x, axis=0) > np.minimum.reduce(x, axis=0)) if len(x) else np.empty(0, int)
+    x = x[:, named]
     todo = [(np.arange(len(x)), 0, -1, False)]
     while todo:
         rows, depth, parent, is_right = todo.pop()
@@ -57,36 +69,44 @@ def grow_tree(x: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> tu
         threshold.append(0.0)
         left.append(-1)
         right.append(-1)
-        size = weight[rows].sum()
-        path.append(depth + float(average_path(size)))
+        size = int(weight[rows].sum())
+        path.append(depth + _mean_depth(size))
         if size <= 1 or depth >= depth_limit or len(rows) < 2:
             continue
-        low, high = x[rows].min(axis=0), x[rows].max(axis=0)
-        varying = np.flatnonzero(high > low)
+        held = x.take(rows, axis=0)
+        low, high = np.minimum.reduce(held, axis=0), np.maximum.reduce(held, axis=0)
+        varying = (high > low).nonzero()[0]
         if not len(varying):
             continue
         chosen = int(varying[rng.integers(len(varying))])
         cut = float(rng.uniform(low[chosen], high[chosen]))
-        goes_left = x[rows, chosen] <= cut
-        if goes_left.all():  # rounding can push the cut onto the largest value
+        values = held[:, chosen]
+        goes_right = values > cut
+        above = rows[goes_right]
+        if not len(above):  # rounding can push the cut onto the largest value
             cut = float(low[chosen])
-            goes_left = x[rows, chosen] <= cut
-        feature[node], threshold[node] = chosen, cut
-        todo.append((rows[~goes_left], depth + 1, node, True))
-        todo.append((rows[goes_left], depth + 1, node, False))
+            goes_right = values > cut
+            above = rows[goes_right]
+        feature[node], threshold[node] = int(named[chosen]), cut
+        todo.append((above, depth + 1, node, True))
+        todo.append((rows[~goes_right], depth + 1, node, False))
     return feature, threshold, left, right, path
 
 
-def path_lengths(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
-    feature, threshold, left, right, path = tree
-    at = np.zeros(len(x), dtype=np.int64)
-    while True:
-        inner = np.flatnonzero(feature[at] >= 0)
-        if not len(inner):
-            return path[at]
+def path_lengths(x: np.ndarray, trees: Sequence[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """Depth of every vector in every tree, a row per tree; all trees are walked at once."""
+    ends = np.cumsum([len(t[0]) for t in trees])
+    starts = ends - [len(t[0]) for t in trees]
+    feature, threshold, left, right, path = (np.concatenate([np.asarray(t[k]) for t in trees]) for k in range(5))
+    at = np.repeat(starts, len(x))  # children are counted inside their tree
+    base, row = at.copy(), np.tile(np.arange(len(x)), len(trees))
+    inner = np.flatnonzero(feature[at] >= 0)
+    while len(inner):
         here = at[inner]
-        goes_left = x[inner, feature[here]] <= threshold[here]
-        at[inner] = np.where(goes_left, left[here], right[here])
+        goes_left = x[row[inner], feature[here]] <= threshold[here]
+        at[inner] = base[inner] + np.where(goes_left, left[here], right[here])
+        inner = inner[feature[at[inner]] >= 0]
+    return path[at].reshape(len(trees), len(x))
 
 
 def _seeded(*parts: object) -> np.random.Generator:
@@ -233,9 +253,9 @@ def score_population(
             return pd.DataFrame({c: [] for c in [*keys, "template", "n", "score"]})
         x = np.array(group["embedding"].tolist(), dtype=np.float64)
         depth = np.zeros(len(x))
-        for row in forest.sort_values("tree").itertuples():
-            depth += path_lengths(x, (np.asarray(row.feature), np.asarray(row.threshold), np.asarray(row.left),
-                                      np.asarray(row.right), np.asarray(row.path)))
+        trees = list(forest.sort_values("tree")[TREE_COLUMNS[2:]].itertuples(index=False, name=None))
+        for paths in path_lengths(x, trees):
+            depth += paths
         typical = float(average_path(forest["size"].iloc[0])) * len(forest)
         strangeness = np.ones(len(x)) if typical == 0 else 2.0 ** (-depth / typical)
         return group[[*keys, "template", "n"]].assign(score=-strangeness)
@@ -267,10 +287,21 @@ def score_templates(
     One row per (user, template) and contamination share. The forests do not
     depend on the share, so a sweep costs one fit and one more quantile each.
     """
+    return score_counts(events.groupBy(*run, "user", "template").agg(F.count("*").alias("n")), settings, run, shares, encode)
+
+
+def score_counts(
+    counts: DataFrame,
+    settings: Settings = DEFAULTS,
+    run: Sequence[str] = (),
+    shares: Sequence[float] | None = None,
+    encode: Encoder | None = None,
+) -> DataFrame:
+    """As ``score_templates``, of events that are counted already: ``(run..., user, template, n)``, in any number of rows."""
     run = list(run)
     shares = [settings.contamination] if shares is None else list(shares)
-    filled = events.withColumn("template", F.coalesce("template", F.lit("")))
-    pairs = settle(filled.groupBy(*run, "user", "template").agg(F.count("*").alias("n")))
+    filled = counts.withColumn("template", F.coalesce("template", F.lit("")))
+    pairs = settle(filled.groupBy(*run, "user", "template").agg(F.sum("n").alias("n")))
     vectors = settled_embeddings(pairs.select("template"), settings, encode)
     rows = settle(population(pairs, settings, run))
     forests = settle(fit_forests(rows, vectors, settings, run))

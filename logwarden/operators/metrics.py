@@ -72,8 +72,11 @@ def scenario_levels(per_scenario: DataFrame, over: Sequence[str]) -> DataFrame:
         F.grouping_id().cast("bigint").alias("level"), *[F.sum(c).cast("bigint").alias(c) for c in SCENARIO_COUNTS])
 
 
-def flagged_lines(events: DataFrame, detectors: Sequence[str], run: Sequence[str] = ()) -> DataFrame:
-    totals = events.groupBy(*run).agg(*[F.count_if(d).alias(d) for d in detectors])
+def flagged_lines(events: DataFrame, detectors: Sequence[str], run: Sequence[str] = (), rows: str | None = None) -> DataFrame:
+    """Flagged lines per run and detector; ``rows`` names a column that holds how many lines a row stands for."""
+    lines = F.lit(1).cast("bigint") if rows is None else F.col(rows)
+    totals = events.groupBy(*run).agg(
+        *[F.coalesce(F.sum(F.when(F.col(d), lines)), F.lit(0).cast("bigint")).alias(d) for d in detectors])
     return _unpivot(totals, run, detectors, "detector", "flagged")
 
 

@@ -71,6 +71,35 @@ class RunMatrix:
         wanted = [*columns, *([_BITS] if _BITS in kept else [])]
         return lines.select(*self.run_of(F.col(_AT_RUN)), line, *wanted).unionByName(own.select(*RUN, "line_number", *wanted))
 
+    def tally(self, columns: Sequence[str], conditions: Sequence[str] | None = None) -> DataFrame:
+        """Lines of all runs, or of those under ``conditions``, counted: run, ``columns`` and ``n``.
+
+        Equal to grouping ``expand``, but the background is counted once, not once a run:
+        every run gets its counts, then moves the rows whose verdicts differ there.
+        """
+        kept = [c for c in (_BITS,) if c in self.shared.columns and c not in columns]
+        by = [*columns, *kept]
+        runs = self.shared.sparkSession.range(len(self.runs)).select(F.col("id").cast("int").alias(_AT_RUN))
+        own = self.own
+        if conditions is not None:
+            runs = runs.filter(F.col(_AT_RUN).isin(self.only(conditions)))
+            own = own.filter(F.col("condition").isin(list(conditions)))
+        names = [f"_by{at}" for at in range(len(by))]
+        renamed = [F.col(c).alias(n) for c, n in zip(by, names)]
+        once = settle(self.shared.groupBy(*renamed).agg(F.count("*").alias("n")))
+        counts = once.crossJoin(F.broadcast(runs)).select(_AT_RUN, *names, "n")  # one row per run
+        if _FLIPS in self.shared.columns:
+            flipped = self.shared.filter(F.col(_FLIPS).isNotNull()).select(*by, F.explode(_FLIPS).alias("_flip"))
+            moved = [F.col("_flip.run").alias(_AT_RUN)]
+            before = flipped.select(*moved, *renamed, F.lit(-1).cast("bigint").alias("n"))
+            after = flipped.withColumn(_BITS, F.col(_BITS).bitwiseXOR(F.col("_flip.bits"))).select(
+                *moved, *renamed, F.lit(1).cast("bigint").alias("n"))
+            counts = counts.unionByName(before.unionByName(after).join(F.broadcast(runs), _AT_RUN, "left_semi"))
+        named = counts.select(*self.run_of(F.col(_AT_RUN)), *names, "n")
+        every = named.unionByName(own.select(*RUN, *renamed, F.lit(1).cast("bigint").alias("n")))
+        summed = every.groupBy(*RUN, *names).agg(F.sum("n").alias("n")).filter("n != 0")
+        return summed.select(*RUN, *[F.col(n).alias(c) for c, n in zip(by, names)], "n")
+
     def run_of(self, at: Column) -> list[Column]:
         seeds = F.array(*[F.lit(int(s)).cast("bigint") for s, _ in self.runs])
         names = F.array(*[F.lit(c) for _, c in self.runs])
