@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import WordTable, text_groups, worker_tool
+from logwarden.llm.common import WordTable, batch_groups, worker_tool
 
 CACHE = 200_000  # words, and pieces of words, a worker remembers
 LAYOUT = 4_000_000  # bytes of new pieces indexed together
@@ -217,10 +217,9 @@ def encode_documents(
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(vocabulary)
         for batch in rows:
-            texts = batch.column(1).to_pylist()
-            for a, b in text_groups(texts):
-                ids = tool.encode(texts[a:b])
-                columns = [batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())]
+            for part in batch_groups(batch):
+                ids = tool.encode(part.column(1).to_pylist())
+                columns = [part.column(0), pa.array(ids, pa.binary())]
                 names = ["doc_id", "ids"]
                 if decode:
                     columns.append(pa.array([tool.decode(x) for x in ids], pa.string()))

@@ -8,6 +8,9 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +82,17 @@ def text_groups(texts: list[str | None], rows: int = 10_000, chars: int = 10_000
         yield start, len(texts)
 
 
+def batch_groups(batch: pa.RecordBatch, at: int = 1, rows: int = 2_000, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` bounded in rows and in bytes of the texts in column ``at``; a longer text is alone."""
+    ends = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).cumsum()
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 class WordTable:
     """Results per distinct word, computed for many words at once.
 

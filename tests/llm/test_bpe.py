@@ -1,11 +1,13 @@
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from logwarden.llm import bpe
+from logwarden.llm.common import batch_groups
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -59,3 +61,12 @@ def test_nulls_repeats_and_empty_tables(spark, rows):
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, ids string")
     found = bpe.encode_documents(docs, PATH, decode=True).collect()
     assert sorted((r.doc_id or 0, r.decoded) for r in found) == sorted((i or 0, t or "") for i, t in rows)
+
+
+def test_few_texts_are_objects_at_once():
+    texts = ["a" * 10, None, "é" * 30, "", "b" * 5000, "c", *["d" * 40] * 50]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    parts = [p.column(1).to_pylist() for p in batch_groups(batch, rows=20, size=100)]
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) <= 20 and (len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 100) for p in parts)
+    assert not list(batch_groups(batch.slice(0, 0)))
