@@ -42,7 +42,7 @@ PIECES = regex.compile(
 _UNEVEN = regex.compile(rf"\A | \z|[{_SPACES}] | [{_SPACES}]")
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in vocabulary files: printable ones themselves, the rest from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -55,7 +55,7 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        letters, ids = _byte_letters(), spec["model"]["vocab"]
+        letters, ids = byte_letters(), spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = max([*ids.values(), *self.special.values()]) + 1
         self.bytes_of = [b""] * self.size

@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -106,11 +107,9 @@ class WordTable:
 
     def lookup(self, groups: Iterable[list[str]]) -> dict[str, bytes]:
         """Results of all words in ``groups``."""
-        counts: Counter[str] = Counter()
-        for words in groups:
-            counts.update(words)
+        counts = Counter(chain.from_iterable(groups))
         kept = self.kept
-        found = {w: kept[w] for w in counts if w in kept}
+        found = {w: kept[w] for w in counts.keys() & kept.keys()} if kept else {}
         fresh = self.learn([w for w in counts if w not in found])
         room = self.limit - len(kept)
         if room > 0:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logwarden.llm.bpe import byte_letters
 from logwarden.llm.common import WordTable, scratch, settle, text_groups, worker_tool
 from logwarden.llm.shared_files import attempt_name, create, open_file
 
@@ -44,7 +45,7 @@ _ODD = "\x1c\x1d\x1e\x1f"  # str.split() takes these for white space, the tokeni
 
 # letters and numbers of the first 256 characters after lower-casing, in the splitting pattern of the vocabulary
 _LETTER, _NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER} ]+| ")
 _PLAIN = re.compile(r"[\x00-\xff]*\Z")
 
 
@@ -55,7 +56,7 @@ class WordEncoder:
     are those of its words in a row, and those of a word the ids of the pieces it is
     split into. Words of the first 256 characters are split here, where neither
     normal forms nor lower-casing depend on neighbours; any other word goes to the
-    library whole. New pieces go to the library many at a time; the token that ends a word tells them apart.
+    library whole. New pieces go to the merges of the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,9 +64,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        vocabulary = self.library.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.words = WordTable(self._join, CACHE)
         self.pieces = WordTable(self._ask, CACHE)
 
@@ -73,24 +72,29 @@ class WordEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _ask(self, pieces: list[str]) -> dict[str, bytes]:
-        done: dict[str, bytes] = {}
-        for at in range(0, len(pieces), 10_000):
-            some = pieces[at : at + 10_000]
-            lines = [" ".join(some[k : k + 500]) for k in range(0, len(some), 500)]
-            coded = self.library.encode_batch_fast(lines, add_special_tokens=False)
-            ids = np.array([i for x in coded for i in x.ids], "<u4")
-            ends = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
-            if len(ends) != len(some) + 1:
-                raise ValueError("the vocabulary does not mark the ends of words")
-            data = ids.tobytes()
-            done.update((p, data[4 * a : 4 * b]) for p, a, b in zip(some, ends, ends[1:]))
-        return done
+        # a piece is in normal form, in lower case and cut already: what is left of the library's way is its model
+        merge, letters = self.library.model.tokenize, self.letters
+        ids: list[int] = []
+        ends = [0]
+        for piece in pieces:
+            ids += [t.id for t in merge(piece.encode().decode("latin-1").translate(letters))]
+            ends.append(len(ids))
+        data = np.array(ids, "<u4").tobytes()
+        return {p: data[4 * a : 4 * b] for p, a, b in zip(pieces, ends, ends[1:])}
 
     def _join(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if "<|" not in w and _PLAIN.match(w)]
-        cut = [_PIECES.findall(w.lower()) for w in plain]
-        ids = self.pieces.lookup(cut)
-        done = {w: b"".join([ids[p] for p in parts]) for w, parts in zip(plain, cut)}
+        plain = [w for w in words if w.isascii() or _PLAIN.match(w)]
+        if any("<|" in w for w in plain):
+            plain = [w for w in plain if "<|" not in w]
+        # no piece goes across a blank, so all words are split at once
+        cut = _PIECES.findall(" ".join(plain).lower())
+        ids = self.pieces.lookup([[p for p in cut if p != " "]])
+        ids[" "] = b""
+        coded = list(map(ids.__getitem__, cut))
+        sizes = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
+        ends = sizes[np.fromiter((p == " " for p in cut), bool, len(cut))].tolist()
+        data = b"".join(coded)
+        done = {w: data[a:b] for w, a, b in zip(plain, [0, *ends], [*ends, len(data)])}
         done.update((w, self._whole(w)) for w in words if w not in done)
         return done
 

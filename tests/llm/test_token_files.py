@@ -32,6 +32,17 @@ def test_any_text_matches_the_library(text):
     assert tf.word_encoder(PATH).encode([text]) == [library(text)]
 
 
+def test_new_words_are_split_and_merged_together(monkeypatch):
+    texts = [" ".join(f"{chr(a)}x{chr(b)}'s{a}," for b in range(33, 256, 7)) for a in range(33, 256)]
+    tool = tf.WordEncoder(PATH)
+    expected = [library(t) for t in texts]
+    asked = []
+    lookup = tool.pieces.lookup
+    monkeypatch.setattr(tool.pieces, "lookup", lambda groups: asked.append(len(groups)) or lookup(groups))
+    assert tool.encode(texts) == expected
+    assert asked == [1]  # one list of pieces for all words of a group, not one for each
+
+
 def test_small_table_gives_the_same(monkeypatch):
     monkeypatch.setattr(tf, "CACHE", 2)
     tool = tf.WordEncoder(PATH)
