@@ -64,7 +64,8 @@ def parse_lines(lines: DataFrame, year: int | None = None) -> DataFrame:
     kept = [c for c in lines.columns if c not in ("value", "path")]
     headed = (
         lines.select(*kept, text.strip(F.col("value")).alias("raw"))
-        .withColumn("_head", F.regexp_extract("raw", text.LINE_HEAD, 0))
+        # a filter is not pushed below an explode, where it would search every line a second time
+        .withColumn("_head", F.explode(F.array(F.regexp_extract("raw", text.LINE_HEAD, 0))))
         .filter(F.col("_head") != "")
         .withColumn("_part", text.words(F.col("_head")))
         .withColumn("message", F.expr("substring(raw, length(_head) + 1)"))

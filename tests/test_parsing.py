@@ -153,3 +153,12 @@ def test_wall_clock_in_any_time_zone(spark):
         assert events.select(micros(F.col("ts"))).first()[0] == 1772937000000000
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_line_is_searched_for_its_head_once(spark, tmp_path):
+    spark.createDataFrame([(1, "Jul 14 10:00:00 h sshd[1]: Accepted password for u01 from 10.0.0.1 port 1 ssh2"), (2, "x"), (3, None)],
+                          "line_number BIGINT, value STRING").write.parquet(str(tmp_path / "lines"))
+    parsed = parse_lines(spark.read.parquet(str(tmp_path / "lines")), 2026)
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("{3}[") == 1  # the start of the pattern stands in one operator, not in a filter and a projection
+    assert [(r["line_number"], r["user"], r["source_ip"]) for r in parsed.collect()] == [(1, "u01", "10.0.0.1")]
