@@ -20,7 +20,8 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logwarden.llm.bpe import byte_letters
-from logwarden.llm.common import WordTable, scratch, settle, text_groups, worker_tool
+from logwarden.llm.common import scratch, settle, text_groups, worker_tool
 from logwarden.llm.shared_files import attempt_name, create, open_file
 
 FRAME_BYTES = 1 << 20  # token bytes per frame; a longer document has a frame of its own
@@ -49,6 +50,47 @@ _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETT
 _PLAIN = re.compile(r"[\x00-\xff]*\Z")
 
 
+def regroup(values: pa.LargeBinaryArray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """Neighbouring values put together: entry i reaches from the end before to ``ends[i]``."""
+    if not len(values):
+        return pa.array([b""] * len(ends), pa.large_binary())
+    starts = np.frombuffer(values.buffers()[1], np.int64)
+    cuts = starts[values.offset + np.concatenate(([0], ends)).astype(np.int64)]
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(cuts), values.buffers()[2]])
+
+
+class IdTable:
+    """Ids of strings, computed once per distinct string and dealt out by Arrow.
+
+    As in ``WordTable`` strings that came more than once in a lookup are kept until the
+    table is full; ``learn`` gives the ids of all others in the order it got them.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], pa.LargeBinaryArray], limit: int) -> None:
+        self.learn, self.limit = learn, limit
+        self.kept: dict[str, bytes] = {}
+
+    def lookup(self, groups: Iterable[list[str]]) -> pa.LargeBinaryArray:
+        """Ids of every string of ``groups``, one after the other."""
+        strings = list(chain.from_iterable(groups))
+        at = pa.array(strings, pa.string()).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        # distinct strings are numbered as they come, so each first stands where the highest number grows
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1))
+        names = list(map(strings.__getitem__, first.tolist()))
+        found = list(map(self.kept.get, names))
+        fresh = np.array([x is None for x in found], bool)
+        new = [n for n, x in zip(names, found) if x is None]
+        learned = self.learn(new)
+        room = self.limit - len(self.kept)
+        if room > 0:
+            often = np.flatnonzero(np.bincount(at, minlength=len(names))[fresh] > 1)[:room]
+            self.kept.update(zip(map(new.__getitem__, often.tolist()), learned.take(pa.array(often)).to_pylist()))
+        # known ids first, then those learned
+        place = np.where(fresh, np.cumsum(fresh) - 1 + len(found) - len(new), np.cumsum(~fresh) - 1)
+        every = pa.concat_arrays([pa.array([x for x in found if x is not None], pa.large_binary()), learned])
+        return every.take(pa.array(place[at]))
+
+
 class WordEncoder:
     """Encodes with the tokenizers library, each distinct piece once.
 
@@ -64,48 +106,44 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.letters = {b: c for c, b in byte_letters().items()}
-        self.words = WordTable(self._join, CACHE)
-        self.pieces = WordTable(self._ask, CACHE)
+        self.letters = {b: c for c, b in byte_letters().items()} | {ord(" "): " "}
+        self.words = IdTable(self._join, CACHE)
+        self.pieces = IdTable(self._ask, CACHE)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _ask(self, pieces: list[str]) -> dict[str, bytes]:
-        # a piece is in normal form, in lower case and cut already: what is left of the library's way is its model
-        merge, letters = self.library.model.tokenize, self.letters
-        ids: list[int] = []
-        ends = [0]
-        for piece in pieces:
-            ids += [t.id for t in merge(piece.encode().decode("latin-1").translate(letters))]
-            ends.append(len(ids))
-        data = np.array(ids, "<u4").tobytes()
-        return {p: data[4 * a : 4 * b] for p, a, b in zip(pieces, ends, ends[1:])}
-
-    def _join(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if w.isascii() or _PLAIN.match(w)]
-        if any("<|" in w for w in plain):
-            plain = [w for w in plain if "<|" not in w]
+    def _ask(self, pieces: list[str]) -> pa.LargeBinaryArray:
+        # a piece is in normal form, in lower case and cut already: what is left of the library's way is its model;
+        # no piece holds a blank, so all are spelled in letters of bytes at once
+        spelled = " ".join(pieces).encode().decode("latin-1").translate(self.letters)
+        merge = self.library.model.tokenize
+        ids = [[t.id for t in merge(p)] for p in spelled.split(" ")] if pieces else []
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) * 4
+        data = np.fromiter(chain.from_iterable(ids), "<u4", int(ends[-1]) // 4)
+        return pa.Array.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+    def _join(self, words: list[str]) -> pa.LargeBinaryArray:
+        every = " ".join(words)
+        if _PLAIN.match(every) and "<|" not in every:
+            split, plain = np.ones(len(words), bool), words
+        else:
+            split = np.array([bool((w.isascii() or _PLAIN.match(w)) and "<|" not in w) for w in words], bool)
+            plain = [w for w, own in zip(words, split) if own]
         # no piece goes across a blank, so all words are split at once
         cut = _PIECES.findall(" ".join(plain).lower())
+        blank = np.array([p == " " for p in cut], bool)
         ids = self.pieces.lookup([[p for p in cut if p != " "]])
-        ids[" "] = b""
-        coded = list(map(ids.__getitem__, cut))
-        sizes = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
-        ends = sizes[np.fromiter((p == " " for p in cut), bool, len(cut))].tolist()
-        data = b"".join(coded)
-        done = {w: data[a:b] for w, a, b in zip(plain, [0, *ends], [*ends, len(data)])}
-        done.update((w, self._whole(w)) for w in words if w not in done)
-        return done
+        ends = np.append(np.cumsum(~blank)[blank], len(ids))[: len(plain)]
+        rest = pa.array([self._whole(w) for w, own in zip(words, split) if not own], pa.large_binary())
+        place = np.where(split, np.cumsum(split) - 1, np.cumsum(~split) - 1 + len(plain))
+        return pa.concat_arrays([regroup(ids, ends), rest]).take(pa.array(place))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         whole = [not t or any(c in t for c in _ODD) for t in texts]
         split = [[] if odd else t.split() for t, odd in zip(texts, whole)]
-        ids = self.words.lookup(split)
-        return [
-            self._whole(t or "") if odd else b"".join(map(ids.__getitem__, words))
-            for t, odd, words in zip(texts, whole, split)
-        ]
+        joined = regroup(self.words.lookup(split), np.cumsum(list(map(len, split)), dtype=np.int64))
+        return [self._whole(t or "") if odd else ids for t, odd, ids in zip(texts, whole, joined.to_pylist())]
 
 
 @worker_tool

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,6 +44,18 @@ def test_new_words_are_split_and_merged_together(monkeypatch):
     assert asked == [1]  # one list of pieces for all words of a group, not one for each
 
 
+def test_ids_are_dealt_out_in_order_and_learned_once():
+    learned = []
+    table = tf.IdTable(lambda new: learned.append(new) or pa.array([w.encode() * 2 for w in new], pa.large_binary()), 3)
+    groups = [["b", "a", "b"], [], ["c", "a"]]
+    for _ in range(2):
+        found = table.lookup(groups)
+        assert found.to_pylist() == [b"bb", b"aa", b"bb", b"cc", b"aa"]
+    assert learned == [["b", "a", "c"], ["c"]]  # what came once is not kept
+    assert tf.regroup(found, np.array([3, 3, 5])).to_pylist() == [b"bbaabb", b"", b"ccaa"]
+    assert tf.regroup(table.lookup([]), np.array([0, 0])).to_pylist() == [b"", b""]
+
+
 def test_small_table_gives_the_same(monkeypatch):
     monkeypatch.setattr(tf, "CACHE", 2)
     tool = tf.WordEncoder(PATH)
