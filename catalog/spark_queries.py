@@ -440,7 +440,7 @@ def corpus_labels(spark, sf_dir):
 # --- evaluation over seeds and conditions
 
 def _hits(spark, sf_dir) -> DataFrame:
-    return metrics.label_hits(t.corpora_rules(spark, sf_dir), t.corpora_labels(spark, sf_dir), RULE_DETECTORS, RUN)
+    return metrics.label_hits(t.corpora_own(spark, sf_dir), t.corpora_labels(spark, sf_dir), RULE_DETECTORS, RUN)
 
 
 def _scenario_counts(spark, sf_dir) -> DataFrame:
@@ -490,9 +490,9 @@ def _robust(spark, sf_dir) -> DataFrame:
 
 
 def _robust_overall(spark, sf_dir) -> DataFrame:
-    found = t.corpora_rules(spark, sf_dir)
-    totals = found.groupBy(*RUN).agg(F.count_if("rules_travel").alias("total_flagged_lines"))
-    groups = t.corpora_tagged(spark, sf_dir).groupBy(*RUN).agg(
+    found = t.corpora_counts(spark, sf_dir)
+    totals = found.groupBy(*RUN).agg(F.sum(F.when(F.col("rules_travel"), F.col("n")).otherwise(0)).alias("total_flagged_lines"))
+    groups = t.corpora_parts(spark, sf_dir).groupBy(*RUN).agg(
         (F.max("incident_id") + 1).alias("incidents")
     )
     return metrics.robustness_overall(_robust(spark, sf_dir), totals.join(groups, list(RUN), "left"))
@@ -576,8 +576,8 @@ def uncovered_scenarios(spark, sf_dir):
 
 def _samples(spark, sf_dir) -> DataFrame:
     tagged = t.corpora_tagged(spark, sf_dir)
-    sizes = tagged.groupBy(*RUN, "incident_id").agg(
-        F.count("*").alias("event_count"), highest_severity(F.col("severity")).alias("severity")
+    sizes = t.corpora_parts(spark, sf_dir).groupBy(*RUN, "incident_id").agg(
+        F.sum("n").alias("event_count"), highest_severity(F.col("severity")).alias("severity")
     )
     table = sizes.withColumn("notable", assembly.notable(F.col("severity"), F.col("event_count")))
     return triage.pick_samples(

@@ -100,6 +100,22 @@ class RunMatrix:
         summed = every.groupBy(*RUN, *names).agg(F.sum("n").alias("n")).filter("n != 0")
         return summed.select(*RUN, *[F.col(n).alias(c) for c, n in zip(by, names)], "n")
 
+    def by_verdicts(self) -> tuple[RunMatrix, RunMatrix]:
+        """Rows of the background that are judged alike in every run; those that are not, and the rows that runs add."""
+        alike = F.col(_FLIPS).isNull()
+        return (replace(self, shared=self.shared.filter(alike), own=self.own.limit(0)),
+                replace(self, shared=self.shared.filter(~alike)))
+
+    def place(self) -> Column:
+        """Where a row of the background stands; places sort as lines do in every run."""
+        return F.struct("rank", _SEGMENT)
+
+    def in_runs(self, rows: DataFrame, place: Column, name: str) -> DataFrame:
+        """Add ``name``: the lines of ``place`` in all runs, in their order."""
+        placed = rows.withColumns({"_rank": place["rank"], _SEGMENT: place[_SEGMENT]})
+        found = attach(placed, self.shifts, [_SEGMENT], how="inner")
+        return found.withColumn(name, F.transform("shifts", lambda by: F.col("_rank") + by)).drop("_rank", _SEGMENT, "shifts")
+
     def run_of(self, at: Column) -> list[Column]:
         seeds = F.array(*[F.lit(int(s)).cast("bigint") for s, _ in self.runs])
         names = F.array(*[F.lit(c) for _, c in self.runs])

@@ -10,7 +10,8 @@ from logwarden.plans.detection import flag_lines
 from logwarden.config import Settings
 from logwarden.operators import metrics
 from logwarden.operators.forest import average_path, grow_tree, path_lengths
-from logwarden.plans.evaluation import CORPUS, detect_all, detect_matrix, parse_matrix, sweep_columns
+from logwarden.plans.evaluation import CORPUS, detect_all, detect_matrix, parse_matrix, run_incidents, sweep_columns, tag_labelled
+from logwarden.operators.incidents import assign_incidents
 from logwarden.operators.injection import merge_corpus
 from logwarden.session import settle
 from logwarden.sources.logs import format_line, parse_lines
@@ -84,6 +85,42 @@ def test_detectors_of_runs_without_their_lines(spark):
         assert got.counts.count() < 100 and got.own.count() <= judged.own.count()
 
 
+def test_incidents_of_runs_without_their_lines(spark, monkeypatch):
+    runs = [(1, "x"), (1, "y"), (2, "x"), (2, "y")]
+    message = F.when(F.col("step") % 40 == 0, "COMMAND=/bin/su root").otherwise(F.col("message"))  # of nobody
+    spread = F.col("ts") + F.make_interval(days=F.col("step") % 4)
+    odd = {"message": message, "ts": spread}
+    attacks = _rows(spark, 60, 6, runs[:3]).withColumns(odd)  # the last run adds nothing
+    found = plans.lay_out(_rows(spark, 500, 5).withColumns(odd), attacks, runs).each(
+        lambda rows: rows.withColumn("value", format_line()))
+    judged = plans.judge(parse_matrix(found, 2026))
+    lines = settle(metrics.predictions(plans.with_verdicts(judged.expand(["timestamp", "user", "source_ip"]))))
+    every = settle(assign_incidents(lines, run=plans.RUN, flag="rules_travel"))
+    assert every.filter("user = 'unknown' and source_ip is null").count() and judged.by_verdicts()[1].shared.count()
+
+    expanded, expand = [], plans.RunMatrix.expand
+
+    def counted(self, *args, **kwargs):
+        expanded.append(self.shared.count())
+        return expand(self, *args, **kwargs)
+
+    monkeypatch.setattr(plans.RunMatrix, "expand", counted)
+    got = run_incidents(judged)
+    key = [*plans.RUN, "incident_id"]
+    parts = got.parts([*key, "_rows", "_severe"]).groupBy(*key).agg(F.sum("_rows").alias("n"), F.sum("_severe").alias("t"))
+    assert sorted(map(str, parts.collect())) == sorted(map(str, every.groupBy(*key).agg(
+        F.count("*").alias("n"), F.count_if("impossible_travel").alias("t")).collect()))
+    assert parts.count() > 40
+
+    labels = lines.filter(F.col("line_number") % 7 == 0).select(*plans.RUN, "timestamp", "user")
+    tagged = [*key, "line_number", "timestamp", "user", "impossible_travel"]
+    near = every.join(labels.distinct(), [*plans.RUN, "timestamp", "user"], "left_semi").select(*tagged)
+    few = tag_labelled(judged, got, labels).select(*tagged)
+    assert sorted(map(str, few.collect())) == sorted(map(str, near.collect())) and 0 < near.count() < every.count()
+    # the lines of the background are not put together for every run
+    assert expanded[0] == judged.by_verdicts()[1].shared.count() < 100
+
+
 def test_trees_are_walked_together():
     draw = np.random.default_rng(1)
     x = draw.integers(0, 3, (30, 12)).astype(float)
