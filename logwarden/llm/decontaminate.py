@@ -5,24 +5,26 @@ Texts become lower-case words of letters and digits, and shingles of five words
 as the item, shorter only at the end of the document. Its similarity is that of the
 shingles weighted by occurrences, sum of minima over sum of maxima.
 
-Windows are placed where they can matter. A shared shingle at a place p counts in the
-windows that start from p - n + 1 to p, and where the item holds it k times only in
-those that start after its k-th place before p: an interval of starts. How many
-intervals cover a start is the sum of minima of its window, so a running sum over the
-ends of the intervals gives it for every start, wherever the shared shingles stand.
-Starts with too few of them for the similarity hold no leak.
-
-Every window that is left gets a 64-bit SimHash of all its shingles, weighted by
-occurrences, and so does the item. Fingerprints are cut into ``RADIUS`` + 1 blocks; two
-within the radius agree in at least one, so windows meet their item on equal blocks and
-none within the radius is missed. Survivors of the radius are verified by their exact
-similarity. The radius is wide: at a similarity of 0.8 a bit differs with a probability
-of about 0.15, and more than 31 of 64 do with one of 10^-10. Items of fewer than
-``SHORT`` shingles, whose few votes make no fingerprint, are verified directly.
+A window is formed at every start from which it holds a shingle of its item; all other
+windows have a similarity of zero. A shared shingle at a place p counts in the windows
+that start from p - n + 1 to p, and where the item holds it k times only in those that
+start after its k-th place before p: an interval of starts. How many intervals cover a
+start is the sum of minima of its window, so a running sum over the ends of the
+intervals gives it for every start, wherever the shared shingles stand.
+
+Every window gets a 64-bit SimHash of all its shingles, weighted by occurrences, and so
+does every item. Fingerprints are cut into ``RADIUS`` + 1 blocks; two within the radius
+agree in at least one, so windows meet their item on equal blocks and none within the
+radius is missed. Survivors of the radius are verified by their exact similarity. The
+radius is wide: at a similarity of 0.8 and without repeats a bit differs with a
+probability of about 0.15, and more than 31 of 64 do with one of 10^-10. Where few
+shingles or repeated ones decide the votes, many bits may hang on one of them: windows
+of items with fewer than ``SHORT`` shingles or with repeats are all verified,
+whatever their fingerprints say.
 
 DataFrame functions only. What leaves the first scan are places of shingles that an
-item holds too; the texts of documents with candidate windows are read once more for
-their fingerprints, and only those texts can be shuffled.
+item holds too; the texts of documents with windows are read once more for their
+fingerprints, and only those texts can be shuffled.
 
 Defined results: a null or empty text matches nothing, an item without words is
 left out; a document may match several items, ties in similarity keep the earliest
@@ -48,6 +50,8 @@ SIMILARITY = 0.8
 RADIUS = 31
 BLOCKS = RADIUS + 1  # of two bits
 SHORT = 8
+_LANE = 21
+_LANES = 1 | 1 << _LANE | 1 << 2 * _LANE
 KEYS = Settings(broadcast_rows=4_000_000)  # keys of documents with candidates: 8 bytes each, and measured
 BROADCAST_SHINGLES = 300_000  # rows of about 60 bytes; a larger benchmark is joined by shuffle
 
@@ -65,14 +69,25 @@ def _shingles(words: Column, size: int) -> Column:
 
 def simhash(shingles: Column) -> Column:
     """64 bits: each is 1 if it is set in more than half of the shingles, occurrences counted."""
-    bits = F.sequence(F.lit(0), F.lit(63))
+    zero, lanes = F.lit(0).cast("bigint"), F.lit(_LANES)
+
+    def moved(name: str, value: Column, by: Column) -> Column:
+        return F.call_function(name, value, by)
 
     def voted(mark: Column, bit: Column) -> Column:
         votes = F.aggregate(shingles, F.lit(0), lambda n, h: n + F.getbit(h, bit).cast("int"))
-        set_ = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+        set_ = moved("shiftleft", F.lit(1).cast("bigint"), bit)
         return F.when(votes * 2 > F.size(shingles), mark.bitwiseOR(set_)).otherwise(mark)
 
-    return F.aggregate(bits, F.lit(0).cast("bigint"), voted)
+    # three bits are counted in each long; what is added carries a majority to the top of its lane
+    more = (F.lit(1 << (_LANE - 1)) - F.floor(F.size(shingles) / 2) - 1).cast("bigint") * lanes
+
+    def voted_lanes(mark: Column, bit: Column) -> Column:
+        votes = F.aggregate(shingles, zero, lambda n, h: n + moved("shiftrightunsigned", h, bit).bitwiseAND(lanes))
+        return mark.bitwiseOR(moved("shiftleft", F.shiftrightunsigned(votes + more, _LANE - 1).bitwiseAND(lanes), bit))
+
+    return F.when(F.size(shingles) < 1 << (_LANE - 1), F.aggregate(F.sequence(F.lit(0), F.lit(_LANE)), zero, voted_lanes)).otherwise(
+        F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, voted))
 
 
 def _blocks(mark: Column) -> Column:
@@ -135,9 +150,7 @@ def _leaks_of_size(rows: DataFrame, items: DataFrame, size: int, similarity: flo
     alike = [*pair, "doc_id", "item_id", "n", "length"]
     runs = _hits(rows, mine, size).repartition(*pair).groupBy(*alike, "h", "k").agg(
         F.array_sort(F.collect_set("pos")).alias("at"))
-    # a window at the similarity holds at least so many shared shingles
-    enough = F.sum(F.size("at")).over(Window.partitionBy(*pair)) >= similarity * F.col("n") - 1e-9
-    hits = settle(runs.withColumn("_enough", enough).filter("_enough").select(*alike, "at", "k", F.posexplode("at").alias("i", "pos")))
+    hits = settle(runs.select(*alike, "at", "k", F.posexplode("at").alias("i", "pos")))
     used_up = F.when(F.col("i") >= F.col("k"), F.get("at", F.col("i") - F.col("k")) + 1).otherwise(F.lit(0))
     low = F.greatest(F.col("pos") - F.col("n") + 1, used_up, F.lit(0))
     ends = F.array(F.struct(low.alias("start"), F.lit(1).alias("step")),
@@ -145,14 +158,14 @@ def _leaks_of_size(rows: DataFrame, items: DataFrame, size: int, similarity: flo
     steps = hits.select(*alike, F.inline(ends)).groupBy(*alike, "start").agg(F.sum("step").alias("step"))
     order = Window.partitionBy(*pair).orderBy("start")
     counted = steps.withColumn("_both", F.sum("step").over(order)).withColumn("_next", F.lead("start").over(order))
-    # between two ends the count stays; a full window is best at the first start, one cut short at the last
+    # between two ends the count stays
     starts = counted.filter(F.col("_both") > 0).select(
-        *alike, "_both", F.explode(F.array_distinct(F.array("start", F.col("_next") - 1))).alias("start"))
+        *alike, "_both", F.explode(F.sequence("start", F.col("_next") - 1)).alias("start"))
     length = F.least(F.col("n"), F.col("length") - F.col("start"))
-    placed = starts.withColumn("_size", length).filter(F.col("_both") >= similarity * F.col("n") - 1e-9)
-    placed = settle(placed.select(*pair, "doc_id", "item_id", "n", "start", "_size", "_both"), "windows")
-    far = placed.filter(F.col("n") >= SHORT)
-    met = placed.filter(F.col("n") < SHORT).unionByName(_near_windows(rows, far, mine, size).select(*placed.columns))
+    placed = settle(starts.select(*pair, "doc_id", "item_id", "n", "start", length.alias("_size"), "_both"), "windows")
+    near = _near_windows(rows, placed, mine, size).select(*placed.columns)
+    plain = mine.filter((F.col("n") < SHORT) | (F.size(F.array_distinct("shingles")) < F.col("n"))).select("item").distinct()
+    met = near.unionByName(attach(placed, plain, ["item"], how="inner"))  # a window may come twice
     scored = met.withColumn("similarity", F.col("_both") / (F.col("_size") + F.col("n") - F.col("_both")))
     best = Window.partitionBy(*pair).orderBy(F.desc("similarity"), "start")
     return (
@@ -175,7 +188,7 @@ def _near_windows(rows: DataFrame, windows: DataFrame, items: DataFrame, size: i
         w["start"].alias("start"), w["_size"].alias("_size"),
         simhash(F.slice(F.col("_shingles"), w["start"] + 1, w["_size"])).alias("mark")))).alias("w")).select("_key", "w.*")
     marked = windows.join(marks, ["_key", "start", "_size"])
-    held = items.filter(F.col("n") >= SHORT).select("item", simhash(F.col("shingles")).alias("_item_mark"))
+    held = items.select("item", simhash(F.col("shingles")).alias("_item_mark"))
     blocks = settle(held.select("item", "_item_mark", F.posexplode(_blocks(F.col("_item_mark"))).alias("_block", "_value")), "blocks")
     cut = marked.select("*", F.posexplode(_blocks(F.col("mark"))).alias("_block", "_value"))
     near = attach(cut, blocks, ["item", "_block", "_value"], how="inner")

@@ -2,6 +2,9 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from logwarden.llm import decontaminate
 from logwarden.llm.decontaminate import drop_leaks, find_leaks
 
 
@@ -118,3 +121,36 @@ def test_null_and_repeated_item_ids(spark):
     leaks = sorted((r.doc_id, r.item_id, r.start, r.similarity) for r in find_leaks(docs, bench).collect())
     assert leaks == [(1, None, 0, 1.0), (2, 4, 0, 1.0), (3, 4, 0, 1.0)]
     assert [r.doc_id for r in drop_leaks(docs, bench).collect()] == [5]
+
+
+def test_every_window_goes_through_fingerprints(spark, monkeypatch):
+    """All starts that share a shingle are fingerprinted, those of short items too; few votes lose no leak."""
+    seen, near = [], decontaminate._near_windows
+
+    def recorded(rows, windows, items, size):
+        seen.extend((r.doc_id, r.item_id, r.start) for r in windows.collect())
+        return near(rows, windows, items, size)
+
+    monkeypatch.setattr(decontaminate, "_near_windows", recorded)
+    draw = random.Random(5)
+    long, short, other = ([f"{c}{i}" for i in range(n)] for c, n in (("l", 30), ("s", 7), ("o", 60)))
+    beat = [("tick", "tock")[i % 2] for i in range(14)]
+    items = [(i, " ".join(w)) for i, w in enumerate((long, short, beat[:13], beat[1:], draw.choices("xy", k=30)))]
+    docs = [(0, [*other, *long[:10], *other]), (1, [*other, *short, *other]), (2, beat[:13]), (3, beat[1:])]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    frame, bench = (spark.createDataFrame(x, f"{c} bigint, text string") for x, c in ((docs, "doc_id"), (items, "item_id")))
+    expected = brute(docs, items)
+    # equal but for one place of two shingles: a similarity of 0.8, while about half of the bits differ
+    assert {(2, 2), (2, 3), (3, 2), (3, 3), (1, 1)} == set(expected)
+    assert found(find_leaks(frame, bench)) == expected
+    want = set()
+    for i, text in docs:
+        for item, passage in items:
+            size, have = len(split(passage)) - 4, grams(split(text), 5)
+            shared = set(grams(split(passage), 5))
+            want |= {(i, item, s) for s in range(len(have)) if shared & set(have[s : s + size])}
+    assert sorted(seen) == sorted(want) and (0, 0, 40) in want
+    marks = spark.range(1, 70).select("id", F.transform(F.sequence(F.lit(1), "id"), lambda k: F.xxhash64(k % 9)).alias("h"))
+    for r in marks.select("h", decontaminate.simhash(F.col("h")).alias("mark")).collect():
+        bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r.h) > len(r.h))
+        assert r.mark & (1 << 64) - 1 == bits
